@@ -4,19 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plasmaflow.llm import minhash
+from plasmaflow.llm import dropout, forest, langid, maxscore, minhash, mixing, token_counts, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropout.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_prefix_forest": op3_prefix_forest,
+    "op4_token_counts": op4_token_counts,
+    "op5_maxscore": op5_maxscore,
+    "op6_merge_dropout": op6_merge_dropout,
+    "op7_flow_mixing": op7_flow_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_wavelet_shards": op9_wavelet_shards,
 }
 
 ORACLES: dict[str, str] = {}
