@@ -172,13 +172,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     open_ = cut(labelled.join(split, "band"), "open")
     bits = fine_bits(sets.join(open_.select("node").distinct(), "node", "left_semi"), seed).dropDuplicates(["node"])
-    open_ = cut(open_.join(bits, "node"), "fine")
-    other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), *(F.col(f"f{i}").alias(f"g{i}") for i in range(FINE_WORDS)))
-    # bits that may differ between a pair at the threshold, with 4.2 standard deviations to spare (a loss of 1e-5)
+    own_bands = open_.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    open_ = cut(open_.join(bits, "node").join(own_bands, "node"), "fine")
+    other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("bands").alias("bands_a"), *(F.col(f"f{i}").alias(f"g{i}") for i in range(FINE_WORDS)))
+    # a pair that shares several bands counts in the least of them; bits that may differ between a pair at the threshold, with 4.2 standard deviations to spare (a loss of 1e-5)
     total, apart = 64 * FINE_WORDS, (1 - percent / 100) / 2
     limit = int(total * apart + 4.2 * (total * apart * (1 - apart)) ** 0.5)
     differ = " + ".join(f"bit_count(f{i} ^ g{i})" for i in range(FINE_WORDS))
-    rest = open_.join(other, "band").where(f"label_a < label and {fits} and {differ} <= {limit}").select("a", F.col("node").alias("b")).distinct()
+    rest = open_.join(other, "band").where(f"label_a < label and {fits} and {differ} <= {limit} and band = array_min(array_intersect(bands, bands_a))").select("a", F.col("node").alias("b")).distinct()
     more = cut(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, percent).distinct(), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
