@@ -221,8 +221,10 @@ def fit(docs: DataFrame, order: int = 4, rows_per_language: int = 1000, seed: in
     return PPM(order, sorted(counted), counted)
 
 
-def predict(docs: DataFrame, model: PPM) -> DataFrame:
-    """doc_id, has_letters, lang_pred, score (the winner's posterior at equal priors, six decimals), bits_per_byte of every row of docs(doc_id, text)."""
+def predict(docs: DataFrame, model: PPM, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, has_letters, lang_pred, score (the winner's posterior at equal priors, six decimals), bits_per_byte of every row
+    of docs(doc_id, text), and its columns `keep`."""
+    others = list(keep or [])
 
     def run(batches):
         ready = model.prepare() if model.langs else None
@@ -238,11 +240,13 @@ def predict(docs: DataFrame, model: PPM) -> DataFrame:
                 score = np.where(letters, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0).round(6)
                 rate = (least / np.maximum(np.diff(at), 1)).round(6)
                 names = [model.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "has_letters", "lang_pred", "score", "bits_per_byte"])
+            found = [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score), pa.array(rate)]
+            yield pa.RecordBatch.from_arrays(found + batch.columns[3:], ["doc_id", "has_letters", "lang_pred", "score", "bits_per_byte", *others])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letters")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), letters)
-    return source.mapInArrow(run, "doc_id long, has_letters boolean, lang_pred string, score double, bits_per_byte double")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), letters, *(F.col(c).alias(f"{c}__") for c in others))
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    return source.mapInArrow(run, f"doc_id long, has_letters boolean, lang_pred string, score double, bits_per_byte double{kinds}")
 
 
 def held_out() -> F.Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plasmaflow.llm import dropout, forest, langid, maxscore, minhash, mixing, token_counts, wavelet
+from plasmaflow.llm import dropout, forest, langid, line_dedup, maxscore, minhash, mixing, token_counts, url_filter, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +53,13 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_url_templates": op2_url_templates,
     "op3_prefix_forest": op3_prefix_forest,
     "op4_token_counts": op4_token_counts,
     "op5_maxscore": op5_maxscore,
@@ -58,6 +67,7 @@ QUERIES = {
     "op7_flow_mixing": op7_flow_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
