@@ -14,6 +14,7 @@ MOST_BITS_PER_BYTE = 6.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of over 64 bytes that no learned language explains, go; lang becomes the predicted one."""
+    common.release(spark)
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.predict(docs, model, keep=[c for c in COLUMNS if c not in ("doc_id", "lang")])
     known = (F.col("lang_pred") != "und") & ((F.col("bits_per_byte") <= MOST_BITS_PER_BYTE) | (F.octet_length("text") <= 64))
@@ -22,18 +23,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line resembles go; documents that lose all their lines with words go with them."""
+    common.release(spark)
     out = line_dedup.dedup_lines(docs)
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity of 0.8 or more) stays."""
+    common.release(spark)
     gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, a document that it takes twice as two rows."""
+    common.release(spark)
     taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "row_key", F.expr("cast(taken div size as int)").alias("times")).distinct()
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     both = keyed.join(taken, (keyed.doc_id.eqNullSafe(taken.id)) & (keyed.row_key == taken.row_key))
@@ -44,6 +48,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, lang, source and the ids of a seeded merge-dropout segmentation that decodes to the text."""
     import public_tokenizers
 
+    common.release(spark)
     return dropout.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -63,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        docs = common.cut(stage(spark, docs, sf_dir), name, keep=True)
     return docs

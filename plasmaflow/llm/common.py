@@ -23,11 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_written: list[str] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor loses nothing.
+
+    The shuffles behind df are not needed again; a collection on the driver lets Spark's cleaner drop their files.
+    Tables without `keep` go at the next `release`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not keep:
+        _written.append(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables of earlier cuts, once the results that were made of them are written."""
+    jvm = spark._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

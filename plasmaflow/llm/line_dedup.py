@@ -21,6 +21,7 @@ Words are compared by 56 bits of their hash within a rarity class.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plasmaflow.llm.common import cut
@@ -29,6 +30,7 @@ SKETCH_BITS = 17
 #: Most candidate lines whose ids are broadcast (under 32 MB); more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 SPLIT = r"[ \t\x0B\f\r]+"
+EDGES = r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$"
 
 
 def _bucket(word_hash: Column) -> Column:
@@ -47,14 +49,14 @@ def rarity_classes(docs: DataFrame) -> Column:
 
 def _keys(line: Column, classes: Column | None) -> Column:
     """The line's distinct words as sorted numbers: rarity class, then hash."""
-    words = F.split(F.lower(line), SPLIT)
+    words = F.split(F.regexp_replace(F.lower(line), EDGES, ""), SPLIT)  # no empty word, as the line has a word
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
         rest = F.shiftrightunsigned(h, 8)
         return rest if classes is None else F.shiftleft(F.get(classes, _bucket(h)).cast("long"), 56).bitwiseOR(rest)
 
-    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), key)))
+    return F.array_sort(F.array_distinct(F.transform(words, key)))
 
 
 def _parity(keys: Column, half: int) -> Column:
@@ -65,13 +67,14 @@ def _parity(keys: Column, half: int) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, line_no of every line that an earlier one resembles."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", _keys(F.col("line"), rarity_classes(docs)).alias("keys")).where(F.size("keys") > 0)
+    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", _keys(F.col("line"), rarity_classes(docs)).alias("keys"))
     prefix = f"slice(keys, 1, size(keys) - cast((size(keys) * {percent} + 99) div 100 as int) + 1)"
     lines = cut(
         keyed.select(
@@ -86,54 +89,55 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         "lines",
     )
     first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.min("prefix").alias("prefix"))
-    post = first.select("id", "at", "n", "even", "odd", F.posexplode("prefix").alias("place", "word"))
-    shared = post.groupBy("word").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("at", "id", "n", "even", "odd", "place")).alias("top")).where("lines > 1")
-    post = cut(post.join(shared.select("word", "top"), "word"), "postings")
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        """(a, b) with a from left before b from right, as far as the filters allow the similarity."""
-        a = left.select("word", *(F.col(c).alias(f"a_{c}") for c in ("at", "id", "n", "even", "odd", "place")))
-        both = right.join(a, "word")
-        overlap = f"cast(({percent} * (n + a_n) + {99 + percent}) div {100 + percent} as int)"
-        return both.where(
-            f"a_at < at and 100 * least(n, a_n) >= {percent} * greatest(n, a_n) and least(n - place, a_n - a_place) >= {overlap}"
-            f" and bit_count(even ^ a_even) + bit_count(odd ^ a_odd) <= n + a_n - 2 * {overlap}"
-        ).select("a_at", F.col("at"), F.col("id")).distinct()
-
-    leaders = pairs_from_top(post, percent)
-    removed = cut(_verified(docs, leaders, percent).select("id").distinct(), "removed")
-    rest = post.join(removed, "id", "left_anti")
-    more = pairs(post, rest)
-    removed = removed.union(_verified(docs, more, percent).select("id")).distinct()
-
-    gone = lines.select("at", "id", "id2").join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed.withColumn("similar", F.lit(True)), "id", "left")
-    return gone.where("similar or at <> first").select("at.doc_id", "at.text_hash", "at.line_no")
-
-
-def pairs_from_top(post: DataFrame, percent: int) -> DataFrame:
-    """Each posting with the earliest line of its word, as far as the filters allow the similarity."""
-    overlap = f"cast(({percent} * (n + top.n) + {99 + percent}) div {100 + percent} as int)"
-    return post.where(
-        f"top.at < at and 100 * least(n, top.n) >= {percent} * greatest(n, top.n) and least(n - place, top.n - top.place) >= {overlap}"
-        f" and bit_count(even ^ top.even) + bit_count(odd ^ top.odd) <= n + top.n - 2 * {overlap}"
-    ).select(F.col("top.at").alias("a_at"), "at", "id").distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a_at, at, id) whose full sets have the similarity."""
-    pairs = cut(pairs, "pairs")
-    wanted = cut(pairs.select(F.col("a_at").alias("at")).union(pairs.select("at")).distinct().select("at.*"), "wanted")
+    first = cut(first, "first")
+    post = first.select("id", F.col("at.doc_id").alias("doc"), "n", "even", "odd", F.posexplode("prefix").alias("place", "word"))
+    word = W.partitionBy("word")  # a prefix word's lines are sorted and spilled, not collected
+    post = post.withColumn("lines", F.count(F.lit(1)).over(word)).withColumn("top", F.min(F.struct("doc", "id", "n", "even", "odd", "place")).over(word))
+    post = cut(post.where("lines > 1"), "postings")
+
+    pairs = post.where(f"top.id <> id and {_fits('top.', percent)}").select(F.col("top.id").alias("a_id"), "id")
+    removed = cut(_later(docs, first, pairs, percent), "removed")
+    # a word of two lines has had its only pair
+    many = post.where("lines > 2").select("word", "id", "doc", "n", "even", "odd", "place")
+    gone = removed.select("id")
+    rest = many.join(F.broadcast(gone) if removed.count() <= BROADCAST_LINES else gone, "id", "left_anti")
+    a = many.select("word", *(F.col(c).alias(f"a_{c}") for c in ("id", "doc", "n", "even", "odd", "place")))
+    earlier = "(a_doc is null or a_doc <= doc) and a_id <> id"
+    more = rest.join(a, "word").where(f"{earlier} and {_fits('a_', percent)}").select("a_id", "id")
+    removed = removed.union(_later(docs, first, more, percent)).distinct().withColumn("similar", F.lit(True))
+
+    marked = lines.select("at", "id", "id2").join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed, ["id", "id2"], "left")
+    return marked.where("similar or at <> first").select("at.doc_id", "at.text_hash", "at.line_no")
+
+
+def _fits(a: str, percent: int) -> str:
+    """The length, positional and bitmap filters between a posting and the one whose fields begin with `a`."""
+    overlap = f"cast(({percent} * (n + {a}n) + {99 + percent}) div {100 + percent} as int)"
+    return (
+        f"100 * least(n, {a}n) >= {percent} * greatest(n, {a}n) and least(n - place, {a}n - {a}place) >= {overlap}"
+        f" and bit_count(even ^ {a}even) + bit_count(odd ^ {a}odd) <= n + {a}n - 2 * {overlap}"
+    )
+
+
+def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """id, id2 of the later line of each pair (a_id, id) whose full sets have the similarity."""
+    pairs = cut(pairs.distinct(), "pairs")
+    ids = cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("id")).distinct(), "ids")
+    small = ids.count() <= BROADCAST_LINES
+    wanted = cut(first.select("at", "id", "id2").join(F.broadcast(ids) if small else ids, "id", "left_semi").select("at.*", "id", "id2"), "wanted")
     small = wanted.count() <= BROADCAST_LINES
-    ids = wanted.select("doc_id").distinct()
-    few = docs.join(F.broadcast(ids) if small else ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    near = F.broadcast(wanted) if small else wanted
-    lines = _lines(few)
-    same = lines.doc_id.eqNullSafe(near.doc_id) & (lines.text_hash == near.text_hash) & (lines.line_no == near.line_no)
-    found = lines.join(near, same, "left_semi").select(F.struct("doc_id", "text_hash", "line_no").alias("at"), _keys(F.col("line"), None).alias("keys"))
-    found = cut(found.dropDuplicates(["at"]), "sets")
-    a = found.select(F.col("at").alias("a_at"), F.col("keys").alias("a_keys"))
+    docs_in = wanted.select("doc_id").distinct()
+    few = docs.join(F.broadcast(docs_in) if small else docs_in, docs.doc_id.eqNullSafe(docs_in.doc_id), "left_semi")
+    near = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), "id", "id2")
+    lines = _lines(few).dropDuplicates(["doc_id", "text_hash", "line_no"])
+    same = lines.doc_id.eqNullSafe(near.d) & (lines.text_hash == near.t) & (lines.line_no == near.l)
+    found = lines.join(F.broadcast(near) if small else near, same).select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "id", "id2", _keys(F.col("line"), None).alias("keys"))
+    found = cut(found, "sets")
+    a = found.select(F.col("id").alias("a_id"), F.col("id2").alias("a_id2"), F.col("at").alias("a_at"), F.col("keys").alias("a_keys"))
     both = F.size(F.array_intersect("keys", "a_keys"))
-    return pairs.join(found, "at").join(a, "a_at").where(100 * both >= percent * (F.size("keys") + F.size("a_keys") - both)).select("a_at", "at", "id")
+    alike = pairs.join(found, "id").join(a, "a_id").where(100 * both >= percent * (F.size("keys") + F.size("a_keys") - both))
+    late = F.col("at") > F.col("a_at")
+    return alike.select(F.when(late, F.col("id")).otherwise(F.col("a_id")).alias("id"), F.when(late, F.col("id2")).otherwise(F.col("a_id2")).alias("id2")).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
