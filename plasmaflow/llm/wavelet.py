@@ -30,7 +30,7 @@ from plasmaflow.llm.common import partitions, shared_dir
 
 RANK_EVERY = 512
 SEGMENT_TOKENS = 1 << 19
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Fields of a stored segment.
 SEGMENT = "shard int, segment int, n_tokens long, bits int, planes binary, ranks binary, zeros array<long>, doc_ids array<long>, doc_tokens array<long>"
 
@@ -131,45 +131,63 @@ class WaveletMatrix:
 
 
 class WordIds(dict):
-    """Ids of space-delimited chunks as packed 16-bit (or 32-bit) numbers; misses are encoded together by the library."""
+    """Ids of space-delimited chunks as packed 16-bit (or 32-bit) numbers; misses are encoded together by the library.
 
-    MARK = "<|endoftext|>"
+    The tokenizer drops white space and lower-cases, so a text may be cut at spaces and line ends and lower-cased before;
+    only special strings, which it finds in the raw text, and the context-dependent capital sigma keep their case here."""
+
+    MARK = "\x01"  # parts the chunks that are encoded together; a token of its own
+    ENDS = ".,;:!?"
 
     def __init__(self, path: str):
         super().__init__()
         self.tool = Tokenizer.from_file(path)
         self.tool.no_padding()
         self.tool.no_truncation()
-        self.mark = self.tool.token_to_id(self.MARK)
         self.kind = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
+        mark = self._direct(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
         self[""] = b""
+        self.update({c: self._direct(c).tobytes() for c in self.ENDS})
 
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.kind)
 
     def learn(self, chunks: set[str]) -> None:
-        missing = list(chunks - self.keys())
+        missing = chunks - self.keys()
         if len(self) + len(missing) > CACHE_ENTRIES:
-            self.clear()
-            self[""] = b""
-            missing = list(chunks - self.keys())
-        if self.mark is None:
-            plain, odd = [], missing
-        else:
-            plain, odd = [c for c in missing if "<|" not in c], [c for c in missing if "<|" in c]
+            self._start()
+            missing = chunks - self.keys()
+        # a mark after a letter is a pre-token of its own
+        ended = [c for c in missing if c[-1] in self.ENDS and c[-2].isalpha() and "<|" not in c]
+        missing.difference_update(ended)
+        missing.update([c for e in ended if (c := e[:-1]) not in self])
+        odd = [c for c in missing if self.mark is None or self.MARK in c or "<|" in c]
+        missing.difference_update(odd)
         for chunk in odd:
             self[chunk] = self._direct(chunk).tobytes()
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, found in zip(groups, self.tool.encode_batch_fast([self.MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
+        plain = list(missing)
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        between = f" {self.MARK} "
+        for group, found in zip(groups, self.tool.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            begins = np.append(0, ends[:-1] + 1)
-            for chunk, b, e in zip(group, begins.tolist(), ends.tolist(), strict=True):
-                self[chunk] = ids[b:e].tobytes()
+            packed, size = ids.tobytes(), ids.itemsize
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * size
+            begin = 0
+            for chunk, end in zip(group, ends.tolist(), strict=True):
+                self[chunk] = packed[begin:end]
+                begin = end + size
+        for chunk in ended:
+            self[chunk] = self[chunk[:-1]] + self[chunk[-1]]
 
     def encode(self, texts: list[str | None]):
-        """Packed ids of each text: the library drops white space, so a text is cut at spaces and line ends."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        """Packed ids of each text."""
+        plain = [(t if "<|" in t or "\u03a3" in t else t.lower()) if t else "" for t in texts]
+        split = [t.replace("\n", " ").split(" ") for t in plain]
         for i in range(0, len(split), 256):
             some = split[i : i + 256]
             self.learn(set().union(*some))
