@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plasmaflow.functions import special
 
 
 def _udf(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(*columns: pd.Series) -> pd.Series:
         arrays = [c.to_numpy(float, na_value=np.nan) for c in columns]
         out = np.full(len(columns[0]), np.nan)

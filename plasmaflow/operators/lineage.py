@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that iterations don't stack up lineage."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a fresh local folder where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/{uuid.uuid4().hex}"
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back, so that iterations don't stack up lineage."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
