@@ -142,11 +142,11 @@ def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, percent: int) ->
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the duplicate lines taken out of text, and n_lines and n_removed (both null for a null text)."""
-    gone = duplicate_lines(docs, percent).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
-    hashed = docs.withColumn("text_hash__", F.xxhash64("text"))
-    joined = hashed.join(gone, hashed.doc_id.eqNullSafe(gone.doc_id) & (hashed.text_hash__ == gone.text_hash), "left")
-    lines = F.split(hashed.text, "\n")
-    kept = F.when(F.col("gone").isNull(), hashed.text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
-    n_removed = F.when(hashed.text.isNotNull(), F.coalesce(F.size("gone"), F.lit(0)))
-    columns = [kept.alias("text") if c == "text" else hashed[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.when(hashed.text.isNotNull(), F.size(lines)).alias("n_lines"), n_removed.alias("n_removed"))
+    gone = duplicate_lines(docs, percent).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone__"))
+    gone = gone.select(F.col("doc_id").alias("doc__"), F.col("text_hash").alias("hash__"), "gone__")
+    joined = docs.join(gone, docs.doc_id.eqNullSafe(F.col("doc__")) & (F.xxhash64(docs.text) == F.col("hash__")), "left")
+    lines = F.split(docs.text, "\n")
+    kept = F.when(F.col("gone__").isNull(), docs.text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone__", i)), "\n"))
+    n_removed = F.when(docs.text.isNotNull(), F.coalesce(F.size("gone__"), F.lit(0)))
+    columns = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, F.when(docs.text.isNotNull(), F.size(lines)).alias("n_lines"), n_removed.alias("n_removed"))
