@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from plasmaflow.llm.common import cut
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: Buckets of a pattern, whose totals the driver sees; beyond it a bucket holds more documents.
+MOST_BUCKETS = 4096
 
 
 def word_count(text: str = "text") -> Column:
@@ -145,11 +146,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total_share: floa
     wanted = targets(sizes, weights, total_share, float(passes))
     flows = min_cost_flow(patterns, [r["words"] for r in rows], {s: round(t) for s, t in wanted.items()}, passes)
 
-    plan = [(list(p), i, max(1, r["docs"] // bucket_docs), p[0], sizes[p[0]], float(wanted[p[0]])) for i, (p, r) in enumerate(zip(patterns, rows, strict=True))]
+    plan = [(list(p), i, min(max(1, r["docs"] // bucket_docs), MOST_BUCKETS), p[0], sizes[p[0]], float(wanted[p[0]])) for i, (p, r) in enumerate(zip(patterns, rows, strict=True))]
     plan_df = spark.createDataFrame(plan, "members array<string>, pattern int, buckets int, source string, source_size long, target double")
     bucket = F.floor(F.shiftrightunsigned("place", 1) / F.lit(float(1 << 63)) * F.col("buckets")).cast("int")
     keyed = slim.withColumn("m", F.to_json("members")).join(F.broadcast(plan_df.withColumn("m", F.to_json("members")).drop("members")), "m").withColumn("bucket", F.least(bucket, F.col("buckets") - 1))
-    totals = keyed.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")).toPandas()  # bounded: one row for about bucket_docs documents
+    totals = keyed.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")).toPandas()  # at most MOST_BUCKETS rows a pattern
 
     whole: list[tuple[int, int, int]] = []  # pattern, bucket, passes that take it whole
     cuts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (pattern, bucket) to (pass, words to take inside)
