@@ -40,14 +40,19 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables of earlier cuts, once the results that were made of them are written."""
-    jvm = spark._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def drop(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables of earlier cuts by that name, or all, once what was made of them is written."""
+    for where in [w for w in _written if w.rpartition("/")[2].startswith(f"{name}-" if name else "")]:
+        _written.remove(where)
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables of all earlier cuts, once the results that were made of them are written."""
+    drop(spark)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

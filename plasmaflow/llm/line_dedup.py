@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plasmaflow.llm.common import cut
+from plasmaflow.llm.common import cut, drop
 
 SKETCH_BITS = 17
 #: Most candidate lines whose ids are broadcast (under 32 MB); more are joined by a shuffle.
@@ -91,12 +91,15 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.min("prefix").alias("prefix"))
     first = cut(first, "first")
     post = first.select("id", F.col("at.doc_id").alias("doc"), "n", "even", "odd", F.posexplode("prefix").alias("place", "word"))
+    # from here a word is only a key: 32 bits of it propose a few more candidates and move less
+    post = post.withColumn("word", F.hash("word"))
     word = W.partitionBy("word")  # a prefix word's lines are sorted and spilled, not collected
     post = post.withColumn("lines", F.count(F.lit(1)).over(word)).withColumn("top", F.min(F.struct("doc", "id", "n", "even", "odd", "place")).over(word))
-    post = cut(post.where("lines > 1"), "postings")
+    near = F.expr(f"case when top.id <> id and {_fits('top.', percent)} then top.id end").alias("a_id")
+    post = post.where("lines > 1").select("word", "id", "doc", "n", "even", "odd", "place", "lines", near)
+    post = cut(post.where("lines > 2 or a_id is not null"), "line_postings")
 
-    pairs = post.where(f"top.id <> id and {_fits('top.', percent)}").select(F.col("top.id").alias("a_id"), "id")
-    removed = cut(_later(docs, first, pairs, percent), "removed")
+    removed = cut(_later(docs, first, post.where("a_id is not null").select("a_id", "id"), percent), "removed")
     # a word of two lines has had its only pair
     many = post.where("lines > 2").select("word", "id", "doc", "n", "even", "odd", "place")
     gone = removed.select("id")
@@ -104,7 +107,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     a = many.select("word", *(F.col(c).alias(f"a_{c}") for c in ("id", "doc", "n", "even", "odd", "place")))
     earlier = "(a_doc is null or a_doc <= doc) and a_id <> id"
     more = rest.join(a, "word").where(f"{earlier} and {_fits('a_', percent)}").select("a_id", "id")
-    removed = removed.union(_later(docs, first, more, percent)).distinct().withColumn("similar", F.lit(True))
+    removed = cut(removed.union(_later(docs, first, more, percent)).distinct().withColumn("similar", F.lit(True)), "removed")
+    for done in ("line_postings", "line_pairs", "line_ids", "line_wanted", "line_sets"):
+        drop(docs.sparkSession, done)
 
     marked = lines.select("at", "id", "id2").join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed, ["id", "id2"], "left")
     return marked.where("similar or at <> first").select("at.doc_id", "at.text_hash", "at.line_no")
@@ -121,10 +126,10 @@ def _fits(a: str, percent: int) -> str:
 
 def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """id, id2 of the later line of each pair (a_id, id) whose full sets have the similarity."""
-    pairs = cut(pairs.distinct(), "pairs")
-    ids = cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("id")).distinct(), "ids")
+    pairs = cut(pairs.distinct(), "line_pairs")
+    ids = cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("id")).distinct(), "line_ids")
     small = ids.count() <= BROADCAST_LINES
-    wanted = cut(first.select("at", "id", "id2").join(F.broadcast(ids) if small else ids, "id", "left_semi").select("at.*", "id", "id2"), "wanted")
+    wanted = cut(first.select("at", "id", "id2").join(F.broadcast(ids) if small else ids, "id", "left_semi").select("at.*", "id", "id2"), "line_wanted")
     small = wanted.count() <= BROADCAST_LINES
     docs_in = wanted.select("doc_id").distinct()
     few = docs.join(F.broadcast(docs_in) if small else docs_in, docs.doc_id.eqNullSafe(docs_in.doc_id), "left_semi")
@@ -132,7 +137,7 @@ def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, percent: int) ->
     lines = _lines(few).dropDuplicates(["doc_id", "text_hash", "line_no"])
     same = lines.doc_id.eqNullSafe(near.d) & (lines.text_hash == near.t) & (lines.line_no == near.l)
     found = lines.join(F.broadcast(near) if small else near, same).select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "id", "id2", _keys(F.col("line"), None).alias("keys"))
-    found = cut(found, "sets")
+    found = cut(found, "line_sets")
     a = found.select(F.col("id").alias("a_id"), F.col("id2").alias("a_id2"), F.col("at").alias("a_at"), F.col("keys").alias("a_keys"))
     both = F.size(F.array_intersect("keys", "a_keys"))
     alike = pairs.join(found, "id").join(a, "a_id").where(100 * both >= percent * (F.size("keys") + F.size("a_keys") - both))

@@ -1,8 +1,8 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
 MAXSCORE = """
-WITH v AS (SELECT vec_id, LIST_TRANSFORM(embedding, x -> FLOOR(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND LEN(LIST_FILTER(embedding, x -> x IS NULL OR NOT ISFINITE(x))) = 0),
+WITH v AS (SELECT vec_id, LIST_TRANSFORM(embedding, lambda x: FLOOR(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(LIST_INNER_PRODUCT(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
@@ -22,12 +22,12 @@ FROM n JOIN (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_i
 
 LINES = r"""
 WITH l AS (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS line, GENERATE_SUBSCRIPTS(STRING_SPLIT(text, CHR(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, line_no, line, LIST_SORT(LIST_DISTINCT(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(line), '[ \t\x0B\f\r]+'), x -> x <> ''))) AS w FROM l),
+t AS (SELECT doc_id, line_no, line, LIST_SORT(LIST_DISTINCT(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(line), '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS w FROM l),
 k AS (SELECT w, MIN((doc_id, line_no)) AS first, LEN(w) AS n FROM t WHERE LEN(w) > 0 GROUP BY w),
 u AS (SELECT ROW_NUMBER() OVER (ORDER BY first) AS id, * FROM k),
 tok AS (SELECT id, n, UNNEST(w) AS word FROM u),
-pr AS (SELECT b.id, a.id AS a_id, COUNT(*) AS both, ANY_VALUE(a.n) AS an, ANY_VALUE(b.n) AS bn FROM tok a JOIN tok b ON a.word = b.word AND a.id < b.id AND 100 * LEAST(a.n, b.n) >= 80 * GREATEST(a.n, b.n) GROUP BY b.id, a.id),
-bad AS (SELECT DISTINCT id FROM pr WHERE 100 * both >= 80 * (an + bn - both)),
+pr AS (SELECT b.id, a.id AS a_id, COUNT(*) AS k, ANY_VALUE(a.n) AS an, ANY_VALUE(b.n) AS bn FROM tok a JOIN tok b ON a.word = b.word AND a.id < b.id AND 100 * LEAST(a.n, b.n) >= 80 * GREATEST(a.n, b.n) GROUP BY b.id, a.id),
+bad AS (SELECT DISTINCT id FROM pr WHERE 100 * k >= 80 * (an + bn - k)),
 g AS (SELECT t.doc_id, t.line_no, t.line, COALESCE(bad.id IS NOT NULL OR (t.doc_id, t.line_no) <> u.first, FALSE) AS gone FROM t LEFT JOIN u ON u.w = t.w LEFT JOIN bad ON bad.id = u.id)
 SELECT doc_id, COALESCE(STRING_AGG(line, CHR(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, CAST(COUNT(*) AS INT) AS n_lines, CAST(COUNT(*) FILTER (gone) AS INT) AS n_removed FROM g GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL
