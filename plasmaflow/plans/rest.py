@@ -36,6 +36,7 @@ query("umi_from_header", R + " SELECT umi, COUNT(*) AS n FROM reads GROUP BY ALL
 query("phred_decode", R + " SELECT quality AS q, COUNT(*) AS n FROM reads GROUP BY ALL")(lambda s, d: core.reads(s, d).select(dna.phred_decode(F.char(F.col("quality") + 33))[0].alias("q")).groupBy("q").agg(F.count(F.lit(1)).alias("n")))
 query("phred_weight", R + " SELECT quality, CAST(CAST(POW(10, quality / 10.0) AS DECIMAL(20,6)) AS DOUBLE) AS w FROM reads GROUP BY ALL")(lambda s, d: core.reads(s, d).select("quality", dna.phred_weight("quality").cast("double").alias("w")).distinct())
 query("reverse_complement", R + " SELECT DISTINCT umi, TRANSLATE(umi, 'ACGT', 'TGCA') AS complement, REVERSE(TRANSLATE(umi, 'ACGT', 'TGCA')) AS reverse_complement FROM reads")(lambda s, d: core.reads(s, d).select("umi", dna.complement("umi").alias("complement"), dna.reverse_complement("umi").alias("reverse_complement")).distinct())
+query("complement", R + " SELECT DISTINCT umi, TRANSLATE(umi, 'ACGT', 'TGCA') AS complement FROM reads")(lambda s, d: core.reads(s, d).select("umi", dna.complement("umi").alias("complement")).distinct())
 query("normalize_context", R + f" SELECT DISTINCT context, ref, alt, {core.NORMAL} AS n_context, {core.NREF} AS n_ref, {core.NALLELE.replace('allele', 'alt')} AS n_alt FROM reads")(lambda s, d: core.reads(s, d).select("context", "ref", "alt", dna.normal_context("context").alias("n_context"), dna.normal_base("context", "ref").alias("n_ref"), dna.normal_base("context", "alt").alias("n_alt")).distinct())
 query("mutation_type", R + " SELECT ref, alt, CASE WHEN ref || alt IN ('AG', 'GA', 'CT', 'TC') THEN 'transition' ELSE 'transversion' END AS kind, COUNT(*) AS n FROM reads WHERE ref <> alt GROUP BY ALL")(lambda s, d: core.reads(s, d).where("ref <> alt").groupBy("ref", "alt", dna.mutation_type("ref", "alt").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 query("extract_context", R + " SELECT umi, read_position % 6 AS at, CASE WHEN read_position % 6 BETWEEN 1 AND 4 THEN SUBSTR(umi, read_position % 6, 3) END AS context, COUNT(*) AS n FROM reads GROUP BY ALL")(lambda s, d: core.reads(s, d).withColumn("at", F.col("read_position") % 6).select("umi", "at", dna.extract_context("umi", "at").alias("context")).groupBy("umi", "at", "context").agg(F.count(F.lit(1)).alias("n")))
