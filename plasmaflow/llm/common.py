@@ -93,15 +93,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15 | 1, np.uint64))
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of rows data[at[i]:at[i+1]], and the words per row."""
-    inside = ~_SEPARATOR[data]
+    inside = ~SEPARATOR[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = at[:-1][at[:-1] < at[1:]]
@@ -110,7 +110,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     per_row = np.diff(np.searchsorted(starts, at))
     if not len(starts):
         return np.zeros(0, np.uint64), per_row
-    chars = _LOWER[data[inside]]
+    chars = LOWER[data[inside]]
     first = np.cumsum(inside)[starts] - 1
     lengths = np.diff(np.append(first, len(chars)))
     within = np.arange(len(chars)) - np.repeat(first, lengths)

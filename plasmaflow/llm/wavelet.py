@@ -14,6 +14,8 @@ of their text; a null doc_id sorts first; an empty table writes no segment; extr
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -26,10 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plasmaflow.llm.common import partitions, shared_dir
+from plasmaflow.llm.common import LOWER, SEPARATOR, partitions, row_slices, shared_dir, utf8
 
 RANK_EVERY = 512
 SEGMENT_TOKENS = 1 << 19
+#: Bytes of text whose chunks are looked up together.
+SLICE_TEXT = 4 << 20
 CACHE_ENTRIES = 800_000
 #: Fields of a stored segment.
 SEGMENT = "shard int, segment int, n_tokens long, bits int, planes binary, ranks binary, zeros array<long>, doc_ids array<long>, doc_tokens array<long>"
@@ -133,11 +137,12 @@ class WaveletMatrix:
 class WordIds(dict):
     """Ids of space-delimited chunks as packed 16-bit (or 32-bit) numbers; misses are encoded together by the library.
 
-    The tokenizer drops white space and lower-cases, so a text may be cut at spaces and line ends and lower-cased before;
-    only special strings, which it finds in the raw text, and the context-dependent capital sigma keep their case here."""
+    The tokenizer drops white space and lower-cases, so a text may be cut at white space and its A-Z lower-cased before;
+    only chunks with special strings, which it finds in the raw text, and chunks with combining marks, which it composes
+    before it lower-cases, keep their case here. A slice of texts looks up each of its distinct chunks once."""
 
     MARK = "\x01"  # parts the chunks that are encoded together; a token of its own
-    ENDS = ".,;:!?"
+    ENDS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # ASCII marks but ' and <
 
     def __init__(self, path: str):
         super().__init__()
@@ -147,30 +152,25 @@ class WordIds(dict):
         self.kind = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
         mark = self._direct(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
-        self._start()
-
-    def _start(self) -> None:
-        self.clear()
-        self[""] = b""
-        self.update({c: self._direct(c).tobytes() for c in self.ENDS})
 
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def learn(self, chunks: set[str]) -> None:
-        missing = chunks - self.keys()
+    def learn(self, missing: list[str]) -> None:
+        """Encode these distinct unknown chunks; a full cache starts anew."""
         if len(self) + len(missing) > CACHE_ENTRIES:
-            self._start()
-            missing = chunks - self.keys()
-        # a mark after a letter is a pre-token of its own
-        ended = [c for c in missing if c[-1] in self.ENDS and c[-2].isalpha() and "<|" not in c]
-        missing.difference_update(ended)
-        missing.update([c for e in ended if (c := e[:-1]) not in self])
-        odd = [c for c in missing if self.mark is None or self.MARK in c or "<|" in c]
-        missing.difference_update(odd)
-        for chunk in odd:
-            self[chunk] = self._direct(chunk).tobytes()
-        plain = list(missing)
+            self.clear()
+        # marks after a letter, up to the chunk's end, are a pre-token of their own
+        ended = [(c, bare) for c in missing if (bare := c.rstrip(self.ENDS)) != c and _ends_in_letter(bare) and "<|" not in c]
+        whole = {c for c, _ in ended}
+        parts = {p for c, bare in ended for p in (bare, c[len(bare) :])}
+        wanted = [c for c in {*missing, *parts} if c not in whole and c not in self]
+        plain = []
+        for chunk in wanted:
+            if self.mark is None or self.MARK in chunk or "<|" in chunk:
+                self[chunk] = self._direct(chunk).tobytes()
+            else:
+                plain.append(chunk)
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         between = f" {self.MARK} "
         for group, found in zip(groups, self.tool.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -181,22 +181,61 @@ class WordIds(dict):
             for chunk, end in zip(group, ends.tolist(), strict=True):
                 self[chunk] = packed[begin:end]
                 begin = end + size
-        for chunk in ended:
-            self[chunk] = self[chunk[:-1]] + self[chunk[-1]]
-
-    def encode(self, texts: list[str | None]):
-        """Packed ids of each text."""
-        plain = [(t if "<|" in t or "\u03a3" in t else t.lower()) if t else "" for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in plain]
-        for i in range(0, len(split), 256):
-            some = split[i : i + 256]
-            self.learn(set().union(*some))
-            for chunks in some:
-                yield b"".join(map(self.__getitem__, chunks))
+        for chunk, bare in ended:
+            self[chunk] = self[bare] + self[chunk[len(bare) :]]
+
+    def encode(self, texts: pa.Array, tail: int):
+        """Slices of the rows' ids, each row's followed by `tail`, and the rows' numbers of ids."""
+        data, at = utf8(texts)
+        for i, j in row_slices(at, SLICE_TEXT):
+            chunks, per_row = white_space_chunks(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            coded = chunks.dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            packed = list(map(self.get, words))
+            new = [k for k, p in enumerate(packed) if p is None]
+            self.learn([words[k] for k in new])
+            for k in new:
+                packed[k] = self[words[k]]
+            flat = np.frombuffer(b"".join(packed) + np.array([tail], self.kind).tobytes(), self.kind)
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // flat.itemsize
+            first = np.cumsum(sizes) - sizes
+            # the tail is one more word, at the end of each row
+            word = np.insert(coded.indices.to_numpy(), np.cumsum(per_row), len(words))
+            sizes, first = np.append(sizes, 1), np.append(first, len(flat) - 1)
+            own = sizes[word]
+            ends = np.cumsum(own)
+            row_ends = ends[np.cumsum(per_row + 1) - 1]
+            yield flat[np.repeat(first[word] - (ends - own), own) + np.arange(ends[-1])], np.diff(row_ends, prepend=0)
+
+
+def _ends_in_letter(text: str) -> bool:
+    """Whether the text's last character, composed and lower-cased as the tokenizer does, ends in a letter."""
+    return unicodedata.normalize("NFC", text[-1:]).lower()[-1:].isalpha()
+
+
+def white_space_chunks(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The chunks between ASCII white space of rows data[at[i]:at[i+1]], A-Z lower-cased where `WordIds` allows, and chunks per row."""
+    inside = ~SEPARATOR[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = at[:-1][at[:-1] < at[1:]]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    raw = data[inside]
+    first = np.cumsum(inside)[starts] - 1 if len(starts) else np.zeros(0, np.int64)
+    offsets = np.append(first, len(raw))
+    low = LOWER[raw]
+    cased = (raw == 0xCC) | (raw == 0xCD)  # U+0300 to U+037F
+    cased[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+    for k in np.unique(np.searchsorted(first, np.flatnonzero(cased), "right") - 1).tolist():
+        low[offsets[k] : offsets[k + 1]] = raw[offsets[k] : offsets[k + 1]]
+    chunks = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(low))
+    return chunks, np.diff(np.searchsorted(starts, at))
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return WordIds(path)
 
 
@@ -207,30 +246,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
         from pyspark import TaskContext
 
         tool, shard, segment = word_ids(tokenizer), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], tool.kind).tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         ids: list[int | None] = []
-        size = 0
+        lengths: list[int] = []
 
         def full():
-            own = np.frombuffer(b"".join(held), tool.kind)
-            tree = WaveletMatrix.build(own)
-            lengths = [len(h) // own.itemsize for h in held]
+            tree = WaveletMatrix.build(np.concatenate(held))
             values = [[shard], [segment], [tree.n], [tree.bits], [tree.planes.tobytes()], [tree.ranks.tobytes()], [tree.zeros.tolist()], [ids], [lengths]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             names = ["shard", "segment", "n_tokens", "bits", "planes", "ranks", "zeros", "doc_ids", "doc_tokens"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                for doc_id, packed in zip(part.column(0).to_pylist(), tool.encode(part.column(1).to_pylist()), strict=True):
-                    ids.append(doc_id)
-                    held.append(packed + tail)
-                    size += len(packed) // len(tail) + 1
-                    if size >= SEGMENT_TOKENS:
-                        yield full()
-                        held, ids, size, segment = [], [], 0, segment + 1
+            doc_ids = batch.column(0).to_pylist()
+            done = 0
+            for own, sizes in tool.encode(batch.column(1), end_id):
+                held.append(own)
+                lengths += sizes.tolist()
+                ids += doc_ids[done : done + len(sizes)]
+                done += len(sizes)
+                if sum(map(len, held)) >= SEGMENT_TOKENS:
+                    yield full()
+                    held, ids, lengths, segment = [], [], [], segment + 1
         if held:
             yield full()
 
