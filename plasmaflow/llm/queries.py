@@ -50,7 +50,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.token_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return wavelet.token_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ of their text; a null doc_id sorts first; an empty table writes no segment; extr
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -142,6 +144,7 @@ class WordIds(dict):
     before it lower-cases, keep their case here. A slice of texts looks up each of its distinct chunks once."""
 
     MARK = "\x01"  # parts the chunks that are encoded together; a token of its own
+    SIMPLE = re.compile("[a-zß-öø-ÿ]+")
     ENDS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # ASCII marks but ' and <
 
     def __init__(self, path: str):
@@ -150,9 +153,27 @@ class WordIds(dict):
         self.tool.no_padding()
         self.tool.no_truncation()
         self.kind = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
+        self.letters, self.closes = self._letters_only()
         mark = self._direct(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
+    def _letters_only(self) -> tuple[Tokenizer | None, np.ndarray]:
+        """The same model for `SIMPLE` chunks, which normalise to themselves and are one pre-token, and which ids close a pre-token.
+
+        None where the tokenizer marks no word ends or gives other ids for the probes."""
+        parts = json.loads(self.tool.to_str())
+        suffix, before = parts["model"].get("end_of_word_suffix"), (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        closes = np.zeros(self.tool.get_vocab_size(), bool)
+        if not suffix or not before or before[-1]["type"] != "ByteLevel":
+            return None, closes
+        closes[[i for t, i in self.tool.get_vocab().items() if t.endswith(suffix)]] = True
+        parts["normalizer"], parts["added_tokens"] = None, []
+        parts["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, before[-1]]
+        letters = Tokenizer.from_str(json.dumps(parts))
+        probes = ["the quick brown", "x", "straße über", "naïve façade ÿ", "zzzzqqqq thingsøåæ"]
+        same = all(letters.encode(p, add_special_tokens=False).ids == self.tool.encode(p, add_special_tokens=False).ids for p in probes)
+        return (letters if same else None), closes
+
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, self.kind)
 
@@ -165,24 +186,29 @@ class WordIds(dict):
         whole = {c for c, _ in ended}
         parts = {p for c, bare in ended for p in (bare, c[len(bare) :])}
         wanted = [c for c in {*missing, *parts} if c not in whole and c not in self]
-        plain = []
+        plain, simple = [], []
         for chunk in wanted:
-            if self.mark is None or self.MARK in chunk or "<|" in chunk:
+            if self.letters is not None and self.SIMPLE.fullmatch(chunk):
+                simple.append(chunk)
+            elif self.mark is None or self.MARK in chunk or "<|" in chunk:
                 self[chunk] = self._direct(chunk).tobytes()
             else:
                 plain.append(chunk)
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        between = f" {self.MARK} "
-        for group, found in zip(groups, self.tool.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+        self._together(simple, self.letters, " ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
+        self._together(plain, self.tool, f" {self.MARK} ", lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+        for chunk, bare in ended:
+            self[chunk] = self[bare] + self[chunk[len(bare) :]]
+
+    def _together(self, chunks: list[str], tool: Tokenizer, between: str, ends_of, gap: int) -> None:
+        """Encode many chunks in one text and part the ids where ends_of says, `gap` ids between them."""
+        groups = [chunks[i : i + 512] for i in range(0, len(chunks), 512)]
+        for group, found in zip(groups, tool.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
             ids = np.array(found.ids, self.kind)
             packed, size = ids.tobytes(), ids.itemsize
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * size
             begin = 0
-            for chunk, end in zip(group, ends.tolist(), strict=True):
+            for chunk, end in zip(group, (ends_of(ids) * size).tolist(), strict=True):
                 self[chunk] = packed[begin:end]
-                begin = end + size
-        for chunk, bare in ended:
-            self[chunk] = self[bare] + self[chunk[len(bare) :]]
+                begin = end + gap * size
 
     def encode(self, texts: pa.Array, tail: int):
         """Slices of the rows' ids, each row's followed by `tail`, and the rows' numbers of ids."""
@@ -276,8 +302,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
     ordered.mapInArrow(run, SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids of every stored document."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless told otherwise, ids of every stored document."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
     def run(batches):
         for batch in batches:
@@ -286,20 +313,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 lengths = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                base = row["base"]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     segments = spark.read.schema(SEGMENT).parquet(path)
     sizes = segments.groupBy("shard", "segment").agg(F.sum("n_tokens").alias("size"))
     first = sizes.withColumn("base", F.sum("size").over(W.orderBy("shard", "segment")) - F.col("size")).drop("size")
     placed = segments.join(F.broadcast(first), ["shard", "segment"])
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
-def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write docs as wavelet-matrix shards into the shared folder and read them back: doc_id, start, n_tokens, ids_crc32, ids."""
+def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """Write docs as wavelet-matrix shards into the shared folder and read them back, as `read` does."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id)
-    return read(spark, path)
+    return read(spark, path, with_ids)
