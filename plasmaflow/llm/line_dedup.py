@@ -30,7 +30,7 @@ SKETCH_BITS = 17
 #: Most candidate lines whose ids are broadcast (under 32 MB); more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 SPLIT = r"[ \t\x0B\f\r]+"
-EDGES = r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$"
+BLANKS = " \t\x0b\f\r"
 
 
 def _bucket(word_hash: Column) -> Column:
@@ -49,26 +49,26 @@ def rarity_classes(docs: DataFrame) -> Column:
 
 def _keys(line: Column, classes: Column | None) -> Column:
     """The line's distinct words as sorted numbers: rarity class, then hash."""
-    words = F.split(F.regexp_replace(F.lower(line), EDGES, ""), SPLIT)  # no empty word, as the line has a word
+    words = F.split(F.btrim(F.lower(line), F.lit(BLANKS)), SPLIT)  # no empty word, as the line has a word
 
     def key(word: Column) -> Column:
         h = F.xxhash64(word)
         rest = F.shiftrightunsigned(h, 8)
-        return rest if classes is None else F.shiftleft(F.get(classes, _bucket(h)).cast("long"), 56).bitwiseOR(rest)
+        return rest if classes is None else F.shiftleft(F.coalesce(F.get(classes, _bucket(h)).cast("long"), F.expr("0L")), 56).bitwiseOR(rest)
 
-    return F.array_sort(F.array_distinct(F.transform(words, key)))
+    return F.sort_array(F.array_distinct(F.transform(words, key)))  # of numbers that are never null: a primitive sort
 
 
-def _parity(keys: Column, half: int) -> Column:
-    """64 parities of the words whose hash has bit 6 as `half`: they differ in no more bits than the sets differ in words."""
-    bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, F.expr("1L")).otherwise(F.expr("0L"))
-    shifted = lambda x: F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(keys: Column, bit: Column | None = None) -> Column:
+    """64 parities of the words, or of those whose hash has bit 6: they differ in no more bits than the sets differ in words."""
+    one = lambda x: F.expr("1L") if bit is None else F.shiftrightunsigned(x, 6).bitwiseAND(bit)
+    shifted = lambda x: F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(keys, F.expr("0L"), lambda acc, x: acc.bitwiseXOR(shifted(x)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+    return lines.where(F.btrim("line", F.lit(BLANKS)) != "")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -82,17 +82,16 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             F.xxhash64("keys").alias("id"),
             F.xxhash64(F.lit(1), "keys").alias("id2"),
             F.size("keys").alias("n"),
-            F.expr(prefix).alias("prefix"),
-            _parity(F.col("keys"), 0).alias("even"),
-            _parity(F.col("keys"), 1).alias("odd"),
-        ),
+            # from here a word is only a key: 32 bits of it propose a few more candidates and move less
+            F.transform(F.expr(prefix), lambda x: F.hash(x)).alias("prefix"),
+            _parity(F.col("keys")).alias("all"),
+            _parity(F.col("keys"), F.expr("1L")).alias("odd"),
+        ).withColumn("even", F.col("all").bitwiseXOR(F.col("odd"))).drop("all"),
         "lines",
     )
     first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.min("prefix").alias("prefix"))
     first = cut(first, "first")
     post = first.select("id", F.col("at.doc_id").alias("doc"), "n", "even", "odd", F.posexplode("prefix").alias("place", "word"))
-    # from here a word is only a key: 32 bits of it propose a few more candidates and move less
-    post = post.withColumn("word", F.hash("word"))
     word = W.partitionBy("word")  # a prefix word's lines are sorted and spilled, not collected
     post = post.withColumn("lines", F.count(F.lit(1)).over(word)).withColumn("top", F.min(F.struct("doc", "id", "n", "even", "odd", "place")).over(word))
     near = F.expr(f"case when top.id <> id and {_fits('top.', percent)} then top.id end").alias("a_id")
