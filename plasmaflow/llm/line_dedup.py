@@ -91,6 +91,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.min("prefix").alias("prefix"))
     first = cut(first, "first")
+    places = cut(lines.select("at", "id", "id2"), "line_places")  # all that is still asked of every line
+    drop(docs.sparkSession, "lines")
     post = first.select("id", F.col("at.doc_id").alias("doc"), "n", "even", "odd", F.posexplode("prefix").alias("place", "word"))
     word = W.partitionBy("word")  # a prefix word's lines are sorted and spilled, not collected
     post = post.withColumn("lines", F.count(F.lit(1)).over(word)).withColumn("top", F.min(F.struct("doc", "id", "n", "even", "odd", "place")).over(word))
@@ -110,7 +112,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     for done in ("line_postings", "line_pairs", "line_ids", "line_wanted", "line_sets"):
         drop(docs.sparkSession, done)
 
-    marked = lines.select("at", "id", "id2").join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed, ["id", "id2"], "left")
+    marked = places.join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed, ["id", "id2"], "left")
     return marked.where("similar or at <> first").select("at.doc_id", "at.text_hash", "at.line_no")
 
 
