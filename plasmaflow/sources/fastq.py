@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import dna
@@ -10,13 +11,14 @@ from plasmaflow.functions import dna
 
 def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
     """file, record_idx, read_id, sequence, umi, quality_scores, mean_quality, sequence_length for each record of FASTQ files (plain
-    or .gz; a file is one task, so lanes in several files read in parallel).
+    or .gz; large plain files are split, so a line's number is its place in its block after the lines of the blocks before).
 
     Records with an empty line, without '@' or '+' in their places, or cut short are left out; '@' elsewhere is a quality."""
-    lines = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.col("value"), F.monotonically_increasing_id().alias("at"))
-    # whole files stay in order inside a task as long as a file isn't split, which the reader below assures
-    first = lines.groupBy("file").agg(F.min("at").alias("first"))
-    numbered = lines.join(F.broadcast(first), "file").withColumn("i", F.col("at") - F.col("first"))
+    lines = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", (F.col("first") - earlier).alias("origin"))
+    numbered = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("i", F.col("at") - F.col("origin"))
     record = numbered.groupBy("file", F.floor(F.col("i") / 4).alias("record_idx"))
     line = lambda k: F.max(F.when(F.col("i") % 4 == k, F.col("value")))
     rows = record.agg(line(0).alias("header"), line(1).alias("sequence"), line(2).alias("plus"), line(3).alias("quality"))

@@ -125,3 +125,21 @@ def test_results_do_not_depend_on_partitions(spark, sf):
 
     prints = {tuple(contracts.fingerprint(umi.families(core.reads(spark, sf).repartition(n)).drop("mean_quality")).first()) for n in (1, 4, 17)}
     assert len(prints) == 1
+
+
+def test_fastq_records_of_a_split_file(spark, tmp_path):
+    from plasmaflow.sources import fastq
+
+    with open(tmp_path / "lane.fastq", "w") as f:
+        f.writelines(f"@r{i} UMI:ACGTAC\n{'ACGT' * (1 + i % 7)}\n+\n{'I' * (4 + 4 * (i % 7))}\n" for i in range(3000))
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        records = fastq.read_fastq(spark, str(tmp_path / "lane.fastq"))
+        assert spark.read.text(str(tmp_path / "lane.fastq")).rdd.getNumPartitions() > 5
+        rows = {r["record_idx"]: (r["read_id"], r["sequence_length"]) for r in records.collect()}
+        limited = fastq.read_fastq(spark, str(tmp_path / "lane.fastq"), max_reads=100).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    assert rows == {i: (f"r{i} UMI:ACGTAC", 4 + 4 * (i % 7)) for i in range(3000)}
+    assert limited == 100
