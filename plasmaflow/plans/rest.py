@@ -75,11 +75,11 @@ def _stream(s, d, broken: bool = False):
 
 S10 = core.FAMS.replace("FROM reads WHERE quality >= 20", "FROM reads WHERE quality >= 20 AND sample_id < 10").replace("AVG(quality) AS mean_quality FROM reads", "AVG(quality) AS mean_quality FROM reads WHERE sample_id < 10")
 STREAM = S10 + ", c AS (SELECT sample_id, COUNT(*) FILTER (COALESCE(consensus_agreement >= 0.6 AND allele <> ref, FALSE)) AS n_variants, COUNT(*) AS n_total, CAST(SUM(family_size) AS BIGINT) AS n_reads FROM fams WHERE family_size >= 3 GROUP BY ALL)"
-query("stream_calls", STREAM + " SELECT sample_id, n_reads, n_variants, n_total FROM c")(lambda s, d: s.read.parquet(f"{_stream(s, d)}/out").select("sample_id", "n_reads", "n_variants", "n_total"))
+query("stream_calls", STREAM + " SELECT sample_id, n_reads, n_variants, n_total FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).select("sample_id", "n_reads", "n_variants", "n_total"))
 query("stream_sample_metrics", STREAM + " SELECT sample_id, n_reads, n_variants, ROUND(n_variants / n_total, 6) AS variant_rate FROM c")(lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d).where("sample_id < 10")))[0], 0.002).select("sample_id", "n_reads", "n_variants", "variant_rate"))
-query("stream_dead_letter", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key, 'no sample_id or no JSON' AS error FROM reads WHERE sample_id < 10 AND sample_id % 3 = 0")(lambda s, d: s.read.parquet(f"{_stream(s, d, broken=True)}/errors").select("key", "error"))
-query("stream_ingest", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key FROM reads")(lambda s, d: calls.to_messages(core.reads(s, d)).select("key"))
-query("stream_microbatch", STREAM + " SELECT COUNT(*) AS n_samples, CAST(SUM(n_variants) AS BIGINT) AS n_variants FROM c")(lambda s, d: s.read.parquet(f"{_stream(s, d)}/out").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n_variants").alias("n_variants")))
+query("stream_dead_letter", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key, 'no sample_id or no JSON' AS error FROM reads WHERE sample_id < 10 AND sample_id % 3 = 0")(lambda s, d: s.read.parquet(f"{_stream(s, d, broken=True)}/errors").select("key", "error").distinct())
+query("stream_ingest", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key FROM reads")(lambda s, d: calls.to_messages(core.reads(s, d)).select("key").distinct())
+query("stream_microbatch", STREAM + " SELECT COUNT(*) AS n_samples, CAST(SUM(n_variants) AS BIGINT) AS n_variants FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n_variants").alias("n_variants")))
 query("stream_config_override", STREAM.replace("WHERE family_size >= 3", "WHERE family_size >= 5") + " SELECT sample_id, n_variants, n_total FROM c")(
     lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d).where("sample_id < 10")).withColumn("value", F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(', "config": {"min_family_size": 5}}'))))[0], 0.002).select("sample_id", "n_variants", "n_total"))
 

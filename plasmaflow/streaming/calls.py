@@ -1,8 +1,9 @@
 """Structured Streaming: messages of samples in, calls, metrics and dead letters out; hourly counts with a watermark.
 
-A message is one sample: key = sample_id, value = JSON {sample_id, timestamp, sample_data: {reads: [...]}, config: {...}}.
+A message holds reads of one sample, all of it or whole families of it: key = sample_id, value = JSON {sample_id, timestamp,
+sample_data: {reads: [...]}, config: {...}}.
 Every micro-batch runs the batch operators on its exploded reads; the error rate is a small reference table, and the scope
-of the false-discovery rate is one message."""
+of the false-discovery rate is one message. Samples whose messages fall into several micro-batches are summed by `totals`."""
 
 from __future__ import annotations
 
@@ -19,6 +20,9 @@ MESSAGE = f"sample_id int, timestamp string, sample_data struct<reads: array<str
 #: Thresholds where a message's config names none.
 DEFAULTS = {"min_quality": 20, "min_family_size": 3, "alpha": 0.05}
 
+#: Reads that a message holds on average at most; families stay whole.
+MESSAGE_READS = 5_000
+
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, per_trigger: int = 100, starting: str = "earliest") -> DataFrame:
     """key, value of a topic; needs Spark's Kafka package on the cluster."""
@@ -30,10 +34,12 @@ def file_source(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def to_messages(reads: DataFrame) -> DataFrame:
-    """key, value: one message a sample, for any sink that takes key and value."""
+def to_messages(reads: DataFrame, most: int = MESSAGE_READS) -> DataFrame:
+    """key, value: messages of about `most` reads of a sample or fewer, dealt by families, for any sink that takes key and value."""
     fields = [f.split(" ")[0] for f in READ.split(", ")]
-    listed = reads.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("reads"))
+    sizes = reads.groupBy("sample_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks"))
+    dealt = reads.join(sizes, "sample_id").withColumn("chunk", F.pmod(F.xxhash64(*umi.FAMILY), F.col("chunks")))
+    listed = dealt.groupBy("sample_id", "chunk").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("reads"))
     return listed.select(F.col("sample_id").cast("string").alias("key"), F.to_json(F.struct("sample_id", F.struct("reads").alias("sample_data"))).alias("value"))
 
 
@@ -53,6 +59,16 @@ def batch_calls(reads: DataFrame, error_rate: float) -> DataFrame:
     fams = umi.families(shaped, min_quality=1, keys=keys).where(F.col("family_size") >= F.col("min_family_size"))
     fams = filters.collapsed_passes(fams, min_quality=0.0)
     out = fams.groupBy("sample_id", "alpha").agg(F.sum("family_size").alias("n_reads"), F.count(F.when(F.col("is_variant"), 1)).alias("n_variants"), F.count(F.lit(1)).alias("n_total"))
+    return _tested(out, error_rate)
+
+
+def totals(results: DataFrame, error_rate: float) -> DataFrame:
+    """One row a sample of the rows that micro-batches gave for it: sums of the counts, with rate, p and verdict of the sums."""
+    out = results.groupBy("sample_id", "alpha").agg(*(F.sum(c).alias(c) for c in ("n_reads", "n_variants", "n_total")))
+    return _tested(out, error_rate)
+
+
+def _tested(out: DataFrame, error_rate: float) -> DataFrame:
     out = out.withColumn("variant_rate", F.col("n_variants") / F.col("n_total")).withColumn("expected", F.col("n_total") * F.lit(error_rate))
     return out.withColumn("p_value", tails.poisson_two_sided("n_variants", "expected")).withColumn("significant", F.col("p_value") <= F.col("alpha"))
 

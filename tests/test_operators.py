@@ -143,3 +143,21 @@ def test_fastq_records_of_a_split_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
     assert rows == {i: (f"r{i} UMI:ACGTAC", 4 + 4 * (i % 7)) for i in range(3000)}
     assert limited == 100
+
+
+def test_a_large_sample_is_several_messages_with_the_same_calls(spark, sf, tmp_path):
+    from plasmaflow.plans import core
+    from plasmaflow.streaming import calls
+
+    reads = core.reads(spark, sf)
+    messages = calls.to_messages(reads, most=20)
+    assert messages.select("key").distinct().count() == 50
+    assert messages.select(F.size(F.from_json("value", calls.MESSAGE)["sample_data"]["reads"]).alias("n")).agg(F.max("n")).first()[0] < reads.groupBy("sample_id").count().agg(F.max("count")).first()[0]
+    messages.repartition(6).write.json(f"{tmp_path}/in")
+    calls.run(calls.file_source(spark, f"{tmp_path}/in", files_per_trigger=2), 0.002, f"{tmp_path}/out", f"{tmp_path}/errors", f"{tmp_path}/state").awaitTermination()
+    fields = ["sample_id", "n_reads", "n_variants", "n_total", "p_value", "significant"]
+    parts = spark.read.parquet(f"{tmp_path}/out")
+    want = calls.batch_calls(calls.parse(calls.to_messages(reads, most=10**9))[0], 0.002).select(fields)
+    assert parts.count() > want.count()
+    plain = lambda df: sorted((*r[:4], round(r[4], 9), r[5]) for r in df.select(fields).collect())
+    assert plain(calls.totals(parts, 0.002)) == plain(want)
