@@ -1,13 +1,14 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 A pre-token starts as characters (bytes where the vocabulary lacks a character). An agenda holds the candidate merges of
-neighbours, best score first, leftmost first among equals. A candidate that comes up is skipped if its keyed hash of
-(seed, variant, part, left edge, right edge), looked up in a seeded table of random numbers, falls below `dropout`; otherwise it merges and its new neighbours enter
-the agenda. With dropout 0 this is the library's own segmentation. A part is a
+neighbours, best score first, leftmost first among equals. A candidate that comes up is skipped with probability `dropout`;
+otherwise it merges and its new neighbours enter the agenda. With dropout 0 this is the library's own segmentation. A part is a
 stretch of a pre-token that no merge can leave, as no piece of the vocabulary holds the characters on both sides.
 
-The variant of a pre-token depends on its document and place, so occurrences of a word are segmented in up to `variants`
-ways while each is computed once a worker. Decoding joins the pieces' bytes and drops the dummy prefix; a literal U+2581
+Every occurrence has draws of its own, keyed by (seed, doc_id, place), unless the caller bounds the `variants` of a pre-token. As candidates are skipped independently, the number of
+candidates up to the next skip is geometric, and one keyed number gives it; a segmentation follows from the part and the
+numbers of its skipped candidates alone. So a worker caches segmentations by these: most occurrences of a word skip nothing, and
+the others look up what their own skips lead to. Decoding joins the pieces' bytes and drops the dummy prefix; a literal U+2581
 is encoded as bytes, so that every text comes back exactly.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; repeated doc_ids get the same result for
@@ -17,8 +18,11 @@ the same text; a null doc_id hashes like the number 0; extra columns pass throug
 from __future__ import annotations
 
 import heapq
+import math
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plasmaflow.llm import pretokens
+from plasmaflow.llm.common import mix64
 
-CACHE_ENTRIES = 120_000  # a variant's
+CACHE_ENTRIES = 120_000  # of pre-tokens, and again of parts
 SHORT = 64  # parts up to which a scan beats a heap
 NEVER = float("inf")
 
@@ -56,11 +61,9 @@ class Vocabulary:
         self.pairs = {p[i : i + 2].replace(pretokens.SPACE, " ") for p in self.ids for i in range(len(p) - 1)}
         self.scores = {piece: -model.get_score(i) for piece, i in self.ids.items()}
 
-    def segment(self, piece: str, dropout: float, key: int, noise: list[float]) -> bytes:
-        """The ids of one pre-token as packed 32-bit integers. noise: keyed numbers in [0, 1), a power of two of them."""
+    def segment(self, piece: str, skipped: Callable[[], bool]) -> bytes:
+        """The ids of one part as packed 32-bit integers; each candidate that comes up asks `skipped` once."""
         parts = [pretokens.SPACE if c == " " else "\0" + c if c == pretokens.SPACE else c for c in piece]
-        own, mask = xxhash.xxh32_intdigest(piece, key) if dropout else 0, len(noise) - 1
-        skipped = lambda left, right: dropout and noise[own + left * 40503 + right * 30011 & mask] < dropout
         parts = self._merge_short(parts, skipped) if len(parts) <= SHORT else self._merge_long(parts, skipped)
         ids = self.ids
         try:
@@ -79,18 +82,17 @@ class Vocabulary:
         """The agenda as a plain list of the neighbours' costs: for a few parts its least one is found fastest by a scan."""
         get = self.scores.get
         costs = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        edges = list(range(len(parts) + 1))
         while costs:
             least = min(costs)
             if least == NEVER:
                 break
             i = costs.index(least)
-            if skipped(edges[i], edges[i + 2]):
+            if skipped():
                 costs[i] = NEVER
                 continue
             merged = parts[i] + parts.pop(i + 1)
             parts[i] = merged
-            del edges[i + 1], costs[i]
+            del costs[i]
             if i:
                 costs[i - 1] = get(parts[i - 1] + merged, NEVER)
             if i < len(costs):
@@ -109,7 +111,7 @@ class Vocabulary:
             if not symbols[i] or not symbols[j] or after[i] != j or len(symbols[i]) + len(symbols[j]) != size:
                 continue  # one of them has merged meanwhile
             end = after[j]
-            if skipped(i, end):
+            if skipped():
                 continue
             symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], "", end
             if end < n:
@@ -123,23 +125,37 @@ class Vocabulary:
 
 
 class Segments(dict):
-    """A worker's cache of one variant's segmentations."""
+    """A worker's cache by (part, numbers of its skipped candidates in the order in which they come up): the ids, and how many came up."""
 
-    def __init__(self, words: Vocabulary, dropout: float, key: int):
+    def __init__(self, words: Vocabulary):
         super().__init__()
-        self.words, self.dropout, self.key = words, dropout, key
-        self.noise = np.random.default_rng(key).random(1 << 16).tolist()
+        self.words = words
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, key: tuple[str, tuple[int, ...]]) -> tuple[bytes, int]:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        pairs = self.words.pairs
+        piece, skips = key
+        came = count()
+        ids = self.words.segment(piece, (lambda: next(came) in skips) if skips else (lambda: next(came) < 0))
+        found = self[key] = ids, next(came)
+        return found
+
+
+class PreTokens(dict):
+    """A worker's cache of pre-tokens: ids without a skip, how many candidates come up, and the parts."""
+
+    def __init__(self, segments: Segments):
+        super().__init__()
+        self.segments = segments
+
+    def __missing__(self, piece: str) -> tuple[bytes, int, list[str]]:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        pairs = self.segments.words.pairs
         cuts = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in pairs]
-        if cuts:  # no merge crosses such a place, so the parts are shared with other pre-tokens
-            found = b"".join([self[piece[i:j]] for i, j in zip([0, *cuts], [*cuts, len(piece)])])  # noqa: B905
-        else:
-            found = self.words.segment(piece, self.dropout, self.key, self.noise)
-        self[piece] = found
+        parts = [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])]  # noqa: B905
+        plain = [self.segments[p, ()] for p in parts]  # no merge crosses a cut, so parts are shared with other pre-tokens
+        found = self[piece] = (b"".join([ids for ids, _ in plain]), sum(n for _, n in plain), parts)
         return found
 
 
@@ -149,17 +165,56 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Codec:
-    def __init__(self, path: str, dropout: float, variants: int, seed: int):
+    def __init__(self, path: str, dropout: float, variants: int | None, seed: int):
         self.words, self.variants, self.seed = vocabulary(path), variants, seed
-        self.segments = [Segments(self.words, dropout, xxhash.xxh32_intdigest(b"%d" % v, seed)) for v in range(variants)]
+        self.dropout, self.keep = dropout, math.log1p(-dropout) if dropout < 1 else -math.inf
+        self.segments = Segments(self.words)
+        self.pieces = PreTokens(self.segments)
 
     def encode(self, text: str | None, doc_id: int | None) -> bytes:
         pieces = pretokens.split(text or "")
-        first = xxhash.xxh64_intdigest(b"%d" % (doc_id or 0), self.seed)
-        out: list[bytes] = [b""] * len(pieces)
-        for v, segments in enumerate(self.segments):
-            at = (v - first) % self.variants
-            out[at :: self.variants] = map(segments.__getitem__, pieces[at :: self.variants])
+        found = [self.pieces[p] for p in pieces]
+        out = [f[0] for f in found]
+        if self.dropout and pieces:
+            place = np.arange(len(pieces), dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(b"%d" % (doc_id or 0), self.seed))
+            if self.variants:
+                place = np.array([xxhash.xxh64_intdigest(p, self.seed) for p in pieces], np.uint64) + place % np.uint64(self.variants)
+            keys = mix64(place)
+            first = np.log((keys >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / self.keep  # candidates before the first skip
+            some = np.flatnonzero(first < np.array([f[1] for f in found]))
+            for i, skip, key in zip(some.tolist(), first[some].tolist(), keys[some].tolist(), strict=True):
+                out[i] = self._skipping(found[i][2], int(skip), key)
+        return b"".join(out)
+
+    def _skipping(self, parts: list[str], skip: int, key: int) -> bytes:
+        """The ids of an occurrence that skips its candidate number `skip` first; the gaps to later skips follow from its key."""
+
+        def gap() -> int:
+            nonlocal key
+            key = xxhash.xxh64_intdigest(b"gap", key)
+            return int(math.log((key >> 11) * 2.0**-53 + 2.0**-54) / self.keep)
+
+        def skipped() -> bool:
+            nonlocal skip
+            if skip:
+                skip -= 1
+                return False
+            skip = gap()
+            return True
+
+        out = []
+        for part in parts:
+            if len(part) > SHORT:
+                out.append(self.words.segment(part, skipped))
+                continue
+            skips: tuple[int, ...] = ()
+            ids, n = self.segments[part, skips]
+            while skip < n:
+                skips = (*skips, skip)
+                ids, n = self.segments[part, skips]
+                skip += 1 + gap()
+            out.append(ids)
+            skip -= n
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -168,11 +223,11 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, dropout: float, variants: int, seed: int) -> Codec:
+def codec(path: str, dropout: float, variants: int | None, seed: int) -> Codec:
     return Codec(path, dropout, variants, seed)
 
 
-def encode(docs: DataFrame, path: str, dropout: float = 0.1, variants: int = 2, seed: int = 13) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = 0.1, variants: int | None = None, seed: int = 13) -> DataFrame:
     """docs without text, with tokens (array<int>) in its place."""
     pretokens.check(path)
     others = [c for c in docs.columns if c not in ("text", "doc_id", "tokens")]
@@ -203,7 +258,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, variants: int = 2, seed: int = 13) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, variants: int | None = None, seed: int = 13) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and whether decoding gives the text back."""
     import zlib
 

@@ -182,6 +182,23 @@ def test_merge_dropout(docs, edge, none):
     assert dropout.round_trip(none, PIECES).count() == 0
 
 
+def test_merge_dropout_draws_for_each_occurrence(spark):
+    tool, word = dropout.vocabulary(PIECES), "international"
+    df = spark.createDataFrame([(i, "\n".join([word] * 500)) for i in range(8)], "doc_id long, text string")
+    forms = collections.Counter()
+    for r in dropout.encode(df.repartition(3), PIECES).collect():
+        pieces = "".join("\n" if tool.bytes[i] == b"\n" else f"{i} " for i in r["tokens"]).split("\n")
+        forms.update(pieces[1:])  # the first one has the dummy prefix
+    assert len(forms) > 20
+    # by brute force: every candidate skipped by a coin of its own
+    rng = np.random.default_rng(5)
+    want = collections.Counter("".join(f"{i} " for i in np.frombuffer(tool.segment(word, lambda: rng.random() < 0.1), np.int32)) for _ in range(4000))
+    total = sum(forms.values())
+    assert all(abs(forms[f] / total - n / 4000) < 0.04 for f, n in want.most_common(5))
+    one = [tuple(r["tokens"]) for r in dropout.encode(df.where("doc_id = 1").union(df.where("doc_id = 1")), PIECES).collect()]
+    assert one[0] == one[1]
+
+
 def test_wavelet_matrix_answers_like_the_list():
     ids = np.random.default_rng(0).zipf(1.3, 5000) % 49408
     tree = wavelet.WaveletMatrix.build(ids)
