@@ -27,6 +27,7 @@ SIGNS = 24
 class PrefixForest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, share: float, least: int, seed: int):
         self.ids, self.vectors, self.small = ids, vectors, vectors.astype(np.float32)
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # rows of the commonest id
         self.budget = max(int(share * len(ids)), least)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         rest = np.sqrt(np.maximum(norms.max() - norms, 0))
@@ -64,9 +65,10 @@ class PrefixForest:
             for tree in range(len(self.order)):
                 seen[self.order[tree, low[i, tree] : high[i, tree]]] = True
             near = np.flatnonzero(seen & (self.ids != own))
-            if len(near) > 8 * k:
+            most = 2 * k * self.repeats
+            if len(near) > 4 * most:
                 rough = self.small[near] @ vectors[i].astype(np.float32)
-                limit = np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k]
+                limit = np.partition(rough, len(rough) - most)[len(rough) - most]
                 near = near[rough >= limit - 1e-4 * max(1.0, abs(float(limit)))]
             out.append(shards.top(self.ids[near], self.vectors[near] @ vectors[i], k))
         return out

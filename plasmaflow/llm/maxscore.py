@@ -63,7 +63,8 @@ class MaxScore:
                 alive = score + after[min(place + BLOCK, len(terms))] >= floor
                 rows, score = rows[alive], score[alive]
                 if len(rows) > k and place % (4 * BLOCK) == 0:
-                    floor = max(floor, self._reached(rows, q, score, k))
+                    reached = self._reached(rows, q, score, k)
+                    floor = floor if reached is None else max(floor, reached)  # None: too few different ids among the k rows
         return shards.top(self.ids[rows], score.astype(np.int64), k)
 
     def _floor(self, own: int, q: np.ndarray, terms: np.ndarray, side: np.ndarray, k: int) -> float | None:

@@ -79,10 +79,14 @@ def search(rows: DataFrame, every: int, k: int, score_type: str, engine: Callabl
 
 
 def top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-        ids, scores = ids[some], scores[some]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    """The k highest scores of different ids, ties to the smaller id; an id that repeats counts at its best score."""
+    width = 4 * k
+    while True:
+        some = np.arange(len(scores))
+        if len(scores) > width:
+            some = np.flatnonzero(scores >= np.partition(scores, len(scores) - width)[len(scores) - width])
+        order = some[np.lexsort((ids[some], -scores[some]))]
+        own = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+        if len(own) == k or len(some) == len(scores):
+            return ids[own], scores[own]
+        width *= 4

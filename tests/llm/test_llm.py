@@ -282,6 +282,22 @@ def test_prefix_forest_recall(vectors):
     assert all(a[1] > b[1] or a[1] == b[1] and a[0] < b[0] for v in found.values() for a, b in zip(v, v[1:]))  # noqa: B905
 
 
+def test_vector_searches_with_an_id_repeated(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.standard_normal(64) / 8).tolist(), 1) for i in range(1, 600)]
+    near = np.array(rows[99][1])  # of vec_id 100, a query of both
+    rows += [(601, (near * 3 + rng.standard_normal(64) / 100).tolist(), 1) for _ in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for found, k, scale in ((maxscore.search(table), 5, 256), (forest.nearest(table, least=10**6), 20, None)):
+        best = collections.defaultdict(lambda: -np.inf)
+        for i, v, _ in rows:
+            a, b = (np.floor(scale * np.array(x)) if scale else np.array(x) for x in (v, near))
+            if i != 100:
+                best[i] = max(best[i], float(a @ b))
+        want = [i for i, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
+        assert [r["vec_id"] for r in found.where("query_id = 100").orderBy("rank").collect()] == want
+
+
 def test_vector_searches_on_empty_tables(vectors):
     assert forest.nearest(vectors.where("false")).count() == 0 and maxscore.search(vectors.where("false")).count() == 0
 
