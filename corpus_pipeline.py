@@ -28,20 +28,28 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row: its doc_id, or the row's number by doc_id (nulls last) and text if ids are missing or repeat."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return common.cut(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity of 0.8 or more) stays."""
     common.release(spark)
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    rows = keyed(docs)
+    found = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), width=5, percent=80)
+    return rows.join(found.where("not kept").select(F.col("doc_id").alias("key")), "key", "left_anti").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, a document that it takes twice as two rows."""
     common.release(spark)
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "row_key", F.expr("cast(taken div size as int)").alias("times")).distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    both = keyed.join(taken, (keyed.doc_id.eqNullSafe(taken.id)) & (keyed.row_key == taken.row_key))
-    return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
+    rows = keyed(docs)
+    taken = mixing.mix(rows.withColumn("doc_id", F.col("key")).drop("key")).where("taken > 0").select(F.col("doc_id").alias("key"), F.expr("cast(taken div size as int)").alias("times"))
+    return rows.join(taken, "key").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times"))).select(COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

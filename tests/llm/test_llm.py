@@ -328,6 +328,18 @@ def test_pipeline_stages(spark, sf, docs):
     assert out.columns == ["doc_id", "lang", "source", "tokens"]
 
 
+def test_pipeline_rows_of_repeated_and_missing_ids(spark, sf):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(50))
+    rows = [(1, text("p")), (1, text("p")), (1, text("q")), (2, text("p")), (None, text("r")), (None, text("r")), (None, text("q")), (3, ""), (3, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    left = corpus_pipeline.near_dedup(spark, df, sf).select("doc_id", "text").collect()
+    assert collections.Counter(tuple(r) for r in left) == collections.Counter([(1, text("p")), (1, text("q")), (None, text("r")), (3, ""), (3, "")])
+    many = spark.createDataFrame([(7, text("s"), "en", "a", 1)] * 100 + [(i, text(f"t{i}x"), "en", "b", 1) for i in range(8, 408)], SCHEMA)
+    sizes = mixing.mix(many.drop("doc_id").withColumn("doc_id", F.lit(None).cast("long"))).select("source_size", "target").distinct().collect()
+    mixed = dict(map(tuple, corpus_pipeline.mix_sources(spark, many, sf).groupBy("source").count().collect()))
+    assert {r["source_size"]: round(r["target"]) for r in sizes} == {50 * 100: pytest.approx(50 * mixed["a"], abs=100), 50 * 400: pytest.approx(50 * mixed["b"], abs=100)}
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf, edge, none):
     for df in (edge.select(docs_columns()), none):
         for _, stage in corpus_pipeline.STAGES:
