@@ -105,7 +105,7 @@ query("calibration_ece", CAL + " SELECT ROUND(SUM(ABS(er - cf) * n) / SUM(n), 6)
 query("calibration_by_stratum", SCORED + f", cb AS (SELECT id % 3 AS stratum, {BIN} AS bin, COUNT(*) AS n, AVG(label) AS er, AVG(score) AS cf FROM scored GROUP BY ALL) SELECT stratum, bin, n, ROUND(er, 6) AS event_rate, ROUND(cf, 6) AS confidence FROM cb")(lambda s, d: metrics.calibration_bins(scored(s, d).withColumn("stratum", F.col("id") % 3), by=["stratum"]))
 query("conformal_interval", SCORED + ", q AS (SELECT QUANTILE_CONT(ABS(label - score), 0.9) AS q FROM scored WHERE id % 2 = 0) SELECT id, ROUND(GREATEST(score - q, 0), 6) AS lower, ROUND(LEAST(score + q, 1), 6) AS upper FROM scored, q WHERE id % 2 = 1")(lambda s, d: metrics.conformal(scored(s, d).where("id % 2 = 0"), scored(s, d).where("id % 2 = 1")).select("id", "lower", "upper"))
 query("bootstrap_metric_ci")(lambda s, d: metrics.interval(metrics.bootstrap_metric(scored(s, d)), "auc"))
-query("bootstrap_basic_ci")(lambda s, d: metrics.interval(metrics.bootstrap_metric(scored(s, d)), "average_precision", 0.5))
+query("bootstrap_basic_ci")(lambda s, d: metrics.interval(metrics.bootstrap_metric(scored(s, d)), "average_precision", multiple.average_precision(scored(s, d)).first()[0]))
 query("bootstrap_robustness")(lambda s, d: metrics.bootstrap_means(scored(s, d), ["id"], {"mean_score": F.col("score"), "positive_rate": F.col("label")}))
 query("bootstrap_proportion_ci")(lambda s, d: metrics.proportion_interval(scored(s, d), F.col("score") > 0.8))
 query("stratified_folds")(lambda s, d: metrics.stratified_folds(scored(s, d), "id", "label").groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")))

@@ -42,3 +42,9 @@ def test_flagship_flags_the_strong_group(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_basic_interval_is_around_the_average_precision(spark, sf):
+    row, value = QUERIES["bootstrap_basic_ci"](spark, sf).first(), QUERIES["average_precision"](spark, sf).first()[0]
+    assert value != 0.5
+    assert row["mean"] - row["bias"] == pytest.approx(value) and row["basic_lower"] + row["upper"] == pytest.approx(2 * value)
