@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,45 +14,75 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles at a time; bounds a worker's memory whatever the batch or document size.
 SLICE_BYTES = 4 << 20
+#: Spark's setting under which a finished query deletes its shuffle files at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a fresh local one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-_written: list[str] = []
-
-
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and a lost executor loses nothing.
-
-    The shuffles behind df are not needed again; a collection on the driver lets Spark's cleaner drop their files.
-    Tables without `keep` go at the next `release`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not keep:
-        _written.append(path)
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, name: str = "") -> None:
-    """Delete the tables of earlier cuts by that name, or all, once what was made of them is written."""
-    for where in [w for w in _written if w.rpartition("/")[2].startswith(f"{name}-" if name else "")]:
-        _written.remove(where)
-        path = spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables of all earlier cuts, once the results that were made of them are written."""
-    drop(spark)
+_collected: ContextVar[list["Scratch"] | None] = ContextVar("collected", default=None)
+
+
+class Scratch:
+    """The tables that one call of an operator writes into a folder of its own below the shared one.
+
+    What a result still reads stays until the caller deletes it: `freed` does so for all calls inside it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        if (calls := _collected.get()) is not None:
+            calls.append(self)
+
+    def cut(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write df as Parquet and read it back: lineage ends here, a lost executor loses nothing, and the shuffles behind df go."""
+        self.tables += 1
+        path = f"{self.path}/{name}-{self.tables}"
+        before = self.spark.conf.get(CLEANUP, None)
+        if before is not None:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(compression="zstd", **options).parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of earlier cuts that nothing reads any more."""
+        for table in tables:
+            for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+                if folder.rpartition("/")[0].endswith(self.path.rpartition("/")[2]):
+                    self._delete(folder)
+
+    def close(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def freed():
+    """At its end the scratch tables of all operator calls inside are deleted; their results must have been stored by then."""
+    before, calls = _collected.get(), []
+    _collected.set(calls)
+    try:
+        yield
+    finally:
+        _collected.set(before)
+        for call in calls:
+            call.close()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,16 +6,18 @@ equal lines stays, unless it resembles a still earlier one.
 
 Words are ordered by rarity: a word's class is the logarithm of a count of all words by hash, and words of a class stand in
 hash order, so that a word becomes one number and a line a sorted array. Two similar lines share a word within the first
-n - ceil(n * percent / 100) + 1 of each (prefix filter). The join on such words keeps pairs whose lengths (length filter),
-places of the shared word (positional filter) and parity bitmaps (an upper bound of the overlap) still allow the
-similarity; full sets then decide. Equal sets are one line before the join, with their first occurrence.
+n - ceil(n * percent / 100) + 1 of the longer and the (fewer) words that the shorter one's length asks for (prefix filter).
+The join on such words keeps pairs whose lengths (length filter), places of the shared word (positional filter) and bitmaps
+(an upper bound of the overlap) still allow the similarity; full sets then decide. Lines of equal words in equal order are
+one line before the join, with their first occurrence.
 
-A large group of alike lines never makes all its pairs: each prefix word first proposes only its earliest line to the
-others, and only lines that no such leader removed are joined with all earlier ones.
+A large group of alike lines never makes all its pairs: in a crowded group of lines of about one length that share a prefix
+word, the earliest is proposed to all others, and only lines that the filters part from it are joined with the rest. A line
+whose proposals all fail on full sets is joined with every line afterwards.
 
 Defined cases: lines without words stay; null texts stay null, empty ones empty; rows that repeat doc_id and text are one
-document, so they get the same result; a null doc_id sorts first; all columns of the input come back unchanged but text.
-Words are compared by 56 bits of their hash within a rarity class.
+document, so they get the same result; a null doc_id sorts first; all columns of the input come back unchanged but text,
+n_lines and n_removed, which are the operator's own. Words are compared by 64 bits of their hash.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plasmaflow.llm.common import cut, drop
+from plasmaflow.llm.common import Scratch
 
-SKETCH_BITS = 17
-#: Most candidate lines whose ids are broadcast (under 32 MB); more are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
+SKETCH_BITS = 20
+#: Lines of about one length that share a prefix word, beyond which the earliest goes first; it only plans the work.
+CROWDED = 64
+#: Most rows of a few numbers each that are broadcast (under 32 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 SPLIT = r"[ \t\x0B\f\r]+"
 BLANKS = " \t\x0b\f\r"
 
@@ -37,122 +41,145 @@ def _bucket(word_hash: Column) -> Column:
     return word_hash.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")
 
 
-def rarity_classes(docs: DataFrame) -> Column:
-    """An array literal: for each hash bucket the logarithm of its number of words in docs.text."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[ \n\t\x0B\f\r]+")).alias("word"))
-    counts = words.select(_bucket(F.xxhash64("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    classes = ["0"] * (1 << SKETCH_BITS)
-    for bucket, n in counts.toPandas().itertuples(index=False):  # at most 2 ** SKETCH_BITS rows
-        classes[bucket] = str(int(n).bit_length())
-    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
+def _small(df: DataFrame) -> DataFrame:
+    """df as the side of a join: broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _keys(line: Column, classes: Column | None) -> Column:
-    """The line's distinct words as sorted numbers: rarity class, then hash."""
-    words = F.split(F.btrim(F.lower(line), F.lit(BLANKS)), SPLIT)  # no empty word, as the line has a word
+def _words(line: Column) -> Column:
+    """The words of a line that is trimmed and not empty."""
+    odd = F.lit(False)
+    for blanks in ("  ", *BLANKS[1:]):
+        odd = odd | line.contains(blanks)
+    return F.when(odd, F.split(line, SPLIT)).otherwise(F.split(line, " "))  # a single space needs no regular expression
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rest = F.shiftrightunsigned(h, 8)
-        return rest if classes is None else F.shiftleft(F.coalesce(F.get(classes, _bucket(h)).cast("long"), F.expr("0L")), 56).bitwiseOR(rest)
 
-    return F.sort_array(F.array_distinct(F.transform(words, key)))  # of numbers that are never null: a primitive sort
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, the line's identity as two numbers and its distinct words as hashes, for lines with words."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "text_hash", "line_no", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line")).where("line <> ''")
+    words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), words.alias("words"))
 
 
-def _parity(keys: Column, bit: Column | None = None) -> Column:
-    """64 parities of the words, or of those whose hash has bit 6: they differ in no more bits than the sets differ in words."""
-    one = lambda x: F.expr("1L") if bit is None else F.shiftrightunsigned(x, 6).bitwiseAND(bit)
-    shifted = lambda x: F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(keys, F.expr("0L"), lambda acc, x: acc.bitwiseXOR(shifted(x)))
+def rarity_classes(lines: DataFrame, scratch: Scratch) -> Column:
+    """A scalar array: for each hash bucket the logarithm of its number of words in lines.words."""
+    counts = lines.select(F.explode("words").alias("word")).select(_bucket(F.col("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    every = lines.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    logs = scratch.cut(counts.union(every).groupBy("bucket").agg(F.length(F.bin(F.max("n"))).cast("tinyint").alias("log")), "classes")
+    rows = F.sort_array(F.collect_list(F.struct("bucket", "log")))  # 2 ** SKETCH_BITS rows of five bytes
+    return logs.agg(rows.getField("log").alias("classes")).scalar()
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.btrim("line", F.lit(BLANKS)) != "")
+def _ordered(words: Column, classes: Column) -> Column:
+    """The words as sorted numbers: rarity class, then hash."""
 
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.coalesce(F.get(classes, _bucket(h)), F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, line_no of every line that an earlier one resembles."""
-    docs = docs.select("doc_id", "text").where("text is not null")
-    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", _keys(F.col("line"), rarity_classes(docs)).alias("keys"))
-    prefix = f"slice(keys, 1, size(keys) - cast((size(keys) * {percent} + 99) div 100 as int) + 1)"
-    lines = cut(
-        keyed.select(
-            F.struct("doc_id", "text_hash", "line_no").alias("at"),
-            F.xxhash64("keys").alias("id"),
-            F.xxhash64(F.lit(1), "keys").alias("id2"),
-            F.size("keys").alias("n"),
-            # from here a word is only a key: 32 bits of it propose a few more candidates and move less
-            F.transform(F.expr(prefix), lambda x: F.hash(x)).alias("prefix"),
-            _parity(F.col("keys")).alias("all"),
-            _parity(F.col("keys"), F.expr("1L")).alias("odd"),
-        ).withColumn("even", F.col("all").bitwiseXOR(F.col("odd"))).drop("all"),
-        "lines",
-    )
-    first = lines.groupBy("id", "id2").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.min("even").alias("even"), F.min("odd").alias("odd"), F.min("prefix").alias("prefix"))
-    first = cut(first, "first")
-    places = cut(lines.select("at", "id", "id2"), "line_places")  # all that is still asked of every line
-    drop(docs.sparkSession, "lines")
-    post = first.select("id", F.col("at.doc_id").alias("doc"), "n", "even", "odd", F.posexplode("prefix").alias("place", "word"))
-    word = W.partitionBy("word")  # a prefix word's lines are sorted and spilled, not collected
-    post = post.withColumn("lines", F.count(F.lit(1)).over(word)).withColumn("top", F.min(F.struct("doc", "id", "n", "even", "odd", "place")).over(word))
-    near = F.expr(f"case when top.id <> id and {_fits('top.', percent)} then top.id end").alias("a_id")
-    post = post.where("lines > 1").select("word", "id", "doc", "n", "even", "odd", "place", "lines", near)
-    post = cut(post.where("lines > 2 or a_id is not null"), "line_postings")
-
-    removed = cut(_later(docs, first, post.where("a_id is not null").select("a_id", "id"), percent), "removed")
-    # a word of two lines has had its only pair
-    many = post.where("lines > 2").select("word", "id", "doc", "n", "even", "odd", "place")
-    gone = removed.select("id")
-    rest = many.join(F.broadcast(gone) if removed.count() <= BROADCAST_LINES else gone, "id", "left_anti")
-    a = many.select("word", *(F.col(c).alias(f"a_{c}") for c in ("id", "doc", "n", "even", "odd", "place")))
-    earlier = "(a_doc is null or a_doc <= doc) and a_id <> id"
-    more = rest.join(a, "word").where(f"{earlier} and {_fits('a_', percent)}").select("a_id", "id")
-    removed = cut(removed.union(_later(docs, first, more, percent)).distinct().withColumn("similar", F.lit(True)), "removed")
-    for done in ("line_postings", "line_pairs", "line_ids", "line_wanted", "line_sets"):
-        drop(docs.sparkSession, done)
-
-    marked = places.join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed, ["id", "id2"], "left")
-    return marked.where("similar or at <> first").select("at.doc_id", "at.text_hash", "at.line_no")
+    return F.sort_array(F.transform(words, key))  # of numbers that are never null: a primitive sort
+
+
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """id, id2 and 128 bits that the words set: two sets' bits differ in no more places than the sets differ in words."""
+    word = F.col("word")
+    bit = F.call_function("shiftleft", F.expr("1L"), F.shiftrightunsigned(word, 40).bitwiseAND(F.lit(63)).cast("int"))
+    high = F.shiftrightunsigned(word, 46).bitwiseAND(F.lit(1)) == 1
+    bits = lines.select("id", "id2", F.explode("words").alias("word")).select("id", "id2", F.when(high, F.expr("0L")).otherwise(bit).alias("low"), F.when(high, bit).otherwise(F.expr("0L")).alias("high"))
+    return bits.groupBy("id", "id2").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+
+
+def _postings(first: DataFrame, percent: int) -> DataFrame:
+    """A row for each prefix word of each line; `index`: whether it is within the prefix that the shorter line of a pair needs."""
+    sure = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))  # noqa: E731  columns that can't be null let both sides of a join share their exchange
+    post = first.select(
+        sure("id", "long").alias("id"), F.coalesce("at.doc_id", F.expr("-9223372036854775808L")).alias("doc"), sure("n", "int").alias("n"), sure("low", "long").alias("low"), sure("high", "long").alias("high"),
+        F.posexplode("prefix").alias("place", "word"),
+    )
+    index = F.expr(f"place <= n - cast((2 * {percent} * n + {99 + percent}) div {100 + percent} as int)")
+    return post.select("id", "doc", "n", "low", "high", "place", sure("word", "int").alias("word"), index.alias("index"))
 
 
 def _fits(a: str, percent: int) -> str:
-    """The length, positional and bitmap filters between a posting and the one whose fields begin with `a`."""
+    """The prefix, length, positional and bitmap filters between a posting and the one whose fields begin with `a`."""
     overlap = f"cast(({percent} * (n + {a}n) + {99 + percent}) div {100 + percent} as int)"
     return (
-        f"100 * least(n, {a}n) >= {percent} * greatest(n, {a}n) and least(n - place, {a}n - {a}place) >= {overlap}"
-        f" and bit_count(even ^ {a}even) + bit_count(odd ^ {a}odd) <= n + {a}n - 2 * {overlap}"
+        f"{a}id <> id and (n <= {a}n and index or {a}n <= n and {a}index) and 100 * least(n, {a}n) >= {percent} * greatest(n, {a}n)"
+        f" and least(n - place, {a}n - {a}place) >= {overlap} and bit_count(low ^ {a}low) + bit_count(high ^ {a}high) <= n + {a}n - 2 * {overlap}"
     )
 
 
-def _later(docs: DataFrame, first: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+POSTING = ("id", "doc", "n", "low", "high", "place", "index")
+
+
+def _proposals(post: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """word, id, a_id: postings of crowded groups (word, span) with the group's earliest line, where the filters allow the pair."""
+    group = ["word", "span"]
+    crowded = post.groupBy(*group).agg(F.count(F.lit(1)).alias("lines"), F.min("doc").alias("doc")).where(f"lines > {CROWDED}")
+    crowded = scratch.cut(crowded.select(*group, F.col("doc").alias("least")), "crowded")
+    inside = post.join(_small(crowded), group)
+    top = inside.where("doc = least").groupBy(*group).agg(F.min(F.struct("id", *POSTING[1:])).alias("top"))
+    return inside.join(top, group).where(_fits("top.", percent)).select("word", "id", F.col("top.id").alias("a_id"))
+
+
+def duplicate_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, text_hash, line_no of every line that an earlier one resembles."""
+    scratch = scratch or Scratch(docs.sparkSession, "line_dedup")
+    docs = docs.select("doc_id", "text").where("text is not null")
+    # a dictionary page that holds a split's words keeps the hashes small on disk
+    lines = scratch.cut(hashed_lines(docs), "lines", **{"parquet.dictionary.page.size": str(8 << 20)})
+    prefix = F.slice("ordered", F.lit(1), F.expr(f"n - cast((n * {percent} + 99) div 100 as int) + 1"))
+    keyed = lines.withColumn("classes", rarity_classes(lines, scratch))
+    keyed = keyed.select("id", "id2", F.struct("doc_id", "text_hash", "line_no").alias("at"), F.size("words").alias("n"), _ordered(F.col("words"), F.col("classes")).alias("ordered"))
+    # from here a word is only a key: 32 bits of it propose a few more candidates and move less
+    keyed = keyed.select("id", "id2", "at", "n", F.transform(prefix, lambda x: F.hash(x)).alias("prefix"))
+    first = keyed.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    first = scratch.cut(first.join(_bitmaps(lines), ["id", "id2"]), "first")
+
+    post = _postings(first, percent)
+    span = F.floor(F.log(1.25, "n")).cast("int").alias("span")
+    proposed = scratch.cut(_proposals(post.select("*", span), percent, scratch), "proposed")
+    dealt = post.repartition("word")  # one exchange, which both sides of the join read
+    lone = dealt.join(_small(proposed.select("word", "id", F.lit(True).alias("done"))), ["word", "id"], "left").where("done is null")
+    as_earlier = ["word", *(F.col(c).alias(f"a_{c}") for c in POSTING)]
+    others = lone.join(dealt.select(*as_earlier), "word").where(f"a_doc <= doc and {_fits('a_', percent)}")
+    pairs = scratch.cut(others.select("a_id", "id").union(proposed.select("a_id", "id")).distinct(), "pairs")
+    removed = scratch.cut(_later(lines, first, pairs, percent, scratch), "removed")
+
+    open_ = scratch.cut(proposed.select("id").distinct().join(removed.select("id").distinct(), "id", "left_anti"), "open")
+    if not open_.isEmpty():
+        some = _postings(first.join(_small(open_), "id", "left_semi"), percent)
+        found = post.select(*as_earlier).join(_small(some), "word").where(f"a_doc <= doc and {_fits('a_', percent)}")
+        removed = scratch.cut(removed.union(_later(lines, first, scratch.cut(found.select("a_id", "id").distinct(), "found"), percent, scratch)).distinct(), "removed")
+
+    places = lines.select("doc_id", "text_hash", "line_no", "id", "id2")
+    marked = places.join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed.withColumn("similar", F.lit(True)), ["id", "id2"], "left")
+    return marked.where("similar or struct(doc_id, text_hash, line_no) <> first").select("doc_id", "text_hash", "line_no")
+
+
+def _later(lines: DataFrame, first: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """id, id2 of the later line of each pair (a_id, id) whose full sets have the similarity."""
-    pairs = cut(pairs.distinct(), "line_pairs")
-    ids = cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("id")).distinct(), "line_ids")
-    small = ids.count() <= BROADCAST_LINES
-    wanted = cut(first.select("at", "id", "id2").join(F.broadcast(ids) if small else ids, "id", "left_semi").select("at.*", "id", "id2"), "line_wanted")
-    small = wanted.count() <= BROADCAST_LINES
-    docs_in = wanted.select("doc_id").distinct()
-    few = docs.join(F.broadcast(docs_in) if small else docs_in, docs.doc_id.eqNullSafe(docs_in.doc_id), "left_semi")
-    near = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), "id", "id2")
-    lines = _lines(few).dropDuplicates(["doc_id", "text_hash", "line_no"])
-    same = lines.doc_id.eqNullSafe(near.d) & (lines.text_hash == near.t) & (lines.line_no == near.l)
-    found = lines.join(F.broadcast(near) if small else near, same).select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "id", "id2", _keys(F.col("line"), None).alias("keys"))
-    found = cut(found, "line_sets")
-    a = found.select(F.col("id").alias("a_id"), F.col("id2").alias("a_id2"), F.col("at").alias("a_at"), F.col("keys").alias("a_keys"))
-    both = F.size(F.array_intersect("keys", "a_keys"))
-    alike = pairs.join(found, "id").join(a, "a_id").where(100 * both >= percent * (F.size("keys") + F.size("a_keys") - both))
+    ids = scratch.cut(pairs.select(F.col("a_id").alias("id")).union(pairs.select("id")).distinct(), "ids")
+    wanted = first.join(_small(ids), "id", "left_semi").select("id", "id2", "at")
+    sets = lines.join(_small(ids), "id", "left_semi").select("id", "id2", "words").dropDuplicates(["id", "id2"])
+    found = scratch.cut(sets.join(wanted, ["id", "id2"]), "sets")
+    a = found.select(F.col("id").alias("a_id"), F.col("id2").alias("a_id2"), F.col("at").alias("a_at"), F.col("words").alias("a_words"))
+    both = F.size(F.array_intersect("words", "a_words"))
+    alike = pairs.join(found, "id").join(a, "a_id").where(100 * both >= percent * (F.size("words") + F.size("a_words") - both))
     late = F.col("at") > F.col("a_at")
     return alike.select(F.when(late, F.col("id")).otherwise(F.col("a_id")).alias("id"), F.when(late, F.col("id2")).otherwise(F.col("a_id2")).alias("id2")).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the duplicate lines taken out of text, and n_lines and n_removed (both null for a null text)."""
-    gone = duplicate_lines(docs, percent).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone__"))
-    gone = gone.select(F.col("doc_id").alias("doc__"), F.col("text_hash").alias("hash__"), "gone__")
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(F.col("doc__")) & (F.xxhash64(docs.text) == F.col("hash__")), "left")
-    lines = F.split(docs.text, "\n")
-    kept = F.when(F.col("gone__").isNull(), docs.text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone__", i)), "\n"))
-    n_removed = F.when(docs.text.isNotNull(), F.coalesce(F.size("gone__"), F.lit(0)))
-    columns = [kept.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.when(docs.text.isNotNull(), F.size(lines)).alias("n_lines"), n_removed.alias("n_removed"))
+    scratch = Scratch(docs.sparkSession, "line_dedup")
+    gone = duplicate_lines(docs, percent, scratch).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    gone = scratch.cut(gone, "gone")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))
+    joined = rows.join(_small(gone), F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
+    text, lines = F.col("row.text"), F.split("row.text", "\n")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    n_removed = F.when(text.isNotNull(), F.coalesce(F.size("gone"), F.lit(0)))
+    columns = [kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own]
+    return joined.select(*columns, F.when(text.isNotNull(), F.size(lines)).alias("n_lines"), n_removed.alias("n_removed"))

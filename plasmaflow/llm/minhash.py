@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plasmaflow.llm.common import cut, mix64, row_slices, shingle_hashes, utf8, word_hashes
+from plasmaflow.llm.common import Scratch, mix64, row_slices, shingle_hashes, utf8, word_hashes
 
 CIRCLE_BITS = 20
 FINE_WORDS = 16
@@ -127,17 +127,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and the smallest node reachable over the links (a, b), by label propagation with pointer jumping.
 
     Every round is cut to the shared folder; messages are pre-aggregated before their shuffle."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    both = scratch.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         moved = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("near"))
         far = labels.select(F.col("node").alias("near"), F.col("label").alias("jump"))
-        after = cut(moved.join(far, "near", "left").select("node", F.least("near", F.coalesce("jump", "near")).alias("label"), (F.least("near", F.coalesce("jump", "near")) < F.col("label")).alias("changed")), "labels")
+        after = scratch.cut(moved.join(far, "near", "left").select("node", F.least("near", F.coalesce("jump", "near")).alias("label"), (F.least("near", F.coalesce("jump", "near")) < F.col("label")).alias("changed")), "labels")
         labels = after.select("node", "label")
         if after.where("changed").isEmpty():
             return labels
@@ -147,42 +147,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     With 40 bands of 6 coordinates a pair at exactly 0.8 is missed with probability 5e-6, closer pairs less often."""
-    rows_of = cut(sketch(docs, width, bands, rows, seed), "sketch")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows_of = scratch.cut(sketch(docs, width, bands, rows, seed), "sketch")
     filled = rows_of.where("n_shingles > 0 and doc_id is not null")
     key = ["set_a", "set_b", "n_shingles"]
     nodes = filled.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("band_keys").alias("band_keys"))
     band = nodes.select(F.explode("band_keys").alias("band"), "node", F.col("n_shingles").cast("int").alias("n"), "set_a")
-    band = cut(band, "bands")
+    band = scratch.cut(band, "bands")
     crowded = band.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(band.join(crowded, "band"), "met")
+    met = scratch.cut(band.join(crowded, "band"), "met")
     weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = met.join(weight, "node")
     leader = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("top")).select("band", (-F.col("top.minus")).alias("a"), F.col("top.n").alias("n_a"))
     fits = f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
-    stars = cut(met.join(leader, "band").where(f"node <> a and {fits}").select("a", F.col("node").alias("b")).distinct(), "stars")
+    stars = scratch.cut(met.join(leader, "band").where(f"node <> a and {fits}").select("a", F.col("node").alias("b")).distinct(), "stars")
 
     wanted = met.select("node", "set_a").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     text = text.join(wanted.select("node").distinct(), "node", "left_semi")
-    sets = cut(shingle_sets(text, width).join(wanted, ["node", "set_a"], "left_semi").dropDuplicates(["node", "set_a"]), "sets")
-    links = cut(verified(stars, sets, percent).distinct(), "links")
-    labels = components(links)
+    sets = scratch.cut(shingle_sets(text, width).join(wanted, ["node", "set_a"], "left_semi").dropDuplicates(["node", "set_a"]), "sets")
+    links = scratch.cut(verified(stars, sets, percent).distinct(), "links")
+    labels = components(links, scratch)
 
     labelled = met.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    open_ = cut(labelled.join(split, "band"), "open")
+    open_ = scratch.cut(labelled.join(split, "band"), "open")
     bits = fine_bits(sets.join(open_.select("node").distinct(), "node", "left_semi"), seed).dropDuplicates(["node"])
     own_bands = open_.groupBy("node").agg(F.collect_set("band").alias("bands"))
-    open_ = cut(open_.join(bits, "node").join(own_bands, "node"), "fine")
+    open_ = scratch.cut(open_.join(bits, "node").join(own_bands, "node"), "fine")
     other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("bands").alias("bands_a"), *(F.col(f"f{i}").alias(f"g{i}") for i in range(FINE_WORDS)))
     # a pair that shares several bands counts in the least of them; bits that may differ between a pair at the threshold, with 4.2 standard deviations to spare (a loss of 1e-5)
     total, apart = 64 * FINE_WORDS, (1 - percent / 100) / 2
     limit = int(total * apart + 4.2 * (total * apart * (1 - apart)) ** 0.5)
     differ = " + ".join(f"bit_count(f{i} ^ g{i})" for i in range(FINE_WORDS))
     rest = open_.join(other, "band").where(f"label_a < label and {fits} and {differ} <= {limit} and band = array_min(array_intersect(bands, bands_a))").select("a", F.col("node").alias("b")).distinct()
-    more = cut(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, percent).distinct(), "links")
+    more = scratch.cut(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, percent).distinct(), "links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(links.union(more), scratch)
 
     named = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
     out = rows_of.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

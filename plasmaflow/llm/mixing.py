@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plasmaflow.llm.common import cut
+from plasmaflow.llm.common import Scratch
 
 #: Buckets of a pattern, whose totals the driver sees; beyond it a bucket holds more documents.
 MOST_BUCKETS = 4096
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total_share: floa
     members = F.col("sources") if "sources" in docs.columns else F.array("source")
     members = F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))).otherwise(F.array(F.lit(None).cast("string")))
     order = F.xxhash64("doc_id", "text", F.lit(seed))
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), members.cast("array<string>").alias("members"), word_count().alias("size"), order.alias("place"), F.xxhash64("doc_id", "text").alias("row_key")), "sizes")
+    slim = Scratch(spark, "mixing").cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), members.cast("array<string>").alias("members"), word_count().alias("size"), order.alias("place"), F.xxhash64("doc_id", "text").alias("row_key")), "sizes")
     seen = slim.groupBy("members").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")).collect()
     rows = sorted(seen, key=lambda r: [(m is None, m or "") for m in r["members"]])
     patterns = [tuple(r["members"]) for r in rows]

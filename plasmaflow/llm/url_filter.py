@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plasmaflow.llm.common import cut
+from plasmaflow.llm.common import Scratch
 
 #: (verdict, host, path): the first rules of the contract.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -82,7 +82,7 @@ def _merge(above: str, alpha: float):
     return run
 
 
-def templates(paths: DataFrame, depth: int, max_children: int, common: float, alpha: float) -> DataFrame:
+def templates(paths: DataFrame, depth: int, max_children: int, common: float, alpha: float, scratch: Scratch) -> DataFrame:
     """host, kinds (array), and the template at each level as columns t1 to t<depth>, for rows (host, kinds, n, labelled, blocked)."""
     level = paths.withColumn("t0", F.lit(""))
     for k in range(1, depth + 1):
@@ -102,7 +102,7 @@ def templates(paths: DataFrame, depth: int, max_children: int, common: float, al
         named = branches.groupBy("host", above).applyInPandas(_merge(above, alpha), f"host string, {above} string, branch string, name string")
         step = child.select("host", above, "own", "branch").join(named, ["host", above, "branch"]).select("host", above, "own", "name")
         level = level.join(step, ["host", above, "own"], "left").withColumn(f"t{k}", F.when(F.col("name").isNotNull(), F.concat(above, F.lit("/"), "name"))).drop("own", "name")
-        level = cut(level, "templates")
+        level = scratch.cut(level, "templates")
     return level
 
 
@@ -110,13 +110,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: in
     """page_id, host, path, rule, verdict, template and purity of each row of pages(page_id, url).
 
     Segments beyond `depth` take the verdict of the template at that depth."""
+    scratch = Scratch(pages.sparkSession, "url_filter")
     parsed = pages.select("page_id", host().alias("host"), path().alias("path"))
     parsed = parsed.withColumn("rule", _ruled(rules, lambda v, r: r)).withColumn("ruled", _ruled(rules, lambda v, r: v))
     kinds = F.transform(F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, depth), segment_kind)
     parsed = parsed.withColumn("kinds", kinds)
     counted = parsed.groupBy("host", "kinds").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"))
-    counted = cut(counted, "paths")
-    level = templates(counted, depth, max_children, common, alpha)
+    counted = scratch.cut(counted, "paths")
+    level = templates(counted, depth, max_children, common, alpha, scratch)
     overall = counted.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
     share = (overall["b"] or 0) / overall["l"] if overall["l"] else 0.0
 

@@ -18,7 +18,6 @@ import json
 import os
 import re
 import unicodedata
-import uuid
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plasmaflow.llm.common import LOWER, SEPARATOR, partitions, row_slices, shared_dir, utf8
+from plasmaflow.llm.common import LOWER, SEPARATOR, Scratch, partitions, row_slices, utf8
 
 RANK_EVERY = 512
 SEGMENT_TOKENS = 1 << 19
@@ -328,6 +327,6 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """Write docs as wavelet-matrix shards into the shared folder and read them back, as `read` does."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    path = f"{Scratch(spark, 'wavelet').path}/shards"
     write(docs, path, tokenizer, end_id)
     return read(spark, path, with_ids)
