@@ -5,10 +5,10 @@ neighbours, best score first, leftmost first among equals. A candidate that come
 otherwise it merges and its new neighbours enter the agenda. With dropout 0 this is the library's own segmentation. A part is a
 stretch of a pre-token that no merge can leave, as no piece of the vocabulary holds the characters on both sides.
 
-Every occurrence has draws of its own, keyed by (seed, doc_id, place), unless the caller bounds the `variants` of a pre-token. As candidates are skipped independently, the number of
-candidates up to the next skip is geometric, and one keyed number gives it; a segmentation follows from the part and the
-numbers of its skipped candidates alone. So a worker caches segmentations by these: most occurrences of a word skip nothing, and
-the others look up what their own skips lead to. Decoding joins the pieces' bytes and drops the dummy prefix; a literal U+2581
+Candidate number k of the occurrence at `place` of a document is skipped if bit k of a word of keyed bits is set, each bit being
+set with probability `dropout`; the bits follow from (seed, doc_id, place) alone. So a segmentation follows from the pre-token and
+the numbers of its skipped candidates, and a worker keeps a tree of them: the plain segmentation, which the library gives, and below
+it one branch for each number that was skipped next. Decoding joins the pieces' bytes and drops the dummy prefix; a literal U+2581
 is encoded as bytes, so that every text comes back exactly.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; repeated doc_ids get the same result for
@@ -18,11 +18,8 @@ the same text; a null doc_id hashes like the number 0; extra columns pass throug
 from __future__ import annotations
 
 import heapq
-import math
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +30,10 @@ from pyspark.sql import functions as F
 from plasmaflow.llm import pretokens
 from plasmaflow.llm.common import mix64
 
-CACHE_ENTRIES = 120_000  # of pre-tokens, and again of parts
-SHORT = 64  # parts up to which a scan beats a heap
+CACHE_BYTES = 160 << 20  # of a worker's segmentations, as estimated; a full cache starts anew
+SHORT = 64  # parts up to which a scan beats a heap, and candidates that one word of bits decides
 NEVER = float("inf")
+ALL = (1 << SHORT) - 1
 
 
 class Vocabulary:
@@ -57,17 +55,19 @@ class Vocabulary:
             else:
                 self.ids[piece] = i
                 self.bytes.append(piece.replace(pretokens.SPACE, " ").encode())
-        #: Neighbouring characters that some piece holds, a space as itself.
-        self.pairs = {p[i : i + 2].replace(pretokens.SPACE, " ") for p in self.ids for i in range(len(p) - 1)}
         self.scores = {piece: -model.get_score(i) for piece, i in self.ids.items()}
+        #: By id: whether it is no byte and no control, and whether its piece begins with a space.
+        self.whole, self.heads = np.zeros(len(self.bytes), bool), np.zeros(len(self.bytes), bool)
+        self.whole[list(self.ids.values())] = True
+        self.heads[[i for p, i in self.ids.items() if p[0] == pretokens.SPACE]] = True
 
-    def segment(self, piece: str, skipped: Callable[[], bool]) -> bytes:
-        """The ids of one part as packed 32-bit integers; each candidate that comes up asks `skipped` once."""
+    def segment(self, piece: str, skips: int) -> tuple[bytes, int]:
+        """The ids of one pre-token as packed 32-bit integers, and how many candidates came up; those whose bit is set in `skips` are skipped."""
         parts = [pretokens.SPACE if c == " " else "\0" + c if c == pretokens.SPACE else c for c in piece]
-        parts = self._merge_short(parts, skipped) if len(parts) <= SHORT else self._merge_long(parts, skipped)
+        parts, came = self._merge_short(parts, skips) if len(parts) <= SHORT else self._merge_long(parts, skips)
         ids = self.ids
         try:
-            return array("i", [ids[p] for p in parts]).tobytes()
+            return array("i", [ids[p] for p in parts]).tobytes(), came
         except KeyError:  # characters outside the vocabulary become bytes
             out = array("i")
             for p in parts:
@@ -76,18 +76,19 @@ class Vocabulary:
                     out.append(known)
                 else:
                     out.extend(self.byte_ids[b] for b in p.replace("\0" + pretokens.SPACE, pretokens.SPACE).encode())
-            return out.tobytes()
+            return out.tobytes(), came
 
-    def _merge_short(self, parts: list[str], skipped) -> list[str]:
+    def _merge_short(self, parts: list[str], skips: int) -> tuple[list[str], int]:
         """The agenda as a plain list of the neighbours' costs: for a few parts its least one is found fastest by a scan."""
-        get = self.scores.get
+        get, came = self.scores.get, 0
         costs = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while costs:
             least = min(costs)
             if least == NEVER:
                 break
             i = costs.index(least)
-            if skipped():
+            came += 1
+            if skips >> (came - 1) & 1:
                 costs[i] = NEVER
                 continue
             merged = parts[i] + parts.pop(i + 1)
@@ -97,11 +98,11 @@ class Vocabulary:
                 costs[i - 1] = get(parts[i - 1] + merged, NEVER)
             if i < len(costs):
                 costs[i] = get(merged + parts[i + 1], NEVER)
-        return parts
+        return parts, came
 
-    def _merge_long(self, symbols: list[str], skipped) -> list[str]:
+    def _merge_long(self, symbols: list[str], skips: int) -> tuple[list[str], int]:
         """The same with a heap."""
-        n, scores = len(symbols), self.scores
+        n, scores, came = len(symbols), self.scores, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(scores[s], i, i + 1, len(s)) for i in range(n - 1) if (s := symbols[i] + symbols[i + 1]) in scores]
         heapq.heapify(agenda)
@@ -111,7 +112,8 @@ class Vocabulary:
             if not symbols[i] or not symbols[j] or after[i] != j or len(symbols[i]) + len(symbols[j]) != size:
                 continue  # one of them has merged meanwhile
             end = after[j]
-            if skipped():
+            came += 1
+            if skips >> (came - 1) & 1:
                 continue
             symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], "", end
             if end < n:
@@ -121,101 +123,99 @@ class Vocabulary:
             p = before[i]
             if p >= 0 and (s := symbols[p] + symbols[i]) in scores:
                 push(agenda, (scores[s], p, i, len(s)))
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], came
 
 
-class Segments(dict):
-    """A worker's cache by (part, numbers of its skipped candidates in the order in which they come up): the ids, and how many came up."""
-
-    def __init__(self, words: Vocabulary):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, key: tuple[str, tuple[int, ...]]) -> tuple[bytes, int]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        piece, skips = key
-        came = count()
-        ids = self.words.segment(piece, (lambda: next(came) in skips) if skips else (lambda: next(came) < 0))
-        found = self[key] = ids, next(came)
-        return found
-
-
-class PreTokens(dict):
-    """A worker's cache of pre-tokens: ids without a skip, how many candidates come up, and the parts."""
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
-    def __init__(self, segments: Segments):
-        super().__init__()
-        self.segments = segments
 
-    def __missing__(self, piece: str) -> tuple[bytes, int, list[str]]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        pairs = self.segments.words.pairs
-        cuts = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in pairs]
-        parts = [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])]  # noqa: B905
-        plain = [self.segments[p, ()] for p in parts]  # no merge crosses a cut, so parts are shared with other pre-tokens
-        found = self[piece] = (b"".join([ids for ids, _ in plain]), sum(n for _, n in plain), parts)
-        return found
+class Node:
+    """A segmentation of a pre-token: its ids, the bits of the candidates that come up, those skipped, and its branches."""
 
+    __slots__ = ("piece", "ids", "asked", "skips", "below")
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    def __init__(self, piece: str, ids: bytes, came: int, skips: int):
+        self.piece, self.ids, self.asked, self.skips = piece, ids, (1 << came) - 1 if came <= SHORT else ALL, skips
+        self.below: dict[int, Node] | None = {} if came <= SHORT else None  # None: more bits than one word
 
 
 class Codec:
-    def __init__(self, path: str, dropout: float, variants: int | None, seed: int):
-        self.words, self.variants, self.seed = vocabulary(path), variants, seed
-        self.dropout, self.keep = dropout, math.log1p(-dropout) if dropout < 1 else -math.inf
-        self.segments = Segments(self.words)
-        self.pieces = PreTokens(self.segments)
+    def __init__(self, path: str, dropout: float, seed: int):
+        self.path, self.words, self.seed = path, vocabulary(path), seed
+        self.rate = round(dropout * (1 << 16))
+        self.nodes: dict[str, Node] = {}
+        self.held = 0
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        """64 independent bits for each key, each set with probability rate / 2 ** 16: the binary digits of the rate decide how keyed words join."""
+        if self.rate >= 1 << 16:
+            return np.full(len(keys), ALL, np.uint64)
+        out = np.zeros(len(keys), np.uint64)
+        for digit in range(16):
+            if not self.rate & ((2 << digit) - 1):
+                continue  # no set digit so far: still no bit
+            word = mix64(keys + np.uint64(digit + 1))
+            out = out | word if self.rate >> digit & 1 else out & word
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        """Plain segmentations of unknown pre-tokens: words by the library, many in one text that is parted where a piece begins with
+        a space; those with bytes, marks or no single space before them, and long ones, by the agenda."""
+        words = [p for p in missing if p[0] == " " and 1 < len(p) <= SHORT and p[1] != " " and pretokens.SPACE not in p]
+        ids = np.array(pretokens.processor(self.path).encode("".join(words)[1:]), np.int32)
+        begins = np.flatnonzero(self.words.heads[ids])
+        plain = np.logical_and.reduceat(self.words.whole[ids], begins).tolist() if len(begins) else []
+        if len(begins) != len(words):
+            plain = [False] * len(words)  # a vocabulary that parts words in another way
+        packed, ends = ids.tobytes(), np.append(begins[1:], len(ids)).tolist()
+        for piece, known, i, j in zip(words, plain, begins.tolist(), ends):  # noqa: B905
+            if known:
+                self._keep(Node(piece, packed[4 * i : 4 * j], len(piece) - (j - i), 0), self.nodes, piece)
+        for piece in missing:
+            if piece not in self.nodes:
+                self._keep(Node(piece, *self.words.segment(piece, 0), 0), self.nodes, piece)
+
+    def _keep(self, node: Node, where: dict, key) -> None:
+        where[key] = node
+        self.held += 400 + 2 * len(node.piece) + len(node.ids)
 
     def encode(self, text: str | None, doc_id: int | None) -> bytes:
         pieces = pretokens.split(text or "")
-        found = [self.pieces[p] for p in pieces]
-        out = [f[0] for f in found]
-        if self.dropout and pieces:
-            place = np.arange(len(pieces), dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(b"%d" % (doc_id or 0), self.seed))
-            if self.variants:
-                place = np.array([xxhash.xxh64_intdigest(p, self.seed) for p in pieces], np.uint64) + place % np.uint64(self.variants)
-            keys = mix64(place)
-            first = np.log((keys >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / self.keep  # candidates before the first skip
-            some = np.flatnonzero(first < np.array([f[1] for f in found]))
-            for i, skip, key in zip(some.tolist(), first[some].tolist(), keys[some].tolist(), strict=True):
-                out[i] = self._skipping(found[i][2], int(skip), key)
+        if not pieces:
+            return b""
+        if self.held > CACHE_BYTES:
+            self.nodes, self.held = {}, 0
+        nodes = list(map(self.nodes.get, pieces))
+        if None in nodes:
+            self._learn({p for p, n in zip(pieces, nodes, strict=True) if n is None})
+            nodes = list(map(self.nodes.__getitem__, pieces))
+        out = [n.ids for n in nodes]
+        if self.rate:
+            first = np.uint64(xxhash.xxh64_intdigest(b"%d" % (doc_id or 0), self.seed))
+            keys = mix64(np.arange(len(pieces), dtype=np.uint64) + first)
+            bits = self._bits(keys)
+            some = np.flatnonzero(bits & np.fromiter((n.asked for n in nodes), np.uint64, len(nodes)))
+            for i, word in zip(some.tolist(), bits[some].tolist(), strict=True):
+                node = nodes[i]
+                rest = word & node.asked
+                while rest and node.below is not None:
+                    bit = rest & -rest
+                    branch = node.below.get(bit)
+                    if branch is None:
+                        skips = node.skips | bit
+                        branch = Node(node.piece, *self.words.segment(node.piece, skips), skips)
+                        self._keep(branch, node.below, bit)
+                    node = branch
+                    rest = word & node.asked & ~(bit | (bit - 1))
+                out[i] = node.ids if node.below is not None else self._long(node.piece, keys[i])
         return b"".join(out)
 
-    def _skipping(self, parts: list[str], skip: int, key: int) -> bytes:
-        """The ids of an occurrence that skips its candidate number `skip` first; the gaps to later skips follow from its key."""
-
-        def gap() -> int:
-            nonlocal key
-            key = xxhash.xxh64_intdigest(b"gap", key)
-            return int(math.log((key >> 11) * 2.0**-53 + 2.0**-54) / self.keep)
-
-        def skipped() -> bool:
-            nonlocal skip
-            if skip:
-                skip -= 1
-                return False
-            skip = gap()
-            return True
-
-        out = []
-        for part in parts:
-            if len(part) > SHORT:
-                out.append(self.words.segment(part, skipped))
-                continue
-            skips: tuple[int, ...] = ()
-            ids, n = self.segments[part, skips]
-            while skip < n:
-                skips = (*skips, skip)
-                ids, n = self.segments[part, skips]
-                skip += 1 + gap()
-            out.append(ids)
-            skip -= n
-        return b"".join(out)
+    def _long(self, piece: str, key: np.uint64) -> bytes:
+        """A pre-token of more candidates than one word decides, with as many words as its length may ask for."""
+        words = self._bits(key + np.arange(3 * len(piece) // SHORT + 1, dtype=np.uint64) * np.uint64(1 << 32))
+        return self.words.segment(piece, int.from_bytes(words.astype("<u8").tobytes(), "little"))[0]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.words.bytes.__getitem__, array("i", ids)))
@@ -223,18 +223,18 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, dropout: float, variants: int | None, seed: int) -> Codec:
-    return Codec(path, dropout, variants, seed)
+def codec(path: str, dropout: float, seed: int) -> Codec:
+    return Codec(path, dropout, seed)
 
 
-def encode(docs: DataFrame, path: str, dropout: float = 0.1, variants: int | None = None, seed: int = 13) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13) -> DataFrame:
     """docs without text, with tokens (array<int>) in its place."""
     pretokens.check(path)
     others = [c for c in docs.columns if c not in ("text", "doc_id", "tokens")]
     schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "tokens array<int>"])
 
     def run(batches):
-        tool = codec(path, dropout, variants, seed)
+        tool = codec(path, dropout, seed)
         for batch in batches:
             ids = [tool.encode(t, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
@@ -248,7 +248,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, text from rows of tokens(doc_id, tokens)."""
 
     def run(batches):
-        tool = codec(path, 0.0, 1, 0)
+        tool = codec(path, 0.0, 0)
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -258,14 +258,14 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, variants: int | None = None, seed: int = 13) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and whether decoding gives the text back."""
     import zlib
 
     pretokens.check(path)
 
     def run(batches):
-        tool = codec(path, dropout, variants, seed)
+        tool = codec(path, dropout, seed)
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -153,7 +153,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None
         removed = scratch.cut(removed.union(_later(lines, first, scratch.cut(found.select("a_id", "id").distinct(), "found"), percent, scratch)).distinct(), "removed")
 
     places = lines.select("doc_id", "text_hash", "line_no", "id", "id2")
-    marked = places.join(first.select("id", "id2", F.col("at").alias("first")), ["id", "id2"]).join(removed.withColumn("similar", F.lit(True)), ["id", "id2"], "left")
+    states = first.select("id", "id2", F.col("at").alias("first")).join(removed.withColumn("similar", F.lit(True)), ["id", "id2"], "left")
+    marked = places.join(scratch.cut(states, "states"), ["id", "id2"])  # the lines that repeat most may be split between tasks
     return marked.where("similar or struct(doc_id, text_hash, line_no) <> first").select("doc_id", "text_hash", "line_no")
 
 

@@ -108,6 +108,27 @@ def test_line_dedup_matches_brute_force(docs):
     assert found == brute_lines([(r["doc_id"], r["text"]) for r in few.collect()])
 
 
+def test_line_dedup_crowded_groups_and_clashing_columns(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for k in rng.choice(30, rng.integers(0, 6), replace=False):
+            own[k] = f"v{rng.integers(0, 40)}"
+        texts.append(" ".join(own) + "\nshort line " + str(rng.integers(0, 5)))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("gone", "row", "row_id", "row_hash", "text_hash", "word", "id", "n_lines", "n_removed"):
+        df = df.withColumn(c, F.lit("x"))
+    for crowded in (64, 2):  # few and nearly all groups take the leader's way
+        monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+        found = line_dedup.dedup_lines(df)
+        assert set(found.columns) == {*df.columns} and len(found.columns) == len(df.columns)
+        assert {r["doc_id"]: r["text"] for r in found.collect()} == brute_lines(rows)
+    assert {r["gone"] for r in found.collect()} == {"x"}
+
+
 def test_line_dedup_edges(edge, none):
     rows = line_dedup.dedup_lines(edge).collect()
     assert len(rows) == len(EDGE) and set(edge.columns) <= set(rows[0].asDict())
@@ -169,7 +190,7 @@ def test_token_counts_match_the_library(docs, edge, none):
 
 def test_merge_dropout(docs, edge, none):
     model = pretokens.processor(PIECES)
-    tool = dropout.Codec(PIECES, 0.0, 1, 0)
+    tool = dropout.Codec(PIECES, 0.0, 0)
     texts = [r["text"] for r in docs.limit(60).collect()]
     assert all(list(np.frombuffer(tool.encode(t, 1), np.int32)) == model.encode(t) for t in texts)
     for df in (docs, edge):
@@ -192,13 +213,53 @@ def test_merge_dropout_draws_for_each_occurrence(spark):
     assert len(forms) > 20
     # by brute force: every candidate skipped by a coin of its own
     rng = np.random.default_rng(5)
-    want = collections.Counter("".join(f"{i} " for i in np.frombuffer(tool.segment(word, lambda: rng.random() < 0.1), np.int32)) for _ in range(4000))
+    coins = lambda: sum(int(x) << k for k, x in enumerate(rng.random(64) < 0.1))
+    want = collections.Counter("".join(f"{i} " for i in np.frombuffer(tool.segment(word, coins())[0], np.int32)) for _ in range(4000))
     total = sum(forms.values())
     assert all(abs(forms[f] / total - n / 4000) < 0.04 for f, n in want.most_common(5))
     one = [tuple(r["tokens"]) for r in dropout.encode(df.where("doc_id = 1").union(df.where("doc_id = 1")), PIECES).collect()]
     assert one[0] == one[1]
 
 
+def naive_dropout(tool, piece, skips):
+    """The agenda by full rescans: symbols carry numbers, a skipped candidate is a pair of numbers that is not asked again."""
+    symbols = [(i, "▁" if c == " " else c) for i, c in enumerate(piece)]
+    fresh, asked, gone = len(symbols), 0, set()
+    while True:
+        found = [(tool.scores[x + y], k) for k, ((i, x), (j, y)) in enumerate(zip(symbols, symbols[1:])) if x + y in tool.scores and (i, j) not in gone]
+        if not found:
+            break
+        k = min(found)[1]
+        (i, x), (j, y) = symbols[k : k + 2]
+        if skips >> asked & 1:
+            gone.add((i, j))
+        else:
+            symbols[k : k + 2] = [(fresh, x + y)]
+            fresh += 1
+        asked += 1
+    out = []
+    for _, x in symbols:
+        out += [tool.ids[x]] if x in tool.ids else [tool.byte_ids[b] for b in x.encode()]
+    return out
+
+
+def test_merge_dropout_matches_brute_force(docs):
+    codec = dropout.Codec(PIECES, 0.1, 13)
+    for r in docs.where("length(text) < 3000 and not contains(text, '▁')").limit(40).collect():
+        pieces = pretokens.split(r["text"])
+        first = np.uint64(dropout.xxhash.xxh64_intdigest(b"%d" % r["doc_id"], 13))
+        bits = codec._bits(dropout.mix64(np.arange(len(pieces), dtype=np.uint64) + first)).tolist()
+        want = [i for p, b in zip(pieces, bits) for i in naive_dropout(codec.words, p, b) if len(p) <= 30]
+        got = [i for p, b in zip(pieces, bits) for i in np.frombuffer(codec.words.segment(p, b)[0], np.int32).tolist() if len(p) <= 30]
+        assert want == got
+        if all(len(p) <= 30 for p in pieces):
+            assert np.frombuffer(codec.encode(r["text"], r["doc_id"]), np.int32).tolist() == want
+    keys = dropout.mix64(np.arange(50_000, dtype=np.uint64))
+    share = np.bitwise_count(codec._bits(keys)).mean() / 64
+    assert abs(share - 0.1) < 0.002
+    assert (codec._bits(keys) == codec._bits(keys)).all() and not dropout.Codec(PIECES, 0.0, 1).encode("a b", 1) == b""
+
+
 def test_wavelet_matrix_answers_like_the_list():
     ids = np.random.default_rng(0).zipf(1.3, 5000) % 49408
     tree = wavelet.WaveletMatrix.build(ids)
