@@ -193,3 +193,17 @@ def kolmogorov_sf(d, n) -> np.ndarray:
     t = np.asarray(d, float) * np.sqrt(np.asarray(n, float))
     j = np.arange(1, 101)[:, None]
     return np.clip(2 * ((-1.0) ** (j - 1) * np.exp(-2 * j**2 * np.atleast_1d(t) ** 2)).sum(axis=0), 0, 1)
+
+
+def poisson_power(null, alt, alpha: float = 0.05) -> np.ndarray:
+    """Chance that a count with mean `alt` exceeds the (1 - alpha) quantile of one with mean `null`: normal above a mean of 5, exact below."""
+    null, alt = np.asarray(null, float), np.asarray(alt, float)
+    z = float(norm_isf(np.array([alpha]))[0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        normal = norm_sf(-(alt - null - z * np.sqrt(null)) / np.sqrt(alt))
+    out, few = np.array(normal, float), np.flatnonzero(null <= 5)
+    if len(few):
+        k = np.arange(64.0)
+        reached = np.array([poisson_cdf(k, np.full(len(k), m)) for m in null[few]]) >= 1 - alpha
+        out[few] = 1 - poisson_cdf(reached.argmax(axis=1).astype(float), alt[few])
+    return np.clip(out, 0, 1)

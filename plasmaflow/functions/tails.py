@@ -41,6 +41,10 @@ chi2_sf = _udf(special.chi2_sf)
 kolmogorov_sf = _udf(special.kolmogorov_sf)
 
 
+def poisson_power(null: str | Column, alt: str | Column, alpha: float) -> Column:
+    return _udf(lambda a, b: special.poisson_power(a, b, alpha))(null, alt)
+
+
 def on_distinct(df: DataFrame, arguments: list[str], name: str, value: Column) -> DataFrame:
     """df with `name`, evaluated once for each distinct tuple of the argument columns and joined back (null-safe)."""
     once = df.select(*arguments).distinct().withColumn(name, value)

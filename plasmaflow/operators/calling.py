@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plasmaflow.functions import tails
 from plasmaflow.operators import errors, multiple
+from plasmaflow.operators.lineage import cut
 
 
 def sample_counts(fams: DataFrame) -> DataFrame:
@@ -17,20 +18,20 @@ def sample_counts(fams: DataFrame) -> DataFrame:
 def call_samples(fams: DataFrame, rate: DataFrame, test: str = "poisson", alpha: float = 0.05, method: str = "bh") -> DataFrame:
     """A test of each sample's variant families against n_total * mean error rate (rate: one row, error_rate)."""
     counts = sample_counts(fams).join(F.broadcast(rate.select(F.avg("error_rate").alias("rate"))))
-    counts = counts.withColumn("expected_variants", F.col("n_total") * F.col("rate")).withColumn("variant_fraction", F.col("n_variants") / F.col("n_total"))
+    counts = cut(counts).withColumn("expected_variants", F.col("n_total") * F.col("rate")).withColumn("variant_fraction", F.col("n_variants") / F.col("n_total"))
     counts = counts.withColumn("fold_change", F.when(F.col("expected_variants") > 0, F.col("n_variants") / F.col("expected_variants")))
     if test == "poisson":
         tested = tails.on_distinct(counts, ["n_variants", "expected_variants"], "p_value", tails.poisson_two_sided("n_variants", "expected_variants"))
     else:
         tested = tails.on_distinct(counts, ["n_variants", "n_total", "rate"], "p_value", tails.binom_two_sided("n_variants", "n_total", "rate"))
-    out = multiple.adjust(tested, "p_value", method=method, alpha=alpha)
+    out = multiple.adjust(cut(tested), "p_value", method=method, alpha=alpha)
     return out.withColumns({"test_type": F.lit(test), "alpha": F.lit(alpha), "fdr_method": F.lit(method)}).drop("rate")
 
 
 def test_variants(variants: DataFrame, rates: DataFrame, test: str = "poisson", alternative: str = "greater", alpha: float = 0.05, method: str = "bh") -> DataFrame:
     """Rows (site_key, context, alt_count, total_depth) tested against their context's rate."""
     valid = variants.where("alt_count >= 0 and total_depth > 0 and alt_count <= total_depth")
-    rated = errors.join_context_rate(valid, rates).withColumn("expected", F.col("total_depth") * F.col("expected_rate"))
+    rated = cut(errors.join_context_rate(valid, rates)).withColumn("expected", F.col("total_depth") * F.col("expected_rate"))
     if test == "poisson":
         tail = {"greater": tails.poisson_greater, "less": tails.poisson_less, "two-sided": tails.poisson_two_sided}[alternative]
         tested = tails.on_distinct(rated, ["alt_count", "expected"], "p_value", tail("alt_count", "expected"))
@@ -40,7 +41,7 @@ def test_variants(variants: DataFrame, rates: DataFrame, test: str = "poisson",
         tested = tails.on_distinct(rated, ["alt_count", "total_depth", "expected_rate"], "p_value", tail("alt_count", "total_depth", "expected_rate"))
         p, q = (F.col("alt_count") + 0.5) / (F.col("total_depth") + 1), F.col("expected_rate")
         effect = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    out = multiple.adjust(tested.withColumn("effect_size", effect), "p_value", method=method, alpha=alpha)
+    out = multiple.adjust(cut(tested.withColumn("effect_size", effect)), "p_value", method=method, alpha=alpha)
     return out.withColumn("significant_uncorrected", F.col("p_value") <= alpha)
 
 
@@ -48,13 +49,13 @@ def call_beta_binomial(loci: DataFrame, params: DataFrame, alpha: float = 0.05)
     """Per locus (alt_count, total_count): tail p with the locus' alpha and beta (the mean parameters where it has none), signed
     z, q and call."""
     mean = params.agg(F.avg("alpha").alias("alpha_mean"), F.avg("beta").alias("beta_mean"))
-    joined = loci.join(F.broadcast(params), ["chrom", "pos"], "left").join(F.broadcast(mean))
+    joined = loci.join(params, ["chrom", "pos"], "left").join(F.broadcast(mean))
     joined = joined.withColumn("alpha", F.coalesce("alpha", "alpha_mean")).withColumn("beta", F.coalesce("beta", "beta_mean")).drop("alpha_mean", "beta_mean")
-    tested = joined.withColumn("depth", F.greatest("total_count", F.lit(1)))
+    tested = cut(joined).withColumn("depth", F.greatest("total_count", F.lit(1)))
     tested = tails.on_distinct(tested, ["alt_count", "depth", "alpha", "beta"], "p_value", tails.beta_binomial_sf("alt_count", "depth", "alpha", "beta"))
     sign = F.when(F.col("alt_count") / F.col("depth") >= F.col("alpha") / (F.col("alpha") + F.col("beta")), 1.0).otherwise(-1.0)
     tested = tested.withColumn("z", sign * F.abs(tails.norm_isf(F.col("p_value") / 2)))
-    return multiple.adjust(tested, "p_value", alpha=alpha)
+    return multiple.adjust(cut(tested), "p_value", alpha=alpha)
 
 
 def stouffer(loci: DataFrame, by: str = "sample_id") -> DataFrame:
@@ -69,5 +70,11 @@ def fisher_combine(loci: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("combined_p", tails.chi2_sf("statistic", "df"))
 
 
+def detection_power(calls: DataFrame, effect: float = 0.01, alpha: float = 0.05) -> DataFrame:
+    """calls with the power to detect an allele fraction of `effect` above the background at each sample's own number of families."""
+    wanted = cut(calls.withColumn("expected_found", F.col("expected_variants") + effect * F.col("n_total")))
+    return tails.on_distinct(wanted, ["expected_variants", "expected_found"], "power", tails.poisson_power("expected_variants", "expected_found", alpha))
+
+
 def call_summary(calls: DataFrame) -> DataFrame:
     return calls.agg(F.count(F.when(F.col("significant"), 1)).alias("n_positive"), F.count(F.lit(1)).alias("n_total"), F.min("p_value").alias("min_p"))

@@ -49,7 +49,7 @@ def fit_error_model(controls: DataFrame, by: str = "context") -> DataFrame:
 def bayes_error_model(controls: DataFrame, by: str = "context", a: float = 1.0, b: float = 10.0) -> DataFrame:
     fitted = controls.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_variant"), 1)).alias("k"))
     p, q = F.col("k") + a, F.col("n") - F.col("k") + b
-    return fitted.withColumn("mean", p / (p + q)).withColumn("sd", F.sqrt(p * q / ((p + q) * (p + q) * (p + q + 1)))).withColumn("ci_lower", tails.beta_ppf(F.lit(0.025), p, q)).withColumn("ci_upper", tails.beta_ppf(F.lit(0.975), p, q))
+    return fitted.withColumn("mean", p / (p + q)).withColumn("sd", F.sqrt(p * q / ((p + q) * (p + q) * (p + q + 1)))).withColumn("ci_lower", tails.beta_ppf(F.lit(0.025), p, q)).withColumn("ci_upper", tails.beta_ppf(F.lit(0.975), p, q)).withColumn("median", tails.beta_ppf(F.lit(0.5), p, q)).withColumn("mode", F.when((p > 1) & (q > 1), (p - 1) / (p + q - 2)).otherwise(p / (p + q)))
 
 
 def wilson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:

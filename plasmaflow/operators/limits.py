@@ -60,8 +60,16 @@ def lod_first_hit(curve: DataFrame, target: float = 0.95, by: list[str] | None =
 
 
 def lod_logistic(curve: DataFrame, target: float = 0.95, by: str = "umi_depth") -> DataFrame:
-    """Least-squares logistic of rate on log10 AF (AF > 0), solved for `target`; null where the slope isn't positive. A group is
-    one curve's points."""
+    """Least-squares logistic of rate on log10 AF (AF > 0), solved for `target`. Where the slope isn't positive, AF is interpolated
+    (or extended) linearly over the rates; a single point gives its AF, equal rates none. A group is one curve's points."""
+
+    def between(points: pd.DataFrame) -> float | None:
+        means = points.groupby("rate")["allele_fraction"].mean()
+        x, y = means.index.to_numpy(float), means.to_numpy(float)
+        if len(x) < 2:
+            return float(y[0]) if len(points) == 1 else None
+        i = int(np.clip(np.searchsorted(x, target), 1, len(x) - 1))
+        return float(y[i - 1] + (target - x[i - 1]) / (x[i] - x[i - 1]) * (y[i] - y[i - 1]))
 
     def fit(points: pd.DataFrame) -> pd.DataFrame:
         x, y = np.log10(points["allele_fraction"].to_numpy(float)), points["rate"].to_numpy(float)
@@ -80,6 +88,7 @@ def lod_logistic(curve: DataFrame, target: float = 0.95, by: str = "umi_depth")
                 if np.abs(scale * step).max() < 1e-10:
                     break
             lod = float(10 ** ((np.log(target / (1 - target)) - shift) / slope)) if slope > 0 else None
+        lod = between(points) if lod is None or not np.isfinite(lod) else lod
         return pd.DataFrame({by: points[by].iloc[:1], "lod": [lod]})
 
     kind = curve.schema[by].dataType.simpleString()

@@ -1,8 +1,8 @@
 """Multiple testing, p-value calibration and curves over ranks.
 
 No window ever orders raw rows of a whole table: values are first counted by distinct value, and a value's rank is the
-running count, which also treats ties rightly. Distinct values go through a two-pass running sum: range partitions, totals
-of the partitions, offsets.
+running count, which also treats ties rightly. Distinct values go through a two-pass running sum: ranges between quantiles,
+totals of the ranges, offsets.
 """
 
 from __future__ import annotations
@@ -21,20 +21,29 @@ def distinct_counts(df: DataFrame, value: str, by: list[str], extra: dict[str, C
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in (extra or {}).items()))
 
 
+def _side(df: DataFrame, by: list[str]) -> DataFrame:
+    """A table of a row (without `by`) or of some rows a group: broadcast only where its size doesn't grow with the groups."""
+    return df if by else F.broadcast(df)
+
+
+def _placed(df: DataFrame, value: str, by: list[str], reverse: bool) -> DataFrame:
+    """df with its bucket: BUCKETS ranges between quantiles of the values within `by`, so that values that pile up still spread."""
+    limits = df.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("limits__"))
+    placed = df.join(_side(limits, by), by, "left") if by else df.join(F.broadcast(limits))
+    bucket = F.size(F.filter("limits__", lambda c: c < F.col(value)))
+    return placed.withColumn("bucket__", -bucket if reverse else bucket).drop("limits__")
+
+
 def running(df: DataFrame, value: str, by: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
     """df with running sums of columns along `value` (sums: new column to source), within `by`.
 
     Buckets of the value range carry partial totals, so that even without `by` no task sees every row."""
-    limits = df.groupBy(*by).agg(F.min(value).alias("low__"), F.max(value).alias("high__"))
-    placed = df.join(F.broadcast(limits), by, "left") if by else df.join(F.broadcast(limits))
-    width = F.col("high__") - F.col("low__")
-    bucket = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("low__")) / width * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = placed.withColumn("bucket__", (-bucket if descending else bucket).cast("int")).drop("low__", "high__")
+    placed = _placed(df, value, by, descending)
     totals = placed.groupBy(*by, "bucket__").agg(*(F.sum(c).alias(f"{k}__t") for k, c in sums.items()))
     before = W.partitionBy(*by).orderBy("bucket__").rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows a group
     offsets = totals.select(*by, "bucket__", *(F.coalesce(F.sum(f"{k}__t").over(before), F.lit(0)).alias(f"{k}__o") for k in sums))
     inside = W.partitionBy(*by, "bucket__").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(offsets), [*by, "bucket__"])
+    out = placed.join(_side(offsets, by), [*by, "bucket__"])
     for k, c in sums.items():
         out = out.withColumn(k, F.col(f"{k}__o") + F.sum(c).over(inside))
     return out.drop("bucket__", *(f"{k}__o" for k in sums))
@@ -43,15 +52,11 @@ def running(df: DataFrame, value: str, by: list[str], sums: dict[str, str], desc
 def _extreme(df: DataFrame, value: str, by: list[str], source: str, name: str, largest: bool) -> DataFrame:
     """Running maximum of `source` from small values up, or running minimum from large values down."""
     pick = F.max if largest else F.min
-    limits = df.groupBy(*by).agg(F.min(value).alias("low__"), F.max(value).alias("high__"))
-    placed = df.join(F.broadcast(limits), by, "left") if by else df.join(F.broadcast(limits))
-    width = F.col("high__") - F.col("low__")
-    bucket = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("low__")) / width * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = placed.withColumn("bucket__", (bucket if largest else -bucket).cast("int")).drop("low__", "high__")
+    placed = _placed(df, value, by, not largest)
     totals = placed.groupBy(*by, "bucket__").agg(pick(source).alias("t__"))
     offsets = totals.select(*by, "bucket__", pick("t__").over(W.partitionBy(*by).orderBy("bucket__").rowsBetween(W.unboundedPreceding, -1)).alias("o__"))
     inside = W.partitionBy(*by, "bucket__").orderBy(F.asc(value) if largest else F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(offsets), [*by, "bucket__"]).withColumn(name, pick(source).over(inside))
+    out = placed.join(_side(offsets, by), [*by, "bucket__"]).withColumn(name, pick(source).over(inside))
     best = F.greatest if largest else F.least
     return out.withColumn(name, best(F.col(name), F.coalesce("o__", name))).drop("bucket__", "o__")
 
@@ -61,12 +66,12 @@ def adjust(df: DataFrame, p: str = "p_value", by: list[str] | None = None, metho
     by = by or []
     counts = cut(distinct_counts(df, p, by))
     tests = counts.groupBy(*by).agg(F.sum("n").alias("m__"))
-    counts = counts.join(F.broadcast(tests), by) if by else counts.join(F.broadcast(tests))
+    counts = counts.join(tests, by) if by else counts.join(F.broadcast(tests))
     if method == "bh":
-        ranked = running(counts, p, by, {"rank__": "n"}).withColumn("raw__", F.col(p) * F.col("m__") / F.col("rank__"))
+        ranked = cut(running(counts, p, by, {"rank__": "n"}).withColumn("raw__", F.col(p) * F.col("m__") / F.col("rank__")))
         adjusted = _extreme(ranked, p, by, "raw__", "p_adjusted", largest=False)
     elif method == "holm":
-        ranked = running(counts, p, by, {"rank__": "n"}).withColumn("raw__", F.col(p) * (F.col("m__") - (F.col("rank__") - F.col("n"))))
+        ranked = cut(running(counts, p, by, {"rank__": "n"}).withColumn("raw__", F.col(p) * (F.col("m__") - (F.col("rank__") - F.col("n")))))
         adjusted = _extreme(ranked, p, by, "raw__", "p_adjusted", largest=True)
     elif method == "bonferroni":
         adjusted = counts.withColumn("p_adjusted", F.col(p) * F.col("m__"))
@@ -101,7 +106,7 @@ def ks_uniform(df: DataFrame, p: str = "p_value", alphas: tuple[float, ...] = (0
 def _labelled(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     counts = cut(distinct_counts(df.where(F.col(label).isNotNull()), score, by, {"pos": F.sum(F.col(label).cast("long"))}).withColumn("neg", F.col("n") - F.col("pos")))
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return counts.join(F.broadcast(totals), by) if by else counts.join(F.broadcast(totals))
+    return counts.join(totals, by) if by else counts.join(F.broadcast(totals))
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:

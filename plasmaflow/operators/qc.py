@@ -111,5 +111,5 @@ def hourly_status(jobs: DataFrame) -> DataFrame:
 
 
 def rank_models(scores: DataFrame) -> DataFrame:
-    """Models by falling AUC (few rows)."""
-    return scores.withColumn("place", F.rank().over(W.orderBy(F.desc("auc")))).withColumn("best", F.col("place") == 1)
+    """Models by falling AUC to six decimals (few rows); equal ones share a place."""
+    return scores.withColumn("place", F.rank().over(W.orderBy(F.desc(F.round("auc", 6))))).withColumn("best", F.col("place") == 1)

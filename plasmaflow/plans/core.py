@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plasmaflow.functions import dna, tails
 from plasmaflow.operators import calling, errors, filters, joins, multiple, qc, umi
+from plasmaflow.operators.lineage import cut
 from plasmaflow.plans.registry import query
 from plasmaflow.sources import adapters, contracts
 
@@ -69,7 +70,8 @@ def controls(s, d):
 
 
 def calls(s, d):
-    return calling.call_samples(collapsed(s, d), errors.fit_error_model(controls(s, d)))
+    own = cut(collapsed(s, d))  # the reads are grouped once
+    return calling.call_samples(own, errors.fit_error_model(own.where("af_milli = 0")))
 
 
 KEYS = ["sample_id", "chrom", "pos", "ref", "umi"]
@@ -189,7 +191,8 @@ query("background_error_mean", COUNTS + f" SELECT {NORMAL} AS context, {NREF} ||
 query("fit_error_model", COLLAPSED + " SELECT context, COUNT(*) AS n_observations, COUNT(*) FILTER (is_variant) AS k, ROUND(AVG(CAST(is_variant AS INT)), 6) AS error_rate FROM collapsed WHERE af_milli = 0 GROUP BY ALL")(lambda s, d: errors.fit_error_model(controls(s, d)).select("context", "n_observations", "k", "error_rate"))
 query("fit_error_model_intervals")(lambda s, d: errors.fit_error_model(controls(s, d)))
 query("bayes_error_model", COLLAPSED + ", c AS (SELECT context, COUNT(*) AS n, COUNT(*) FILTER (is_variant) AS k FROM collapsed WHERE af_milli = 0 GROUP BY ALL) SELECT context, n, k, ROUND((k + 1) / (n + 11.0), 6) AS mean, ROUND(SQRT((k + 1) * (n - k + 10.0) / ((n + 11.0) * (n + 11.0) * (n + 12.0))), 6) AS sd FROM c")(lambda s, d: errors.bayes_error_model(controls(s, d)).select("context", "n", "k", "mean", "sd"))
-query("beta_interval")(lambda s, d: errors.bayes_error_model(controls(s, d)))
+query("beta_interval", COLLAPSED + ", c AS (SELECT context, COUNT(*) AS n, COUNT(*) FILTER (is_variant) AS k FROM collapsed WHERE af_milli = 0 GROUP BY ALL) SELECT context, n, k, ROUND((k + 1) / (n + 11.0), 6) AS mean, ROUND(CASE WHEN n - k + 10 > 1 AND k + 1 > 1 THEN k / (n + 9.0) ELSE (k + 1) / (n + 11.0) END, 6) AS mode FROM c")(lambda s, d: errors.bayes_error_model(controls(s, d)).select("context", "n", "k", "mean", "mode"))
+query("beta_interval_quantiles")(lambda s, d: errors.bayes_error_model(controls(s, d)).select("context", "ci_lower", "median", "ci_upper"))
 WILSON = "ROUND(CASE WHEN n > 0 THEN GREATEST((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * SQRT(k / n * (1 - k / n) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 0) ELSE 0 END, 6) AS ci_lower, ROUND(CASE WHEN n > 0 THEN LEAST((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * SQRT(k / n * (1 - k / n) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 1) ELSE 1 END, 6) AS ci_upper"
 query("wilson_ci", COLLAPSED + f", c AS (SELECT sample_id, COUNT(*) AS n, COUNT(*) FILTER (is_variant) AS k, 1.959963984540054 AS z FROM collapsed GROUP BY ALL) SELECT sample_id, n, k, {WILSON} FROM c")(
     lambda s, d: (lambda c: (lambda ci: c.withColumn("ci_lower", ci[0]).withColumn("ci_upper", ci[1]))(errors.wilson(F.col("k"), F.col("n"))))(collapsed(s, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_variant"), 1)).alias("k"))))
@@ -203,23 +206,20 @@ def loci(s, d):
     return umi.locus_summary(reads(s, d))
 
 
-def _moments(s, d):
-    return errors.beta_binomial_moments(loci(s, d), F.col("alt_count") / F.col("total_count"))
-
-
-def _params(s, d):
-    return loci(s, d).select("chrom", "pos").distinct().where("pos % 2000 = 0").join(F.broadcast(_moments(s, d)))
+def _moments(own):
+    return errors.beta_binomial_moments(own, F.col("alt_count") / F.col("total_count"))
 
 
 def _bb(s, d):
-    return calling.call_beta_binomial(loci(s, d).drop("family_sizes"), _params(s, d))
+    own = cut(loci(s, d).drop("family_sizes"))
+    return calling.call_beta_binomial(own, own.select("chrom", "pos").distinct().join(F.broadcast(_moments(own))))
 
 
 BB = LOCI + """, t AS (SELECT l.*, alpha, beta, CASE WHEN alt_count = 0 THEN 1.0 ELSE GREATEST(0, 1 - (SELECT SUM(EXP(LGAMMA(total_count + 1) - LGAMMA(i + 1) - LGAMMA(total_count - i + 1) + LGAMMA(i + alpha) + LGAMMA(total_count - i + beta) - LGAMMA(total_count + alpha + beta) + LGAMMA(alpha + beta) - LGAMMA(alpha) - LGAMMA(beta)))
    FROM GENERATE_SERIES(0, alt_count - 1) g(i))) END AS p FROM loci l, par),
  rk AS (SELECT *, COUNT(*) OVER () AS m, COUNT(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk FROM t),
  bb AS (SELECT *, LEAST(1.0, MIN(p * m / rk) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM rk)"""
-query("beta_binom_mom", LOCI + " SELECT ROUND(alpha, 6) AS alpha, ROUND(beta, 6) AS beta FROM par")(_moments)
+query("beta_binom_mom", LOCI + " SELECT ROUND(alpha, 6) AS alpha, ROUND(beta, 6) AS beta FROM par")(lambda s, d: _moments(loci(s, d)))
 query("distinct_loci", READS + " SELECT DISTINCT chrom, pos FROM reads")(lambda s, d: reads(s, d).select("chrom", "pos").dropDuplicates())
 query("join_error_params", LOCI + " SELECT sample_id, chrom, pos, alt_count, total_count, ROUND(alpha, 6) AS alpha, ROUND(beta, 6) AS beta FROM loci, par")(lambda s, d: _bb(s, d).select("sample_id", "chrom", "pos", "alt_count", "total_count", "alpha", "beta"))
 query("betabinom_sf", BB + " SELECT sample_id, chrom, pos, ROUND(p, 6) AS p_value FROM bb")(lambda s, d: _bb(s, d).select("sample_id", "chrom", "pos", "p_value"))
@@ -236,19 +236,18 @@ query("context_thresholds", RATES + ", g AS (SELECT context, SUM(rate) AS rate F
 CVAR = RATES + ", g AS (SELECT context, SUM(rate) AS rate FROM rates GROUP BY context), v AS (SELECT sample_id, chrom, pos, ref, context, COUNT(*) FILTER (allele <> ref) AS alt_count, COUNT(*) AS total_depth FROM fams WHERE allele IS NOT NULL GROUP BY ALL)"
 
 
-def site_tests(s, d):
-    return fams(s, d).where("allele is not null").groupBy(*umi.SITE, "context").agg(F.count(F.when(F.col("allele") != F.col("ref"), 1)).alias("alt_count"), F.count(F.lit(1)).alias("total_depth"))
-
-
-def context_total(s, d):
-    return rates(s, d).groupBy("context").agg(F.sum("rate").alias("rate"))
+def site_tests(own):
+    """Per site and context the mutated and all called families, and the rate of each context, of one table of families."""
+    sites = own.where("allele is not null").groupBy(*umi.SITE, "context").agg(F.count(F.when(F.col("allele") != F.col("ref"), 1)).alias("alt_count"), F.count(F.lit(1)).alias("total_depth"))
+    each = errors.context_error_rates(umi.consensus_counts(own, [*umi.SITE, "context"]))
+    return sites, each.groupBy("context").agg(F.sum("rate").alias("rate"))
 
 
-query("join_context_rate", CVAR + " SELECT sample_id, chrom, pos, ref, ROUND(COALESCE(rate, 1e-4), 6) AS expected_rate FROM v LEFT JOIN g USING (context)")(lambda s, d: errors.join_context_rate(site_tests(s, d), context_total(s, d)).select(*VKEYS, "expected_rate"))
+query("join_context_rate", CVAR + " SELECT sample_id, chrom, pos, ref, ROUND(COALESCE(rate, 1e-4), 6) AS expected_rate FROM v LEFT JOIN g USING (context)")(lambda s, d: errors.join_context_rate(*site_tests(cut(fams(s, d)))).select(*VKEYS, "expected_rate"))
 query("join_context_mutation_rate", RATES + f", v AS (SELECT DISTINCT context, ref, alt, {NORMAL} AS kc, {NREF} || '>' || {NALLELE.replace('allele', 'alt')} AS km FROM reads) SELECT v.context, v.ref, v.alt, ROUND(COALESCE(r.rate, CASE WHEN v.kc IN (SELECT context FROM rates) THEN 1e-6 ELSE 1e-4 END), 6) AS expected_rate FROM v LEFT JOIN rates r ON r.context = v.kc AND r.mutation = v.km")(lambda s, d: errors.join_context_mutation_rate(reads(s, d).select("context", "ref", "alt").distinct(), rates(s, d)).select("context", "ref", "alt", "expected_rate"))
 PGREATER = "CASE WHEN alt_count = 0 THEN 1.0 ELSE GREATEST(0, 1 - (SELECT SUM(EXP(-lam + i * LN(lam) - LGAMMA(i + 1))) FROM GENERATE_SERIES(0, alt_count - 1) g2(i))) END"
 TESTV = CVAR + f", x AS (SELECT *, COALESCE(rate, 1e-4) * total_depth AS lam FROM v LEFT JOIN g USING (context)), t AS (SELECT *, {PGREATER} AS p FROM x), rk AS (SELECT *, COUNT(*) OVER () AS m, COUNT(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk FROM t), tv AS (SELECT *, LEAST(1.0, MIN(p * m / rk) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM rk)"
-_tv = lambda s, d, **k: calling.test_variants(site_tests(s, d), context_total(s, d), **k)
+_tv = lambda s, d, **k: calling.test_variants(*site_tests(cut(fams(s, d))), **k)
 query("test_variants", TESTV + " SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value, ROUND(q, 6) AS p_adjusted, q <= 0.05 AS significant, p <= 0.05 AS significant_uncorrected FROM tv")(lambda s, d: _tv(s, d).select(*VKEYS, "p_value", "p_adjusted", "significant", "significant_uncorrected"))
 query("poisson_tail", TESTV + " SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value, ROUND(LN(alt_count + 1e-8) - LN(lam + 1e-8), 6) AS effect_size FROM tv")(lambda s, d: _tv(s, d).select(*VKEYS, "p_value", "effect_size"))
 query("poisson_2s", CALLS + " SELECT sample_id, n_variants, ROUND(p, 6) AS p_value FROM calls")(lambda s, d: calls(s, d).select("sample_id", "n_variants", "p_value"))
@@ -258,7 +257,7 @@ LB = "LGAMMA(n + 1) - LGAMMA({i} + 1) - LGAMMA(n - {i} + 1) + {i} * LN(p0) + (n
 query("binom_2s", BT + f"t AS (SELECT *, LEAST(1.0, (SELECT SUM(EXP({LB.format(i='i')})) FROM GENERATE_SERIES(0, n) g(i) WHERE {LB.format(i='i')} <= {LB.format(i='alt_count')} + 1e-7)) AS p FROM x) SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value FROM t")(lambda s, d: _tv(s, d, test="binomial", alternative="two-sided").select(*VKEYS, "p_value"))
 query("test_summary", TESTV + " SELECT COUNT(*) AS n_tests, COUNT(*) FILTER (q <= 0.05) AS n_significant, ROUND(MEDIAN(p), 6) AS median_p, ROUND(MIN(p), 6) AS min_p, ROUND(MAX(p), 6) AS max_p, ROUND(MEDIAN(q), 6) AS median_q FROM tv")(
     lambda s, d: _tv(s, d).agg(F.count(F.lit(1)).alias("n_tests"), F.count(F.when(F.col("significant"), 1)).alias("n_significant"), F.expr("percentile(p_value, 0.5)").alias("median_p"), F.min("p_value").alias("min_p"), F.max("p_value").alias("max_p"), F.expr("percentile(p_adjusted, 0.5)").alias("median_q")))
-query("detection_power_col")(lambda s, d: calls(s, d).select("sample_id", "n_total", tails.poisson_greater(F.floor(F.col("expected_variants") + 3 * F.sqrt("expected_variants")) + 1, F.col("expected_variants") + 0.01 * F.col("n_total")).alias("power")))
+query("detection_power_col")(lambda s, d: calling.detection_power(calls(s, d), effect=0.01).select("sample_id", "n_total", "power"))
 
 # joins and sets
 query("join_target_sites", COUNTS + """, sites AS (SELECT DISTINCT chrom, pos, ref, SUBSTR('ACGT', (INSTR('ACGT', ref) + CAST(pos / 1000 - 1 AS INT) % 3) % 4 + 1, 1) AS target FROM reads)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plasmaflow.functions import dna
 from plasmaflow.operators import metrics, ml
-from plasmaflow.operators.lineage import shared
+from plasmaflow.operators.lineage import cut, shared
 from plasmaflow.plans import core
 from plasmaflow.plans.registry import query
 from plasmaflow.sources import adapters, fastq, files
@@ -65,7 +65,7 @@ query("contamination_matrix_io", R + " SELECT chrom AS source, ref AS target, CA
 # streams: messages are written as files, read by a file stream, and compared with the batch result
 def _stream(s, d, broken: bool = False):
     path = _folder(s)
-    messages = calls.to_messages(core.reads(s, d).where("sample_id < 10"))
+    messages = calls.to_messages(core.reads(s, d))
     if broken:
         messages = messages.withColumn("value", F.when(F.col("key").cast("int") % 3 == 0, F.lit("{")).otherwise(F.col("value")))
     messages.write.json(f"{path}/in")
@@ -73,15 +73,24 @@ def _stream(s, d, broken: bool = False):
     return path
 
 
-S10 = core.FAMS.replace("FROM reads WHERE quality >= 20", "FROM reads WHERE quality >= 20 AND sample_id < 10").replace("AVG(quality) AS mean_quality FROM reads", "AVG(quality) AS mean_quality FROM reads WHERE sample_id < 10")
-STREAM = S10 + ", c AS (SELECT sample_id, COUNT(*) FILTER (COALESCE(consensus_agreement >= 0.6 AND allele <> ref, FALSE)) AS n_variants, COUNT(*) AS n_total, CAST(SUM(family_size) AS BIGINT) AS n_reads FROM fams WHERE family_size >= 3 GROUP BY ALL)"
+STREAM = core.FAMS + ", c AS (SELECT sample_id, COUNT(*) FILTER (COALESCE(consensus_agreement >= 0.6 AND allele <> ref, FALSE)) AS n_variants, COUNT(*) AS n_total, CAST(SUM(family_size) AS BIGINT) AS n_reads FROM fams WHERE family_size >= 3 GROUP BY ALL)"
 query("stream_calls", STREAM + " SELECT sample_id, n_reads, n_variants, n_total FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).select("sample_id", "n_reads", "n_variants", "n_total"))
-query("stream_sample_metrics", STREAM + " SELECT sample_id, n_reads, n_variants, ROUND(n_variants / n_total, 6) AS variant_rate FROM c")(lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d).where("sample_id < 10")))[0], 0.002).select("sample_id", "n_reads", "n_variants", "variant_rate"))
-query("stream_dead_letter", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key, 'no sample_id or no JSON' AS error FROM reads WHERE sample_id < 10 AND sample_id % 3 = 0")(lambda s, d: s.read.parquet(f"{_stream(s, d, broken=True)}/errors").select("key", "error").distinct())
-query("stream_ingest", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key FROM reads")(lambda s, d: calls.to_messages(core.reads(s, d)).select("key").distinct())
+query("stream_sample_metrics", STREAM + " SELECT sample_id, n_reads, n_variants, ROUND(n_variants / n_total, 6) AS variant_rate FROM c")(lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d)))[0], 0.002).select("sample_id", "n_reads", "n_variants", "variant_rate"))
+query("stream_dead_letter", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key, 'no sample_id or no JSON' AS error FROM reads WHERE sample_id % 3 = 0")(lambda s, d: s.read.parquet(f"{_stream(s, d, broken=True)}/errors").select("key", "error").distinct())
+
+
+def _ingest(s, d):
+    """The messages are published by a stream to a folder of JSON lines and read back from it."""
+    path = _folder(s)
+    calls.to_messages(core.reads(s, d)).write.json(f"{path}/in")
+    calls.publish(calls.file_source(s, f"{path}/in"), "json", f"{path}/state", path=f"{path}/topic").awaitTermination()
+    return s.read.schema("key string, value string").json(f"{path}/topic").select("key").distinct()
+
+
+query("stream_ingest", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key FROM reads")(_ingest)
 query("stream_microbatch", STREAM + " SELECT COUNT(*) AS n_samples, CAST(SUM(n_variants) AS BIGINT) AS n_variants FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n_variants").alias("n_variants")))
 query("stream_config_override", STREAM.replace("WHERE family_size >= 3", "WHERE family_size >= 5") + " SELECT sample_id, n_variants, n_total FROM c")(
-    lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d).where("sample_id < 10")).withColumn("value", F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(', "config": {"min_family_size": 5}}'))))[0], 0.002).select("sample_id", "n_variants", "n_total"))
+    lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d)).withColumn("value", F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(', "config": {"min_family_size": 5}}'))))[0], 0.002).select("sample_id", "n_variants", "n_total"))
 
 
 def _hourly(s, d):
@@ -123,7 +132,9 @@ for _kind in ("rf", "gbt", "lr", "svm"):
 
 def _ensemble(s, d):
     a, b = _split(s, d)
-    return ml.ensemble({k: (ml.train(a, k), 1.0) for k in ("rf", "lr")}, b).select(*core.KEYS, "label", "score")
+    folds = cut(metrics.stratified_folds(a, "umi", "label", 3))
+    auc = lambda kind: metrics.cv_scores(folds, "fold", lambda x, y: ml.probability(ml.train(x, kind), y), 3).agg(F.avg("auc")).first()[0]
+    return ml.ensemble({k: (ml.train(a, k), auc(k)) for k in ("rf", "gbt", "lr")}, b).select(*core.KEYS, "label", "score")
 
 
 query("ml_ensemble")(_ensemble)

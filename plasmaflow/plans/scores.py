@@ -118,7 +118,7 @@ def _fold_scores(s, d):
 
 
 query("model_compare", SCORED + FOLD + " SELECT x.model AS a, y.model AS b, ROUND(AVG(x.score - y.score), 6) AS mean_difference, ROUND(STDDEV_SAMP(x.score - y.score), 6) AS sd, COUNT(*) AS n, ROUND(AVG(x.score - y.score) / (STDDEV_SAMP(x.score - y.score) / SQRT(COUNT(*))), 4) AS t FROM fs x JOIN fs y ON x.fold = y.fold AND x.model < y.model GROUP BY ALL")(lambda s, d: metrics.compare_models(_fold_scores(s, d)).withColumn("t", F.round("t", 4)))
-query("rank_models", SCORED + FOLD + ", mm AS (SELECT model, AVG(score) AS auc FROM fs GROUP BY ALL) SELECT model, ROUND(auc, 6) AS auc, CAST(RANK() OVER (ORDER BY auc DESC) AS INT) AS place, RANK() OVER (ORDER BY auc DESC) = 1 AS best FROM mm")(lambda s, d: qc.rank_models(_fold_scores(s, d).groupBy("model").agg(F.avg("score").alias("auc"))))
+query("rank_models", SCORED + FOLD + ", mm AS (SELECT model, AVG(score) AS auc FROM fs GROUP BY ALL) SELECT model, ROUND(auc, 6) AS auc, CAST(RANK() OVER (ORDER BY ROUND(auc, 6) DESC) AS INT) AS place, RANK() OVER (ORDER BY ROUND(auc, 6) DESC) = 1 AS best FROM mm")(lambda s, d: qc.rank_models(_fold_scores(s, d).groupBy("model").agg(F.avg("score").alias("auc"))))
 
 # jobs
 query("job_success_stats", JOBS + " SELECT COUNT(*) AS n_jobs, COUNT(*) FILTER (status = 'completed') AS n_completed, COUNT(*) FILTER (status = 'failed') AS n_failed, ROUND(COUNT(*) FILTER (status = 'completed') / COUNT(*) FILTER (status IN ('completed', 'failed')), 6) AS success_rate, ROUND(AVG(duration_s) FILTER (status = 'completed'), 6) AS mean_duration FROM jobs")(lambda s, d: qc.job_success(jobs(s, d)))

@@ -43,6 +43,12 @@ def to_messages(reads: DataFrame, most: int = MESSAGE_READS) -> DataFrame:
     return listed.select(F.col("sample_id").cast("string").alias("key"), F.to_json(F.struct("sample_id", F.struct("reads").alias("sample_data"))).alias("value"))
 
 
+def publish(messages: DataFrame, sink: str, checkpoint: str, **options: str):
+    """Start a stream that writes key and value to a sink: "kafka" (kafka.bootstrap.servers, topic) or files ("json", path)."""
+    out = messages.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return out.writeStream.format(sink).options(**options).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exploded reads with their message's thresholds as columns, and dead letters (key, value, error)."""
     parsed = messages.withColumn("m", F.from_json("value", MESSAGE))
