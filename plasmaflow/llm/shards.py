@@ -1,7 +1,9 @@
-"""Vectors dealt into shards, with every block of queries sent to each shard once and the shards' best lists merged.
+"""Vectors dealt into shards of a fixed size, with blocks of queries sent to each shard and the shards' best lists merged.
 
 Rows go to shards by a hash of their id, so a third of all rows with one vector spreads evenly. The query set is stated
-(rows whose id is divisible by a number) and meets each shard in one group, so no pair of rows is ever shuffled."""
+(rows whose id is divisible by a number); a task gets one shard and one block of it, so no pair of rows is ever shuffled and
+no task holds more than SHARD_ROWS rows and QUERY_BLOCK queries, in the mean. Shards depend on the table alone: a cluster's
+number of partitions changes no answer."""
 
 from __future__ import annotations
 
@@ -13,11 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plasmaflow.llm.common import partitions
-
-SHARD_ROWS = 100_000
-SMALL_SHARD_ROWS = 256
-QUERY_BLOCK = 4096
+SHARD_ROWS = 8192
+QUERY_BLOCK = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -48,9 +47,9 @@ def search(rows: DataFrame, every: int, k: int, score_type: str, engine: Callabl
     engine(ids, vectors) indexes one shard; what it returns takes query ids, query vectors and k, and gives for each query
     the shard's best ids and scores without the query's own id. Ties go to the smaller vec_id. An id that repeats is one
     query or candidate, at its best score."""
-    spark = rows.sparkSession
-    total = rows.count()
-    shards = max(-(-total // SHARD_ROWS), min(partitions(spark), -(-total // SMALL_SHARD_ROWS)), 1)
+    asked = F.col("vec_id") % every == 0
+    total, queried = rows.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
+    shards, blocks = max(-(-total // SHARD_ROWS), 1), max(-(-queried // QUERY_BLOCK), 1)
     kind = pa.int64() if score_type == "long" else pa.float64()
     names = ["query_id", "vec_id", "score"]
 
@@ -62,17 +61,15 @@ def search(rows: DataFrame, every: int, k: int, score_type: str, engine: Callabl
         width = max(int(np.diff(c.offsets.to_numpy()).max()) for c in (x, q))
         find = engine(index.column("vec_id").to_numpy(), matrix(x, max(width, 1)))
         ids, vectors = queries.column("vec_id").to_numpy(), matrix(q, max(width, 1))
-        parts = []
-        for i in range(0, len(ids), QUERY_BLOCK):
-            found = find(ids[i : i + QUERY_BLOCK], vectors[i : i + QUERY_BLOCK], k)
-            sizes = [len(f[0]) for f in found]
-            parts.append(pa.table([pa.array(np.repeat(ids[i : i + QUERY_BLOCK], sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]), kind)], names))
-        return pa.concat_tables(parts)
-
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    index = rows.select(shard.alias("shard"), "vec_id", "vector")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "vector")
-    found = index.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+        found = find(ids, vectors, k)
+        sizes = [len(f[0]) for f in found]
+        return pa.table([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]), kind)], names)
+
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
+    index = rows.select(shard.alias("shard"), every_one(blocks).alias("block"), "vec_id", "vector")
+    queries = rows.where(asked).select(every_one(shards).alias("shard"), block.alias("block"), "vec_id", "vector")
+    found = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -363,6 +363,74 @@ def test_vector_searches_on_empty_tables(vectors):
     assert forest.nearest(vectors.where("false")).count() == 0 and maxscore.search(vectors.where("false")).count() == 0
 
 
+def naive_templates(urls, hidden, depth=3, most=50, common=0.02, alpha=0.05, support=5, silent=0.5, strength=2.0):
+    """verdict, template and purity of each url, by a recursive tree in plain Python."""
+    pages = []
+    for i, url in enumerate(urls):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h) + len(p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        kinds = [re.sub(r"^(?:[0-9]+|[0-9a-fA-F-]{8,})(\.[A-Za-z0-9]{1,5})?$", lambda k: "*" + (k[1] or ""), s) for s in path.split("/") if s][:depth]
+        pages.append((host, kinds, None if i in hidden or not fits else max(fits)[1]))
+    weight = lambda ps: sum(1 if p[2] else silent for p in ps)
+    blocked = lambda ps: sum(p[2] == "block" for p in ps)
+    out = [None] * len(urls)
+
+    def grow(ids, level, name, above, best):
+        own = [pages[i] for i in ids]
+        pure = (blocked(own) + strength * above) / (weight(own) + strength)
+        best = (name, pure) if level == 0 or len(ids) >= support else best
+        children = collections.defaultdict(list)
+        for i in ids:
+            if len(pages[i][1]) == level:
+                out[i] = best
+            else:
+                children[pages[i][1][level]].append(i)
+        total, branches = sum(map(len, children.values())), collections.defaultdict(list)
+        for own_name, group in children.items():
+            branches["*" if len(children) > most and len(group) < common * total else own_name] += group
+        merged = []
+        for branch, group in sorted(branches.items(), key=lambda x: (-len(x[1]), x[0])):
+            after = {pages[i][1][level + 1] for i in group if len(pages[i][1]) > level + 1}
+            kind = any(a.startswith("*") for a in after), any(not a.startswith("*") for a in after), branch.startswith("*")
+            ps = [pages[i] for i in group]
+            for m in merged:
+                w, v = weight([pages[i] for i in m[2]]), weight(ps)
+                gap = abs(blocked([pages[i] for i in m[2]]) / w - blocked(ps) / v)
+                if m[1] == kind and gap <= min(0.5, np.sqrt(np.log(2 / alpha) / 2) * (w**-0.5 + v**-0.5)):
+                    m[2].extend(group)
+                    break
+            else:
+                merged.append((branch, kind, list(group)))
+        for branch, _, group in merged:
+            grow(group, level + 1, f"{name}/{branch}", pure, best)
+
+    hosts = collections.defaultdict(list)
+    for i, p in enumerate(pages):
+        hosts[p[0]].append(i)
+    whole = blocked(pages) / weight(pages)
+    for ids in hosts.values():
+        grow(ids, 0, "", whole, None)
+    return [(p[2] or ("block" if round(b[1], 6) >= 0.8 else "allow"), b[0], round(b[1], 6)) for p, b in zip(pages, out, strict=True)]
+
+
+def test_url_templates_match_brute_force(spark, sf):
+    rng = np.random.default_rng(4)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    urls = [f"http://{pick('a.net', 'b.net', 'c.org', 'x.com', 'example.com')}/{pick('en', 'es', 'fr', 'de')}/{pick('news', 'item', str(rng.integers(99)), f'p{rng.integers(200)}')}/{pick('1.html', '22.html', 'deadbeef00', 'about', 'z')}" for _ in range(1500)]
+    urls += [r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").limit(200).collect()] + [None, "nothing", "http://a.net", "http://a.net", "http://a.net/es/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    hidden = {i for i in range(len(urls)) if i % 5 == 0}
+    for none_hidden, column in ((set(), None), (hidden, F.col("page_id") % 5 == 0)):
+        want = naive_templates(urls, none_hidden)
+        found = {r["page_id"]: (r["verdict"], r["template"], r["purity"]) for r in url_filter.judge(df, hidden=column).collect()}
+        assert [found[i] for i in range(len(urls))] == want
+    assert any(found[i][0] == "block" for i in hidden)  # a template blocks what no visible rule does
+    rows = {r["truth"]: r for r in url_filter.agreement(df).collect()}
+    assert sum(r["agree"] for r in rows.values()) >= 0.9 * sum(r["hidden"] for r in rows.values())
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_url_rules_and_templates(spark):
     urls = ["https://WWW.Example.com/en/1", "http://a.example.com/en/2?x", "http://example.com/de/#t", "http://b.net/es/9", "http://net/fr/", "http://c.org/en/1", "nothing", None, "://", "http://c.org", "x://y.com?a/b", "http://com/"]
     rows = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit("clash"))).collect()}
