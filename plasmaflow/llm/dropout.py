@@ -12,7 +12,7 @@ it one branch for each number that was skipped next. Decoding joins the pieces'
 is encoded as bytes, so that every text comes back exactly.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; repeated doc_ids get the same result for
-the same text; a null doc_id hashes like the number 0; extra columns pass through `encode` unchanged.
+the same text; a null doc_id hashes like the number 0; extra columns pass through `encode` unchanged, but for `text` and `tokens`, which are its input and output.
 """
 
 from __future__ import annotations

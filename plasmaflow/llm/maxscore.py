@@ -7,7 +7,7 @@ score. Essential postings are traversed; the other terms are probed, largest bou
 score plus the bounds left is still competitive. Shards' lists are merged by score, ties to the smaller id.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part; an empty vector scores 0 with
-every row; shorter vectors count as ending in zeros; fewer than k candidates are all returned.
+every row; components are floored as doubles and scores are 64-bit sums, so they are exact below 2 ** 53 and 2 ** 63; shorter vectors count as ending in zeros; fewer than k candidates are all returned.
 """
 
 from __future__ import annotations

@@ -132,7 +132,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total_share: floa
 
     source_size and target are those of the row's first source; taken counts words over all passes."""
     spark = docs.sparkSession
-    members = F.col("sources") if "sources" in docs.columns else F.array("source")
+    held = "sources" in docs.columns and docs.schema["sources"].dataType.typeName() == "array"  # any other column of that name is an extra one
+    members = F.col("sources") if held else F.array("source")
     members = F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))).otherwise(F.array(F.lit(None).cast("string")))
     order = F.xxhash64("doc_id", "text", F.lit(seed))
     slim = Scratch(spark, "mixing").cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), members.cast("array<string>").alias("members"), word_count().alias("size"), order.alias("place"), F.xxhash64("doc_id", "text").alias("row_key")), "sizes")

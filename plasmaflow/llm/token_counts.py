@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plasmaflow.llm import pretokens
 
-CACHE_ENTRIES = 400_000
+CACHE_BYTES = 64 << 20  # of a worker's pre-tokens, as estimated
 
 
 class Lengths(dict):
@@ -24,12 +24,14 @@ class Lengths(dict):
 
     def __init__(self, path: str, frequent: dict[str, int]):
         super().__init__(frequent)
-        self.model, self.frequent = pretokens.processor(path), frequent
+        self.model, self.frequent, self.held = pretokens.processor(path), frequent, 0
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        self.held += 130 + 2 * len(piece)
+        if self.held > CACHE_BYTES:
             self.clear()
             self.update(self.frequent)
+            self.held = 0
         n = self[piece] = len(pretokens.encode(self.model, piece))
         return n
 

@@ -35,9 +35,10 @@ RANK_EVERY = 512
 SEGMENT_TOKENS = 1 << 19
 #: Bytes of text whose chunks are looked up together.
 SLICE_TEXT = 4 << 20
-CACHE_ENTRIES = 800_000
+#: Estimated bytes of a worker's cache of chunks; a full one starts anew.
+CACHE_BYTES = 192 << 20
 #: Fields of a stored segment.
-SEGMENT = "shard int, segment int, n_tokens long, bits int, planes binary, ranks binary, zeros array<long>, doc_ids array<long>, doc_tokens array<long>"
+SEGMENT = "shard int, segment int, before long, n_tokens long, bits int, planes binary, ranks binary, zeros array<long>, doc_ids array<long>, doc_tokens array<long>"
 
 
 @dataclass
@@ -148,6 +149,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         self.tool = Tokenizer.from_file(path)
         self.tool.no_padding()
         self.tool.no_truncation()
@@ -178,8 +180,11 @@ class WordIds(dict):
 
     def learn(self, missing: list[str]) -> None:
         """Encode these distinct unknown chunks; a full cache starts anew."""
-        if len(self) + len(missing) > CACHE_ENTRIES:
+        size = sum(180 + 2 * len(c) for c in missing)
+        if self.held + size > CACHE_BYTES:
             self.clear()
+            self.held = 0
+        self.held += size
         # marks after a letter, up to the chunk's end, are a pre-token of their own
         ended = [(c, bare) for c in missing if (bare := c.rstrip(self.ENDS)) != c and _ends_in_letter(bare) and "<|" not in c]
         whole = {c for c, _ in ended}
@@ -270,16 +275,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
     def run(batches):
         from pyspark import TaskContext
 
-        tool, shard, segment = word_ids(tokenizer), TaskContext.get().partitionId(), 0
+        tool, shard, segment, before = word_ids(tokenizer), TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         ids: list[int | None] = []
         lengths: list[int] = []
 
         def full():
             tree = WaveletMatrix.build(np.concatenate(held))
-            values = [[shard], [segment], [tree.n], [tree.bits], [tree.planes.tobytes()], [tree.ranks.tobytes()], [tree.zeros.tolist()], [ids], [lengths]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["shard", "segment", "n_tokens", "bits", "planes", "ranks", "zeros", "doc_ids", "doc_tokens"]
+            values = [[shard], [segment], [before], [tree.n], [tree.bits], [tree.planes.tobytes()], [tree.ranks.tobytes()], [tree.zeros.tolist()], [ids], [lengths]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["shard", "segment", "before", "n_tokens", "bits", "planes", "ranks", "zeros", "doc_ids", "doc_tokens"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
@@ -292,6 +297,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
                 done += len(sizes)
                 if sum(map(len, held)) >= SEGMENT_TOKENS:
                     yield full()
+                    before += sum(lengths)
                     held, ids, lengths, segment = [], [], [], segment + 1
         if held:
             yield full()
@@ -318,9 +324,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     segments = spark.read.schema(SEGMENT).parquet(path)
-    sizes = segments.groupBy("shard", "segment").agg(F.sum("n_tokens").alias("size"))
-    first = sizes.withColumn("base", F.sum("size").over(W.orderBy("shard", "segment")) - F.col("size")).drop("size")
-    placed = segments.join(F.broadcast(first), ["shard", "segment"])
+    totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("size"))  # one row a shard, as for the window and the broadcast
+    first = totals.select("shard", (F.sum("size").over(W.orderBy("shard")) - F.col("size")).alias("first"))
+    placed = segments.join(F.broadcast(first), "shard").withColumn("base", F.col("first") + F.col("before"))
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
