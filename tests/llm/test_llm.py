@@ -243,6 +243,25 @@ def naive_dropout(tool, piece, skips):
     return out
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.5, 1.0])
+def test_merge_dropout_side_by_side_matches_brute_force(rate, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aeinrst\u00e9\U00010000"), size=n)) for n in range(1, 150, 7)]
+    texts = [None, "", " ", "a  b \n", *texts, " ".join(texts), "internationalisation " * 40]
+    codec, doc_ids = dropout.Codec(PIECES, rate, 13), [None, *range(1, len(texts))]
+    ids, counts = codec.encode_all(texts, doc_ids)
+    want = []
+    for text, doc_id in zip(texts, doc_ids, strict=True):
+        first = np.uint64(dropout.xxhash.xxh64_intdigest(b"%d" % (doc_id or 0), 13))
+        for place, piece in enumerate(pretokens.split(text or "")):
+            key = dropout.mix64(np.array([place], np.uint64) + first)[0]
+            words = codec._bits(key + np.arange(8, dtype=np.uint64) * np.uint64(1 << 32)).tolist()
+            want += naive_dropout(codec.words, piece, sum(w << 64 * k for k, w in enumerate(words)))
+    assert ids.tolist() == want and counts.sum() == len(want) and counts[:2].tolist() == [0, 0]
+    monkeypatch.setattr(dropout, "SLICE_CHARS", 50)
+    assert dropout.Codec(PIECES, rate, 13).encode_all(texts, doc_ids)[0].tolist() == want
+
+
 def test_merge_dropout_matches_brute_force(docs):
     codec = dropout.Codec(PIECES, 0.1, 13)
     for r in docs.where("length(text) < 3000 and not contains(text, '▁')").limit(40).collect():
