@@ -56,8 +56,9 @@ def _words(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, the line's identity as two numbers and its distinct words as hashes, for lines with words."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "text_hash", "line_no", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line")).where("line <> ''")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))  # a text is hashed once, not for each line
+    lines = texts.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
+    lines = lines.select("doc_id", "text_hash", "line_no", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line"))
     words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), words.alias("words"))
 
