@@ -32,3 +32,20 @@ g AS (SELECT t.doc_id, t.line_no, t.line, COALESCE(bad.id IS NOT NULL OR (t.doc_
 SELECT doc_id, COALESCE(STRING_AGG(line, CHR(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, CAST(COUNT(*) AS INT) AS n_lines, CAST(COUNT(*) FILTER (gone) AS INT) AS n_removed FROM g GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL
 """
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT doc_id, COALESCE(lang, 'und') AS lang, REGEXP_SPLIT_TO_ARRAY(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, REGEXP_EXTRACT_ALL(UNNEST(pieces), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, UNNEST(LIST_TRANSFORM(GENERATE_SERIES(1, LEN(w) - k + 1), lambda i: ARRAY_TO_STRING(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT UNNEST([1, 2, 3, 4]) AS k) WHERE LEN(w) >= k),
+f AS (SELECT lang, k, phrase, COUNT(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, SUM(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS m, phrase, a, STRING_SPLIT(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT *, UNNEST(GENERATE_SERIES(1, m - 1)) AS cut FROM c),
+s AS (SELECT cuts.*, x.a AS l, y.a AS r, CAST(2000000 AS HUGEINT) * cuts.a // (x.a + y.a) AS score FROM cuts
+      JOIN f x ON x.lang = cuts.lang AND x.phrase = ARRAY_TO_STRING(w[1:cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = ARRAY_TO_STRING(w[cut + 1:], ' ')),
+weak AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, a, UNNEST(LIST_TRANSFORM(LIST_FILTER([[1, 2], [2, 2], [3, 2], [1, 3], [2, 3]], lambda x: x[2] < m AND x[1] + x[2] <= m + 1), lambda x: ARRAY_TO_STRING(w[x[1]:x[1] + x[2] - 1], ' '))) AS phrase FROM c WHERE m > 2),
+k AS (SELECT * FROM weak WHERE NOT EXISTS (FROM inside i WHERE i.lang = weak.lang AND i.phrase = weak.phrase AND 100 * i.a >= 80 * weak.a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k JOIN t USING (lang)) WHERE rank <= 2000
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plasmaflow.llm import dropout, forest, langid, line_dedup, maxscore, minhash, mixing, oracles, token_counts, url_filter, wavelet
+from plasmaflow.llm import dropout, forest, langid, line_dedup, maxscore, minhash, mixing, oracles, phrases, quality, runs, token_counts, url_filter, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(runs.with_periodic_tails(_table(spark, sf_dir, "documents"))))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_templates": op2_url_templates,
@@ -68,6 +80,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_quality_discriminant": op13_quality_discriminant,
 }
 
 #: The others cannot be expressed in SQL; tests/llm holds them against brute force, the tokenizer libraries or held-out labels.
@@ -75,4 +90,5 @@ ORACLES = {
     "op5_maxscore": oracles.MAXSCORE,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_line_dedup": oracles.LINES,
+    "op12_phrase_collocations": oracles.COLLOCATIONS,
 }
