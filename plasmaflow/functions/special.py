@@ -145,6 +145,25 @@ def binom_tail(k, n, p, alternative: str) -> np.ndarray:
     return binom_sf(k, n, p) if alternative == "greater" else 1 - binom_sf(np.asarray(k) + 1, n, p)
 
 
+def clopper_pearson(k, n, alternative: str = "two-sided", mass: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """Exact bounds of k / n: both for the two-sided alternative, the lower for "greater" (the upper is 1), the upper for "less" (the lower is 0)."""
+    k, n = np.broadcast_arrays(*(np.asarray(v, float) for v in (k, n)))
+    tail = (1 - mass) / 2 if alternative == "two-sided" else 1 - mass
+    low, high = np.zeros(k.shape), np.ones(k.shape)
+    some, short = (k > 0) & (alternative != "less"), (k < n) & (alternative != "greater")
+    low[some] = beta_ppf(tail, k[some], n[some] - k[some] + 1)
+    high[short] = beta_ppf(1 - tail, k[short] + 1, n[short] - k[short])
+    return low, high
+
+
+def odds_ratio(a, b, c, d) -> np.ndarray:
+    """a d / (b c): nan where a row or column is empty, else infinite where b c is 0."""
+    a, b, c, d = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, c, d)))
+    empty = (a + b == 0) | (c + d == 0) | (a + c == 0) | (b + d == 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(empty, np.nan, np.where(b * c == 0, np.inf, a * d / np.where(b * c == 0, 1, b * c)))
+
+
 def beta_binomial_sf(k, n, a, b) -> np.ndarray:
     """P(X >= k) for a beta-binomial, summed over the shorter tail."""
     k, n, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (k, n, a, b)))

@@ -41,6 +41,27 @@ chi2_sf = _udf(special.chi2_sf)
 kolmogorov_sf = _udf(special.kolmogorov_sf)
 
 
+def _struct_udf(fields: list[str], f: Callable[..., tuple[np.ndarray, ...]]) -> Callable[..., Column]:
+    """Like `_udf` for a function of several results: a struct of doubles, null where an argument is."""
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in fields]))
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        arrays = [c.to_numpy(float, na_value=np.nan) for c in columns]
+        out = np.full((len(columns[0]), len(fields)), np.nan)
+        known = ~np.isnan(arrays).any(axis=0)
+        if known.any():
+            out[known] = np.stack(f(*(a[known] for a in arrays)), axis=1)
+        return pd.DataFrame({n: pd.Series(out[:, i]).astype(object).where(~np.isnan(out[:, i]), None) for i, n in enumerate(fields)})
+
+    return lambda *columns: run(*(F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in columns))
+
+
+#: By alternative: (k, n, p) to the exact binomial p_value and the Clopper-Pearson bounds ci_lower and ci_upper of k / n.
+binomial_test = {a: _struct_udf(["p_value", "ci_lower", "ci_upper"], lambda k, n, p, a=a: (special.binom_tail(k, n, p, a), *special.clopper_pearson(k, n, a))) for a in ("greater", "less", "two-sided")}
+#: (a, b, c, d) to Fisher's two-sided p_value and the odds_ratio a d / (b c): null where a margin is empty, infinite where only b c is 0.
+fisher_test = _struct_udf(["p_value", "odds_ratio"], lambda a, b, c, d: (special.fisher_two_sided(a, b, c, d), special.odds_ratio(a, b, c, d)))
+
+
 def poisson_power(null: str | Column, alt: str | Column, alpha: float) -> Column:
     return _udf(lambda a, b: special.poisson_power(a, b, alpha))(null, alt)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import tails
-from plasmaflow.operators import errors, multiple
+from plasmaflow.operators import errors, multiple, quantiles
 from plasmaflow.operators.lineage import cut
 
 
@@ -15,6 +18,12 @@ def sample_counts(fams: DataFrame) -> DataFrame:
     return fams.groupBy("sample_id").agg(F.count(F.when(F.col("is_variant"), 1)).alias("n_variants"), F.count(F.lit(1)).alias("n_total"), F.avg("mean_quality").alias("mean_quality"), F.avg("consensus_agreement").alias("mean_consensus"))
 
 
+def provenance(df: DataFrame, settings: dict) -> DataFrame:
+    """df with the settings as columns and config_hash, the SHA-256 of their JSON with sorted keys."""
+    digest = hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
+    return df.withColumns({k: F.lit(v) for k, v in settings.items()} | {"config_hash": F.lit(digest)})
+
+
 def call_samples(fams: DataFrame, rate: DataFrame, test: str = "poisson", alpha: float = 0.05, method: str = "bh") -> DataFrame:
     """A test of each sample's variant families against n_total * mean error rate (rate: one row, error_rate)."""
     counts = sample_counts(fams).join(F.broadcast(rate.select(F.avg("error_rate").alias("rate"))))
@@ -25,11 +34,13 @@ def call_samples(fams: DataFrame, rate: DataFrame, test: str = "poisson", alpha:
     else:
         tested = tails.on_distinct(counts, ["n_variants", "n_total", "rate"], "p_value", tails.binom_two_sided("n_variants", "n_total", "rate"))
     out = multiple.adjust(cut(tested), "p_value", method=method, alpha=alpha)
-    return out.withColumns({"test_type": F.lit(test), "alpha": F.lit(alpha), "fdr_method": F.lit(method)}).drop("rate")
+    return provenance(out.drop("rate"), {"test_type": test, "alpha": alpha, "fdr_method": method})
 
 
 def test_variants(variants: DataFrame, rates: DataFrame, test: str = "poisson", alternative: str = "greater", alpha: float = 0.05, method: str = "bh") -> DataFrame:
-    """Rows (site_key, context, alt_count, total_depth) tested against their context's rate."""
+    """Rows (site_key, context, alt_count, total_depth) tested against their context's rate: expected, p_value, effect_size, p_adjusted, significant.
+
+    The binomial test also gives the Clopper-Pearson bounds ci_lower and ci_upper of the alternative; its effect is a log odds ratio."""
     valid = variants.where("alt_count >= 0 and total_depth > 0 and alt_count <= total_depth")
     rated = cut(errors.join_context_rate(valid, rates)).withColumn("expected", F.col("total_depth") * F.col("expected_rate"))
     if test == "poisson":
@@ -37,10 +48,11 @@ def test_variants(variants: DataFrame, rates: DataFrame, test: str = "poisson",
         tested = tails.on_distinct(rated, ["alt_count", "expected"], "p_value", tail("alt_count", "expected"))
         effect = F.log(F.col("alt_count") + 1e-8) - F.log(F.col("expected") + 1e-8)
     else:
-        tail = {"greater": tails.binom_greater, "less": tails.binom_less, "two-sided": tails.binom_two_sided}[alternative]
-        tested = tails.on_distinct(rated, ["alt_count", "total_depth", "expected_rate"], "p_value", tail("alt_count", "total_depth", "expected_rate"))
-        p, q = (F.col("alt_count") + 0.5) / (F.col("total_depth") + 1), F.col("expected_rate")
-        effect = F.log(p / (1 - p)) - F.log(q / (1 - q))
+        tested = tails.on_distinct(rated, ["alt_count", "total_depth", "expected_rate"], "test", tails.binomial_test[alternative]("alt_count", "total_depth", "expected_rate"))
+        tested = tested.select("*", "test.*").drop("test")
+        tiny, p, q = 1e-12, F.col("alt_count") / F.col("total_depth"), F.col("expected_rate")
+        logit = lambda x: F.log(x + tiny) - F.log(1 - x + tiny)
+        effect = F.when((q > tiny) & (q < 1 - tiny), logit(p) - logit(q)).otherwise(F.least(F.greatest(p / (q + tiny), F.lit(tiny)), F.lit(1e12)))
     out = multiple.adjust(cut(tested.withColumn("effect_size", effect)), "p_value", method=method, alpha=alpha)
     return out.withColumn("significant_uncorrected", F.col("p_value") <= alpha)
 
@@ -76,5 +88,27 @@ def detection_power(calls: DataFrame, effect: float = 0.01, alpha: float = 0.05)
     return tails.on_distinct(wanted, ["expected_variants", "expected_found"], "power", tails.poisson_power("expected_variants", "expected_found", alpha))
 
 
+def signed_z(calls: DataFrame) -> DataFrame:
+    """Sample calls with z, the normal quantile of their p with the sign of the excess, and depth, its weight in `stouffer`."""
+    sign = F.when(F.col("n_variants") >= F.col("expected_variants"), 1.0).otherwise(-1.0)
+    return calls.withColumn("z", sign * F.abs(tails.norm_isf(F.col("p_value") / 2))).withColumn("depth", F.col("n_total"))
+
+
 def call_summary(calls: DataFrame) -> DataFrame:
-    return calls.agg(F.count(F.when(F.col("significant"), 1)).alias("n_positive"), F.count(F.lit(1)).alias("n_total"), F.min("p_value").alias("min_p"))
+    """One row: positives, tests, least p, and the global tests over rows(z, depth, p_value): depth-weighted z with its upper tail, Fisher's statistic and p."""
+    out = calls.agg(
+        F.count(F.when(F.col("significant"), 1)).alias("n_positive"), F.count(F.lit(1)).alias("n_total"), F.min("p_value").alias("min_p"),
+        (F.sum(F.sqrt("depth") * F.col("z")) / F.sqrt(F.sum("depth"))).alias("stouffer_z"),
+        (-2 * F.sum(F.log(F.greatest("p_value", F.lit(1e-300))))).alias("fisher_stat"), (2 * F.count("p_value")).alias("df"))
+    return out.withColumn("stouffer_p", tails.norm_sf("stouffer_z")).withColumn("fisher_p", tails.chi2_sf("fisher_stat", "df")).drop("df")
+
+
+def summarise_tests(tested: DataFrame, test: str = "poisson", method: str = "bh", alpha: float = 0.05) -> DataFrame:
+    """One row over tested variants: numbers of tests and findings, median, least and largest p, median q, and the mean, median and largest finite effect."""
+    rows = cut(tested.select("p_value", "p_adjusted", "significant", "significant_uncorrected", F.when(F.abs(F.col("effect_size")) < float("inf"), F.col("effect_size")).alias("effect")))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n_tests"), F.count(F.when(F.col("significant"), 1)).alias("n_significant"), F.count(F.when(F.col("significant_uncorrected"), 1)).alias("n_uncorrected"),
+        F.min("p_value").alias("min_p"), F.max("p_value").alias("max_p"), F.avg("effect").alias("mean_effect"), F.max("effect").alias("max_effect"))
+    for column, name in (("p_value", "median_p"), ("p_adjusted", "median_q"), ("effect", "median_effect")):
+        out = out.join(F.broadcast(quantiles.exact(rows, column, {name: 0.5})))
+    return out.withColumns({"test_type": F.lit(test), "fdr_method": F.lit(method), "alpha": F.lit(alpha)})

@@ -7,18 +7,14 @@ totals of the ranges, offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import tails
+from plasmaflow.operators import quantiles
 from plasmaflow.operators.lineage import cut
-
-BUCKETS = 64
-
-
-def distinct_counts(df: DataFrame, value: str, by: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in (extra or {}).items()))
+from plasmaflow.operators.quantiles import distinct_counts, placed
 
 
 def _side(df: DataFrame, by: list[str]) -> DataFrame:
@@ -26,24 +22,16 @@ def _side(df: DataFrame, by: list[str]) -> DataFrame:
     return df if by else F.broadcast(df)
 
 
-def _placed(df: DataFrame, value: str, by: list[str], reverse: bool) -> DataFrame:
-    """df with its bucket: BUCKETS ranges between quantiles of the values within `by`, so that values that pile up still spread."""
-    limits = df.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("limits__"))
-    placed = df.join(_side(limits, by), by, "left") if by else df.join(F.broadcast(limits))
-    bucket = F.size(F.filter("limits__", lambda c: c < F.col(value)))
-    return placed.withColumn("bucket__", -bucket if reverse else bucket).drop("limits__")
-
-
 def running(df: DataFrame, value: str, by: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
     """df with running sums of columns along `value` (sums: new column to source), within `by`.
 
     Buckets of the value range carry partial totals, so that even without `by` no task sees every row."""
-    placed = _placed(df, value, by, descending)
-    totals = placed.groupBy(*by, "bucket__").agg(*(F.sum(c).alias(f"{k}__t") for k, c in sums.items()))
+    spread = placed(df, value, by, descending)
+    totals = spread.groupBy(*by, "bucket__").agg(*(F.sum(c).alias(f"{k}__t") for k, c in sums.items()))
     before = W.partitionBy(*by).orderBy("bucket__").rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows a group
     offsets = totals.select(*by, "bucket__", *(F.coalesce(F.sum(f"{k}__t").over(before), F.lit(0)).alias(f"{k}__o") for k in sums))
     inside = W.partitionBy(*by, "bucket__").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(_side(offsets, by), [*by, "bucket__"])
+    out = spread.join(_side(offsets, by), [*by, "bucket__"])
     for k, c in sums.items():
         out = out.withColumn(k, F.col(f"{k}__o") + F.sum(c).over(inside))
     return out.drop("bucket__", *(f"{k}__o" for k in sums))
@@ -52,11 +40,11 @@ def running(df: DataFrame, value: str, by: list[str], sums: dict[str, str], desc
 def _extreme(df: DataFrame, value: str, by: list[str], source: str, name: str, largest: bool) -> DataFrame:
     """Running maximum of `source` from small values up, or running minimum from large values down."""
     pick = F.max if largest else F.min
-    placed = _placed(df, value, by, not largest)
-    totals = placed.groupBy(*by, "bucket__").agg(pick(source).alias("t__"))
+    spread = placed(df, value, by, not largest)
+    totals = spread.groupBy(*by, "bucket__").agg(pick(source).alias("t__"))
     offsets = totals.select(*by, "bucket__", pick("t__").over(W.partitionBy(*by).orderBy("bucket__").rowsBetween(W.unboundedPreceding, -1)).alias("o__"))
     inside = W.partitionBy(*by, "bucket__").orderBy(F.asc(value) if largest else F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(_side(offsets, by), [*by, "bucket__"]).withColumn(name, pick(source).over(inside))
+    out = spread.join(_side(offsets, by), [*by, "bucket__"]).withColumn(name, pick(source).over(inside))
     best = F.greatest if largest else F.least
     return out.withColumn(name, best(F.col(name), F.coalesce("o__", name))).drop("bucket__", "o__")
 
@@ -90,7 +78,7 @@ def qq_points(df: DataFrame, p: str = "p_value") -> DataFrame:
 
 
 def inflation(df: DataFrame, p: str = "p_value") -> DataFrame:
-    return df.agg((F.expr(f"percentile({p}, 0.5)") / 0.5).alias("inflation"))
+    return quantiles.exact(df, p, {"m": 0.5}).select((F.col("m") / 0.5).alias("inflation"))
 
 
 def ks_uniform(df: DataFrame, p: str = "p_value", alphas: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2)) -> DataFrame:
@@ -157,22 +145,27 @@ def threshold_sweep(df: DataFrame, metric: str = "f1", score: str = "score", lab
 
 def threshold_unlabelled(df: DataFrame, alpha: float = 0.05, metric: str = "f1", score: str = "score") -> DataFrame:
     q = 1 - 2 * alpha if metric == "f1" else 1 - alpha
-    return df.agg(F.expr(f"percentile({score}, {q!r})").alias("threshold"))
+    return quantiles.exact(df, score, {"threshold": q})
 
 
 def hpdi(samples: DataFrame, by: list[str], value: str, mass: float = 0.95) -> DataFrame:
-    """Shortest interval of each group that holds ceil(mass * n) values; the first of equals. A group is one parameter's draws."""
-    w = W.partitionBy(*by).orderBy(value)
-    ranked = samples.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(W.partitionBy(*by)).alias("n"))
-    ranked = ranked.withColumn("k", F.greatest(F.ceil(F.round(F.col("n") * mass, 9)), F.lit(1)).cast("int"))
-    end = ranked.select(*by, (F.col("i") - F.col("k") + 1).alias("i"), F.col(value).alias("upper"))
-    spans = ranked.join(end, [*by, "i"]).withColumn("width", F.col("upper") - F.col(value))
-    return spans.groupBy(*by).agg(F.min(F.struct("width", value, "upper")).alias("best")).select(*by, F.col(f"best.{value}").alias("lower"), F.col("best.upper").alias("upper"))
+    """Shortest interval of each group that holds ceil(mass * n) values; the first of equals.
+
+    A distinct value starts an interval at its first rank; the value at the rank where it ends is the least one whose last rank is
+    not below it: a running minimum over ranges of ranks, so that no task orders a whole group."""
+    ranked = cut(running(distinct_counts(samples, value, by), value, by, {"last__": "n"}))
+    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("all__"))
+    sized = ranked.join(sizes, by).withColumn("k__", F.greatest(F.ceil(F.round(F.col("all__") * mass, 9)), F.lit(1)))
+    stop = F.col("last__") - F.col("n") + F.col("k__")
+    ends = ranked.select(*by, (2 * F.col("last__") + 1).alias("at__"), F.col(value).alias("end__"), F.lit(None).cast(ranked.schema[value].dataType).alias("lower"))
+    starts = sized.where(stop <= F.col("all__")).select(*by, (2 * stop).alias("at__"), F.lit(None).cast(ranked.schema[value].dataType).alias("end__"), F.col(value).alias("lower"))
+    spans = _extreme(ends.union(starts), "at__", by, "end__", "upper", largest=False).where("lower is not null")
+    return spans.groupBy(*by).agg(F.min(F.struct((F.col("upper") - F.col("lower")).alias("width"), "lower", "upper")).alias("best")).select(*by, "best.lower", "best.upper")
 
 
 def credible_interval(samples: DataFrame, by: list[str], value: str, mass: float = 0.95) -> DataFrame:
     low = (1 - mass) / 2
-    return samples.groupBy(*by).agg(F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.expr(f"percentile({value}, {low!r})").alias("lower"), F.expr(f"percentile({value}, {1 - low!r})").alias("upper"))
+    return quantiles.attach(samples.groupBy(*by).agg(F.avg(value).alias("mean")), quantiles.exact(samples, value, {"median": 0.5, "lower": low, "upper": 1 - low}, by), by)
 
 
 def isotonic(curve: DataFrame, by: list[str], x: str, y: str, name: str | None = None) -> DataFrame:

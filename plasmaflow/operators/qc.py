@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plasmaflow.operators import quantiles
+
 SITE = ["chrom", "pos", "ref"]
 
 
@@ -18,9 +20,9 @@ def percentile(column: str, q: float) -> Column:
 
 
 def distribution(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), percentile(column, 0.5).alias("median"), F.stddev_pop(column).alias("sd"), F.min(column).alias("least"),
-        F.max(column).alias("most"), percentile(column, 0.25).alias("q25"), percentile(column, 0.75).alias("q75"))
+    by = by or []
+    sums = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.min(column).alias("least"), F.max(column).alias("most"))
+    return quantiles.attach(sums, quantiles.exact(df, column, {"median": 0.5, "q25": 0.25, "q75": 0.75}, by), by)
 
 
 def family_size_stats(fams: DataFrame) -> DataFrame:
@@ -62,13 +64,22 @@ def site_qc(fams: DataFrame, least_families: int = 10, least_rate: float = 0.8,
 
 
 def sample_guardrails(fams: DataFrame, contamination: DataFrame, least_families: int = 1000, most_contamination: float = 0.05, least_rate: float = 0.8, least_depth: int = 100) -> DataFrame:
-    """Per sample: families, consensus rate, mean depth of its sites, contamination, failed criteria and whether it is valid."""
+    """Per sample: families, consensus rate, mean depth of its sites, contamination; `failed` names all missed limits and gives quality_score.
+
+    Too few families and contamination make a sample invalid (failed_criteria); a low consensus rate or depth only warns (warnings)."""
     sites = fams.groupBy("sample_id", *SITE).agg(F.count("allele").alias("depth"), F.count(F.lit(1)).alias("families"))
     sample = sites.groupBy("sample_id").agg(F.sum("families").alias("n_families"), (F.sum("depth") / F.sum("families")).alias("consensus_rate"), F.avg("depth").alias("mean_depth"))
     out = sample.join(contamination.select("sample_id", "contamination"), "sample_id", "left").fillna(0.0, ["contamination"])
     checks = [(F.col("n_families") < least_families, "families"), (F.col("contamination") > most_contamination, "contamination"), (F.col("consensus_rate") < least_rate, "consensus"), (F.col("mean_depth") < least_depth, "depth")]
     failed = F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks)))
-    return out.withColumn("failed", F.array_join(failed, ",")).withColumn("sample_valid", F.size(failed) == 0).withColumn("quality_score", 1 - F.size(failed) / len(checks))
+    criteria = F.array_compact(F.array(
+        F.when(checks[0][0], F.format_string(f"insufficient_total_families: %d < {least_families}", "n_families")),
+        F.when(checks[1][0], F.format_string(f"high_contamination: %.4f > {most_contamination}", "contamination"))))
+    warnings = F.array_compact(F.array(
+        F.when(checks[2][0], F.format_string(f"low_consensus_rate: %.4f < {least_rate}", "consensus_rate")),
+        F.when(checks[3][0], F.format_string(f"low_mean_depth: %.1f < {least_depth}", "mean_depth"))))
+    out = out.withColumn("failed", F.array_join(failed, ",")).withColumn("quality_score", 1 - F.size(failed) / len(checks))
+    return out.withColumn("failed_criteria", criteria).withColumn("warnings", warnings).withColumn("sample_valid", F.size("failed_criteria") == 0)
 
 
 def mini_qc(loci: DataFrame) -> DataFrame:

@@ -89,29 +89,49 @@ def consensus_sequence(reads: DataFrame, keys: list[str], sequence: str = "seque
 
 
 def locus_summary(reads: DataFrame, least: int = 2) -> DataFrame:
-    """Per sample and locus over families of `least` reads or more: alt reads, reads, families, mean size."""
+    """Per sample and locus over families of `least` reads or more: alt reads, reads, families, mean and largest size."""
     fams = reads.groupBy("sample_id", "chrom", "pos", "umi").agg(F.count(F.lit(1)).alias("family_size"), F.count(F.when(F.col("alt") != F.col("ref"), 1)).alias("alts"))
     return fams.where(F.col("family_size") >= least).groupBy("sample_id", "chrom", "pos").agg(
-        F.sum("alts").alias("alt_count"), F.sum("family_size").alias("total_count"), F.count(F.lit(1)).alias("family_count"), F.avg("family_size").alias("mean_family_size"), F.array_sort(F.collect_list("family_size")).alias("family_sizes"))
+        F.sum("alts").alias("alt_count"), F.sum("family_size").alias("total_count"), F.count(F.lit(1)).alias("family_count"), F.avg("family_size").alias("mean_family_size"), F.max("family_size").alias("max_family_size"))
+
+
+def locus_sizes(reads: DataFrame, least: int = 2) -> DataFrame:
+    """Per sample and locus the sizes of its families of `least` reads or more and how many have each: as many entries as there are sizes."""
+    fams = reads.groupBy("sample_id", "chrom", "pos", "umi").agg(F.count(F.lit(1)).alias("family_size")).where(F.col("family_size") >= least)
+    sizes = fams.groupBy("sample_id", "chrom", "pos", "family_size").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("sample_id", "chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("family_size", "n"))).alias("sizes"))
 
 
 def umi_counts(reads: DataFrame) -> DataFrame:
     return reads.groupBy(*FAMILY).agg(F.count(F.lit(1)).alias("n"))
 
 
+def masked(umi: str, distance: int) -> Column:
+    """All forms of a UMI with `distance` positions masked; one without letters if it has no more than these."""
+    forms = F.array(F.struct(F.col(umi).alias("text"), F.lit(0).alias("last")))
+    n = F.length(umi)
+    for _ in range(distance):
+        hide = lambda f: F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i > f["last"]), lambda i: F.struct(F.overlay(f["text"], F.lit("*"), i, F.lit(1)).alias("text"), i.alias("last")))
+        forms = F.flatten(F.transform(forms, hide))
+    return F.when(n > distance, F.transform(forms, lambda f: f["text"])).when(F.col(umi).isNotNull(), F.array(F.repeat(F.lit("*"), n)))
+
+
+def mask_groups(umis: DataFrame, distance: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """keys, umi, mask: UMIs that agree on a mask differ in the masked places only, so a group has at most 5 ** distance of them."""
+    return umis.where("umi is not null").select(*(keys or SITE), "umi", F.explode(masked("umi", distance)).alias("mask"))
+
+
 def neighbours(umis: DataFrame, distance: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """Pairs (umi, other) with umi < other of equal length and Hamming distance 1 to `distance`, at the same site.
+    """Pairs (umi, other) with umi < other of equal length and Hamming distance 1 to `distance`, at the same site; umis has a row a UMI.
 
-    Candidates share one of distance + 1 blocks of positions (two UMIs that differ in d places agree on a block), so no
-    site compares all its UMIs."""
+    Candidates share a form with `distance` masked positions, so a site with any number of UMIs never compares more than a handful at
+    a time. They meet by one hash of site and form; a pair at distance `distance` meets once."""
     keys = keys or SITE
-    n = F.length("umi")
-    width = F.ceil(n / (distance + 1)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.concat_ws(":", n, i, F.col("umi").substr(i * width + 1, width)))
-    keyed = umis.select(*keys, "umi", F.explode(F.array_distinct(blocks)).alias("block"))
-    other = keyed.select(*keys, "block", F.col("umi").alias("other"))
-    near = dna.hamming("umi", "other")
-    return keyed.join(other, [*keys, "block"]).where((F.col("umi") < F.col("other")) & (near <= distance)).select(*keys, "umi", "other").distinct()
+    keyed = mask_groups(umis, distance, keys).select(*keys, "umi", "mask", F.xxhash64(*keys, "mask").alias("h"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "mask"]]
+    pairs = a.join(b, [F.col("a.h") == F.col("b.h"), F.col("a.umi") < F.col("b.umi"), *same]).select(*(F.col(f"a.{k}") for k in keys), F.col("a.umi"), F.col("b.umi").alias("other"))
+    return pairs if distance == 1 else pairs.distinct()
 
 
 def cross_length_pairs(umis: DataFrame, distance: int = 1, keys: list[str] | None = None) -> DataFrame:

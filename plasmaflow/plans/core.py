@@ -74,11 +74,46 @@ def calls(s, d):
     return calling.call_samples(own, errors.fit_error_model(own.where("af_milli = 0")))
 
 
+def _perturbed(s, d):
+    own = cut(collapsed(s, d))
+    background = errors.fit_error_model(own.where("af_milli = 0")).select("context", F.col("error_rate").alias("background_rate"))
+    return filters.perturb_grid(own.join(F.broadcast(background), "context", "left"))  # a row a context
+
+
+# the normal quantile by its well-known rational approximation (relative error 1.2e-9) and the tail by its series, as SQL has neither
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _horner(c, x: str) -> str:
+    out = f"({c[0]!r}::DOUBLE)"
+    for v in c[1:]:
+        out = f"({out} * {x} + ({v!r}::DOUBLE))"
+    return out
+
+
+def _abs_isf(p: str) -> str:
+    """Absolute upper normal quantile of p in (0, 0.5]."""
+    t, q = f"SQRT(-2 * LN(GREATEST({p}, 1e-300)))", f"(0.5 - {p})"
+    return f"ABS(CASE WHEN {p} < 0.02425 THEN {_horner(_C, t)} / {_horner(_D, t)} ELSE {_horner(_A, f'({q} * {q})')} * {q} / {_horner(_B, f'({q} * {q})')} END)"
+
+
+def _sf(z: str) -> str:
+    """Upper normal tail; 0 or 1 beyond six deviations."""
+    return f"CASE WHEN {z} > 6 THEN 0 WHEN {z} < -6 THEN 1 ELSE 0.5 - SIGN({z}) * EXP(-{z} * {z} / 2) / SQRT(2 * PI()) * (SELECT SUM(EXP((2 * i + 1) * LN(GREATEST(ABS({z}), 1e-300)) - (i + 1) * LN(2) - LGAMMA(i + 1.5) + 0.5 * LN(PI()))) FROM GENERATE_SERIES(0, 150) gz(i)) END"
+
+
 KEYS = ["sample_id", "chrom", "pos", "ref", "umi"]
 
 query("call_mrd", CALLS + " SELECT sample_id, n_variants, n_total, ROUND(lam, 6) AS expected_variants, ROUND(p, 6) AS p_value, ROUND(q, 6) AS p_adjusted, q <= 0.05 AS significant FROM calls")(
     lambda s, d: calls(s, d).select("sample_id", "n_variants", "n_total", "expected_variants", "p_value", "p_adjusted", "significant"))
-query("call_summary", CALLS + " SELECT COUNT(*) FILTER (q <= 0.05) AS n_positive, COUNT(*) AS n_total, ROUND(MIN(p), 6) AS min_p FROM calls")(lambda s, d: calling.call_summary(calls(s, d)))
+_TAIL = "(SELECT SUM(EXP(-lam + i * LN(lam) - LGAMMA(i + 1))) FROM GENERATE_SERIES({a}, {b}) gt(i))"  # sums from either end: tiny tails keep their digits
+query("call_summary", CALLS + f""", exact AS (SELECT * REPLACE (CASE WHEN lam <= 0 THEN 1.0 ELSE LEAST(1.0, 2 * LEAST({_TAIL.format(a="0", b="n_variants")}, {_TAIL.format(a="n_variants", b="n_variants + 2000")})) END AS p) FROM calls), z AS (SELECT *, CASE WHEN n_variants >= lam THEN 1 ELSE -1 END * {_abs_isf("(p / 2)")} AS z FROM exact), t AS (SELECT COUNT(*) FILTER (q <= 0.05) AS n_positive, COUNT(*) AS n_total, MIN(p) AS min_p, SUM(SQRT(n_total) * z) / SQRT(SUM(n_total)) AS sz, -2 * SUM(LN(GREATEST(p, 1e-300))) AS fs, COUNT(*) AS half FROM z)
+ SELECT n_positive, n_total, ROUND(min_p, 6) AS min_p, ROUND(sz, 4) AS stouffer_z, ROUND({_sf("sz")}, 4) AS stouffer_p, ROUND(fs, 4) AS fisher_stat,
+  ROUND((SELECT SUM(EXP(-fs / 2 + i * LN(GREATEST(fs / 2, 1e-300)) - LGAMMA(i + 1))) FROM GENERATE_SERIES(0, half - 1) gf(i)), 4) AS fisher_p FROM t""")(  # an even number of degrees of freedom: a Poisson tail
+    lambda s, d: calling.call_summary(calling.signed_z(calls(s, d))).withColumns({c: F.round(c, 4) for c in ("stouffer_z", "stouffer_p", "fisher_stat", "fisher_p")}))
 query("umi_group_exact", READS + " SELECT sample_id, chrom, pos, ref, umi, COUNT(*) AS family_size FROM reads GROUP BY ALL")(lambda s, d: fams(s, d).select(*KEYS, "family_size"))
 query("consensus_allele", FAMS + " SELECT sample_id, chrom, pos, ref, umi, allele, ROUND(consensus_quality, 6) AS consensus_quality FROM fams")(lambda s, d: fams(s, d).select(*KEYS, "allele", "consensus_quality"))
 query("consensus_agreement", FAMS + " SELECT sample_id, chrom, pos, ref, umi, ROUND(consensus_agreement, 6) AS consensus_agreement FROM fams")(lambda s, d: fams(s, d).select(*KEYS, "consensus_agreement"))
@@ -98,7 +133,8 @@ query("consensus_sequence_majority", READS + """, b AS (SELECT sample_id, chrom,
  SELECT sample_id, chrom, pos, ref, STRING_AGG(base, '' ORDER BY spot) AS consensus, CAST(SUM(n) AS BIGINT) AS n_bases FROM m GROUP BY ALL""")(lambda s, d: umi.consensus_sequence(reads(s, d), umi.SITE, "umi"))
 query("locus_summary", READS + """, f AS (SELECT sample_id, chrom, pos, umi, COUNT(*) AS n, COUNT(*) FILTER (alt <> ref) AS a FROM reads GROUP BY ALL HAVING COUNT(*) >= 2)
  SELECT sample_id, chrom, pos, CAST(SUM(a) AS BIGINT) AS alt_count, CAST(SUM(n) AS BIGINT) AS total_count, COUNT(*) AS family_count, ROUND(AVG(n), 6) AS mean_family_size, STRING_AGG(n, ',' ORDER BY n) AS family_sizes FROM f GROUP BY ALL""")(
-    lambda s, d: umi.locus_summary(reads(s, d)).withColumn("family_sizes", F.array_join(F.col("family_sizes").cast("array<string>"), ",")))
+    lambda s, d: umi.locus_summary(reads(s, d)).drop("max_family_size").join(
+        umi.locus_sizes(reads(s, d)).withColumn("family_sizes", F.array_join(F.expr("flatten(transform(sizes, s -> array_repeat(cast(s.family_size as string), cast(s.n as int))))"), ",")).drop("sizes"), ["sample_id", "chrom", "pos"]))
 
 UMIS = READS + ", u AS (SELECT sample_id, chrom, pos, ref, umi, COUNT(*) AS n FROM reads GROUP BY ALL), pairs AS (SELECT a.sample_id, a.chrom, a.pos, a.ref, a.umi, b.umi AS other FROM u a JOIN u b USING (sample_id, chrom, pos, ref) WHERE a.umi < b.umi AND LENGTH(a.umi) = LENGTH(b.umi) AND HAMMING(a.umi, b.umi) <= 1)"
 query("umi_neighbor_join", UMIS + " SELECT * FROM pairs")(lambda s, d: umi.neighbours(umi.umi_counts(reads(s, d))))
@@ -119,16 +155,31 @@ def _greedy(s, d):
 
 query("umi_cluster_cc", CC + " SELECT * FROM cc")(_clusters)
 query("cluster_stats", CC + ", z AS (SELECT sample_id, chrom, pos, ref, cluster, COUNT(*) AS n FROM cc GROUP BY ALL) SELECT COUNT(*) AS n_clusters, CAST(SUM(n) AS BIGINT) AS n_umis, ROUND(AVG(n), 6) AS mean_cluster_size, MAX(n) AS max_cluster_size FROM z")(lambda s, d: umi.cluster_stats(_clusters(s, d)))
-query("umi_cluster_greedy")(_greedy)
-query("umi_cluster_first_seen")(_greedy)
-query("umi_cluster_repr")(lambda s, d: (lambda u: umi.cluster_greedy(u, umi.neighbours(u, 1, [*umi.SITE, "strand"]), [*umi.SITE, "strand"]))(
+def _greedy_sql(keys: str, order: str, source: str) -> str:
+    """Greedy clusters one by one: the first UMI left takes all within one mismatch, until none is left."""
+    near = "len(x) = len(rest[1]) AND list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] <> rest[1][i] AS INT))) <= 1"
+    return f"""greedy AS (SELECT {keys}, LIST(umi ORDER BY {order}, umi) AS rest, NULL::VARCHAR AS seed, []::VARCHAR[] AS taken FROM {source} GROUP BY ALL
+  UNION ALL SELECT {keys}, list_filter(rest, lambda x: NOT ({near})), rest[1], list_filter(rest, lambda x: {near}) FROM greedy WHERE len(rest) > 0),
+ cl AS (SELECT {keys}, UNNEST(taken) AS umi, seed AS cluster FROM greedy WHERE seed IS NOT NULL)"""
+
+
+RECURSIVE = READS.replace("WITH reads", "WITH RECURSIVE reads")
+GREEDY = RECURSIVE + ", u AS (SELECT sample_id, chrom, pos, ref, umi, COUNT(*) AS n FROM reads GROUP BY ALL), " + _greedy_sql("sample_id, chrom, pos, ref", "n DESC", "u") + " SELECT * FROM cl"
+query("umi_cluster_greedy", GREEDY)(_greedy)
+query("umi_cluster_first_seen", GREEDY)(_greedy)  # with a set's order replaced by (count desc, umi) it is the same job
+query("umi_cluster_repr", RECURSIVE + ", u AS (SELECT sample_id, chrom, pos, ref, strand, umi, MIN(l_orderkey) AS n FROM reads GROUP BY ALL), " + _greedy_sql("sample_id, chrom, pos, ref, strand", "n", "u") + " SELECT * FROM cl")(lambda s, d: (lambda u: umi.cluster_greedy(u, umi.neighbours(u, 1, [*umi.SITE, "strand"]), [*umi.SITE, "strand"]))(
     reads(s, d).groupBy(*umi.SITE, "strand", "umi").agg((-F.min(F.struct("l_orderkey", "l_linenumber")["l_orderkey"])).alias("n"))))
-query("umi_cluster_fast")(lambda s, d: umi.cluster_fast(umi.umi_counts(reads(s, d).withColumn("umi", F.when(F.col("read_position") % 7 == 0, F.expr("substr(umi, 1, 5)")).otherwise(F.col("umi"))))))
+query("umi_cluster_fast", RECURSIVE + ", u AS (SELECT sample_id, chrom, pos, ref, CASE WHEN read_position % 7 = 0 THEN SUBSTR(umi, 1, 5) ELSE umi END AS umi, COUNT(*) AS n FROM reads GROUP BY ALL), " + _greedy_sql("sample_id, chrom, pos, ref", "n DESC", "u") + """,
+ seeds AS (SELECT DISTINCT sample_id, chrom, pos, ref, cluster AS umi FROM cl), e AS (SELECT a.sample_id, a.chrom, a.pos, a.ref, a.umi, b.umi AS other FROM seeds a JOIN seeds b USING (sample_id, chrom, pos, ref) WHERE LENGTH(a.umi) <> LENGTH(b.umi) AND LEVENSHTEIN(a.umi, b.umi) <= 1),
+ reach AS (SELECT *, umi AS other FROM seeds UNION SELECT r.sample_id, r.chrom, r.pos, r.ref, r.umi, e.other FROM reach r JOIN e ON (e.sample_id, e.chrom, e.pos, e.ref, e.umi) = (r.sample_id, r.chrom, r.pos, r.ref, r.other)),
+ merged AS (SELECT sample_id, chrom, pos, ref, umi, MIN(other) AS cluster FROM reach GROUP BY ALL)
+ SELECT cl.sample_id, cl.chrom, cl.pos, cl.ref, cl.umi, m.cluster FROM cl JOIN merged m ON (m.sample_id, m.chrom, m.pos, m.ref, m.umi) = (cl.sample_id, cl.chrom, cl.pos, cl.ref, cl.cluster)""")(
+    lambda s, d: umi.cluster_fast(umi.umi_counts(reads(s, d).withColumn("umi", F.when(F.col("read_position") % 7 == 0, F.expr("substr(umi, 1, 5)")).otherwise(F.col("umi"))))))
 query("umi_cross_length_join", READS + """, u AS (SELECT DISTINCT sample_id, chrom, pos, ref, CASE WHEN read_position % 7 = 0 THEN SUBSTR(umi, 1, 5) ELSE umi END AS umi FROM reads)
  SELECT a.sample_id, a.chrom, a.pos, a.ref, a.umi, b.umi AS other FROM u a JOIN u b USING (sample_id, chrom, pos, ref) WHERE LENGTH(a.umi) < LENGTH(b.umi) AND LEVENSHTEIN(a.umi, b.umi) <= 1""")(
     lambda s, d: umi.cross_length_pairs(reads(s, d).select(*umi.SITE, F.when(F.col("read_position") % 7 == 0, F.expr("substr(umi, 1, 5)")).otherwise(F.col("umi")).alias("umi")).distinct()))
-query("umi_hamming", READS + ", u AS (SELECT DISTINCT sample_id, umi FROM reads) SELECT a.sample_id, a.umi, b.umi AS other, HAMMING(a.umi, b.umi) AS distance FROM u a JOIN u b USING (sample_id)")(
-    lambda s, d: (lambda u: u.join(u.withColumnRenamed("umi", "other"), "sample_id").withColumn("distance", dna.hamming("umi", "other").cast("long")))(reads(s, d).select("sample_id", "umi").distinct()))
+query("umi_hamming", READS + ", u AS (SELECT DISTINCT sample_id, umi FROM reads) SELECT a.sample_id, a.umi, b.umi AS other, HAMMING(a.umi, b.umi) AS distance FROM u a JOIN u b USING (sample_id) WHERE a.umi < b.umi AND HAMMING(a.umi, b.umi) <= 2")(
+    lambda s, d: umi.neighbours(reads(s, d).select("sample_id", "umi").distinct(), 2, ["sample_id"]).withColumn("distance", dna.hamming("umi", "other").cast("long")))
 query("umi_hamming_lenpen", READS + ", u AS (SELECT DISTINCT sample_id, umi, SUBSTR(umi, 1, 5) AS part FROM reads) SELECT sample_id, umi, part, CAST(HAMMING(SUBSTR(umi, 1, 5), part) + 1 AS INT) AS distance FROM u")(
     lambda s, d: reads(s, d).select("sample_id", "umi", F.expr("substr(umi, 1, 5)").alias("part")).distinct().withColumn("distance", dna.hamming_overlap("umi", "part")))
 query("umi_levenshtein", READS + ", u AS (SELECT DISTINCT sample_id, umi, SUBSTR(umi, 2, 5) AS part FROM reads) SELECT sample_id, umi, part, CAST(LEVENSHTEIN(umi, part) AS INT) AS distance FROM u")(
@@ -146,9 +197,10 @@ def variants(s, d):
     r, alt = reads(s, d), F.col("alt") != F.col("ref")
     n = lambda c: F.count(F.when(c, 1))
     plus = F.col("strand") == "+"
+    near = (F.col("read_position") <= 10) | (F.col("read_position") >= 140)
     return r.groupBy(*umi.SITE, "context").agg(
         F.coalesce(F.max(F.when(alt, F.col("alt"))), F.first("ref")).alias("alt"), n(alt).alias("alt_count"), F.count(F.lit(1)).alias("total_depth"), n(alt & plus).alias("alt_forward"), n(alt & ~plus).alias("alt_reverse"),
-        n(~alt & plus).alias("ref_forward"), n(~alt & ~plus).alias("ref_reverse"), F.collect_list("quality").alias("quality_scores"), F.collect_list(F.when(alt, F.col("read_position"))).alias("read_positions"))
+        n(~alt & plus).alias("ref_forward"), n(~alt & ~plus).alias("ref_reverse"), F.count("quality").alias("n_qualities"), F.avg("quality").alias("site_quality"), F.count(F.when(alt, F.col("read_position"))).alias("n_positions"), n(alt & near).alias("near_ends"))
 
 
 VKEYS = ["sample_id", "chrom", "pos", "ref"]
@@ -159,7 +211,9 @@ FISHER = """LEAST(1.0, (SELECT SUM(EXP(l)) FROM (SELECT LGAMMA(r + 1) + LGAMMA(t
   FROM GENERATE_SERIES(GREATEST(0, r + c - t), LEAST(r, c)) g(x)) WHERE l <= LGAMMA(r + 1) + LGAMMA(t - r + 1) + LGAMMA(c + 1) + LGAMMA(t - c + 1) - LGAMMA(t + 1) - LGAMMA(a + 1) - LGAMMA(r - a + 1) - LGAMMA(c - a + 1) - LGAMMA(t - r - c + a + 1) + 1e-7))"""
 FTEST = VARIANTS + f""", ft AS (SELECT *, {FISHER} AS p FROM (SELECT *, alt_forward AS a, alt_forward + alt_reverse AS r, alt_forward + ref_forward AS c, total_depth AS t FROM variants)),
  sb AS (SELECT *, CASE WHEN total_depth < 4 THEN 'insufficient_data_for_strand_test' WHEN p < 0.01 AND (alt_forward / NULLIF(alt_count, 0) > 0.95 OR alt_forward / NULLIF(alt_count, 0) < 0.05) THEN 'strand_bias' END AS why FROM ft)"""
-query("fisher_2x2", FTEST + " SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value FROM ft")(lambda s, d: (lambda v: tails.on_distinct(v, ["alt_forward", "alt_reverse", "ref_forward", "ref_reverse"], "p_value", tails.fisher("alt_forward", "alt_reverse", "ref_forward", "ref_reverse")))(variants(s, d).drop("quality_scores", "read_positions")).select(*VKEYS, "p_value"))
+ODDS = "CASE WHEN ref_forward + ref_reverse > 0 AND alt_forward + alt_reverse > 0 AND ref_forward + alt_forward > 0 AND ref_reverse + alt_reverse > 0 AND ref_reverse * alt_forward > 0 THEN ref_forward * alt_reverse / (ref_reverse * alt_forward) END"
+query("fisher_2x2", FTEST + f" SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value, ROUND({ODDS}, 6) AS odds_ratio FROM ft")(  # an infinite ratio is given as null
+    lambda s, d: filters.strand_bias_filter(cut(variants(s, d))).select(*VKEYS, F.col("strand_p").alias("p_value"), F.when(F.col("strand_odds") < float("inf"), F.col("strand_odds")).alias("odds_ratio")))
 query("strand_bias_filter", FTEST + " SELECT sample_id, chrom, pos, ref, COALESCE(why <> 'strand_bias', TRUE) AS strand_bias_filter, why AS strand_bias_filter_reason FROM sb")(lambda s, d: filters.strand_bias_filter(variants(s, d)).select(*VKEYS, "strand_bias_filter", "strand_bias_filter_reason"))
 BINOM = "(SELECT SUM(EXP(LGAMMA(n + 1) - LGAMMA(i + 1) - LGAMMA(n - i + 1) + i * LN(p0) + (n - i) * LN(1 - p0))) FROM GENERATE_SERIES({lo}, n) g(i))"
 ENDS = VARIANTS + f""", er AS (SELECT *, CASE WHEN ref || '>' || alt IN ('G>T', 'C>A') AND alt_count > 0 THEN {BINOM.format(lo='near')} END AS pe FROM (SELECT *, alt_count AS n, 20.0 / 150 AS p0 FROM variants)),
@@ -179,10 +233,12 @@ query("end_repair_flag", READS + " SELECT sample_id, COUNT(*) FILTER (ref || '>'
 query("collapsed_passes", COLLAPSED + " SELECT sample_id, chrom, pos, ref, umi, passes_quality, passes_consensus, is_variant FROM collapsed")(lambda s, d: collapsed(s, d).select(*KEYS, "passes_quality", "passes_consensus", "is_variant"))
 query("negative_controls", COLLAPSED + " SELECT sample_id, chrom, pos, ref, umi FROM collapsed WHERE allele_fraction <= 1e-4")(lambda s, d: errors.negative_controls(collapsed(s, d)).select(*KEYS))
 query("dynamic_thresholds", FAMS + " SELECT CAST(GREATEST(10, FLOOR(0.8 * AVG(mean_quality))) AS INT) AS min_quality, CAST(GREATEST(1, LEAST(3, FLOOR(QUANTILE_DISC(family_size ORDER BY family_size DESC, 0.5) / 2))) AS INT) AS min_family_size FROM fams".replace("QUANTILE_DISC(family_size ORDER BY family_size DESC, 0.5)", "-QUANTILE_DISC(-family_size, 0.5)"))(lambda s, d: filters.dynamic_thresholds(fams(s, d)))
-query("perturb_grid", COLLAPSED + """, g AS (SELECT k AS kind, f AS factor FROM (VALUES ('family_size'), ('quality')) a(k), (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (1.1::DOUBLE), (1.2::DOUBLE)) b(f)),
- x AS (SELECT kind, factor, CASE WHEN kind = 'family_size' THEN GREATEST(FLOOR(family_size * factor), 1) ELSE family_size END AS sz, CASE WHEN kind = 'quality' THEN LEAST(GREATEST(mean_quality * factor, 0), 60) ELSE mean_quality END AS q, is_variant FROM collapsed, g)
- SELECT kind, ROUND(factor, 6) AS factor, ROUND(AVG(sz), 6) AS mean_size, ROUND(AVG(q), 6) AS mean_quality, ROUND(AVG(CAST(q >= 20 AS INT)), 6) AS quality_rate, ROUND(AVG(CAST(is_variant AS INT)), 6) AS variant_rate FROM x GROUP BY ALL""")(lambda s, d: filters.perturb_grid(collapsed(s, d)))
-query("provenance_cols", CALLS + " SELECT sample_id, 'poisson' AS test_type, CAST(0.05 AS DOUBLE) AS alpha, 'bh' AS fdr_method FROM calls")(lambda s, d: calls(s, d).select("sample_id", "test_type", "alpha", "fdr_method"))
+query("perturb_grid", COLLAPSED + """, bg AS (SELECT context, AVG(CAST(is_variant AS INT)) AS background_rate FROM collapsed WHERE af_milli = 0 GROUP BY ALL), c AS (SELECT collapsed.*, background_rate FROM collapsed LEFT JOIN bg USING (context)),
+ g AS (SELECT k AS kind, f AS factor FROM (VALUES ('family_size'), ('quality'), ('background_rate')) a(k), (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (1.1::DOUBLE), (1.2::DOUBLE)) b(f)),
+ x AS (SELECT kind, factor, CASE WHEN kind = 'family_size' THEN LEAST(GREATEST(FLOOR(family_size * factor), 1), 1000) ELSE family_size END AS sz, CASE WHEN kind = 'quality' THEN LEAST(GREATEST(mean_quality * factor, 0), 40) ELSE mean_quality END AS q,
+  CASE WHEN background_rate IS NULL THEN NULL WHEN kind = 'background_rate' THEN LEAST(GREATEST(background_rate * factor, 1e-6), 1e-2) ELSE background_rate END AS bg, is_variant FROM c, g)
+ SELECT kind, ROUND(factor, 6) AS factor, COUNT(*) AS n_families, ROUND(AVG(sz), 6) AS mean_size, ROUND(AVG(q), 6) AS mean_quality, ROUND(AVG(bg), 6) AS mean_background, ROUND(AVG(CAST(q >= 20 AS INT)), 6) AS quality_rate, ROUND(AVG(CAST(is_variant AS INT)), 6) AS variant_rate FROM x GROUP BY ALL""")(_perturbed)
+query("provenance_cols", CALLS + """ SELECT sample_id, 'poisson' AS test_type, CAST(0.05 AS DOUBLE) AS alpha, 'bh' AS fdr_method, SHA256('{"alpha": 0.05, "fdr_method": "bh", "test_type": "poisson"}') AS config_hash FROM calls""")(lambda s, d: calls(s, d).select("sample_id", "test_type", "alpha", "fdr_method", "config_hash"))
 query("fastq_family_projection", FAMS + " SELECT sample_id, CAST(0 AS INT) AS family_id, family_size, FALSE AS is_variant, CAST(0 AS DOUBLE) AS allele_fraction FROM fams")(lambda s, d: fams(s, d).select("sample_id", F.lit(0).alias("family_id"), "family_size", F.lit(False).alias("is_variant"), F.lit(0.0).alias("allele_fraction")))
 
 # error models
@@ -211,7 +267,7 @@ def _moments(own):
 
 
 def _bb(s, d):
-    own = cut(loci(s, d).drop("family_sizes"))
+    own = cut(loci(s, d))
     return calling.call_beta_binomial(own, own.select("chrom", "pos").distinct().join(F.broadcast(_moments(own))))
 
 
@@ -226,9 +282,11 @@ query("betabinom_sf", BB + " SELECT sample_id, chrom, pos, ROUND(p, 6) AS p_valu
 query("call_betabinom", BB + " SELECT sample_id, chrom, pos, ROUND(q, 6) AS p_adjusted, q <= 0.05 AS significant FROM bb")(lambda s, d: _bb(s, d).select("sample_id", "chrom", "pos", "p_adjusted", "significant"))
 query("fisher_combine", BB + " SELECT sample_id, ROUND(-2 * SUM(LN(GREATEST(p, 1e-300))), 4) AS statistic, 2 * COUNT(*) AS df FROM bb GROUP BY ALL")(lambda s, d: calling.fisher_combine(_bb(s, d), ["sample_id"]).select("sample_id", F.round("statistic", 4).alias("statistic"), "df"))
 query("fisher_combine_p")(lambda s, d: calling.fisher_combine(_bb(s, d), ["sample_id"]))
-query("stouffer")(lambda s, d: calling.stouffer(_bb(s, d)))
-query("norm_isf_z")(lambda s, d: _bb(s, d).select("sample_id", "chrom", "pos", "z"))
-query("mini_qc", LOCI + " SELECT ROUND(AVG(total_count), 6) AS coverage, ROUND(1 - AVG(mean_family_size) / MAX(max_family_size), 6) AS duplication, COUNT(*) AS n_loci, CAST(SUM(family_count) AS BIGINT) AS n_families FROM loci")(lambda s, d: qc.mini_qc(loci(s, d).withColumn("max_family_size", F.array_max("family_sizes"))))
+BZ = BB + f", zz AS (SELECT *, CASE WHEN alt_count / total_count >= alpha / (alpha + beta) THEN 1 ELSE -1 END * {_abs_isf('(p / 2)')} AS z FROM bb)"
+query("stouffer", BZ + f", st AS (SELECT sample_id, SUM(SQRT(total_count) * z) / SQRT(SUM(total_count)) AS z FROM zz GROUP BY ALL) SELECT sample_id, ROUND(z, 4) AS z, ROUND({_sf('z')}, 4) AS p_value FROM st")(
+    lambda s, d: calling.stouffer(_bb(s, d)).withColumn("z", F.round("z", 4)).withColumn("p_value", F.round("p_value", 4)))
+query("norm_isf_z", BZ + " SELECT sample_id, chrom, pos, ROUND(z, 3) AS z FROM zz")(lambda s, d: _bb(s, d).select("sample_id", "chrom", "pos", F.round("z", 3).alias("z")))
+query("mini_qc", LOCI + " SELECT ROUND(AVG(total_count), 6) AS coverage, ROUND(1 - AVG(mean_family_size) / MAX(max_family_size), 6) AS duplication, COUNT(*) AS n_loci, CAST(SUM(family_count) AS BIGINT) AS n_families FROM loci")(lambda s, d: qc.mini_qc(loci(s, d)))
 query("error_profile", RATES + " SELECT context, ROUND(SUM(rate), 6) AS total_rate, ROUND(MAX(rate), 6) AS max_rate, COUNT(*) AS n_mutations, (SELECT ROUND(AVG(rate), 6) FROM rates) AS mean_rate, (SELECT ROUND(MEDIAN(rate), 6) FROM rates) AS median_rate, (SELECT ROUND(STDDEV_POP(rate), 6) FROM rates) AS sd_rate, (SELECT ROUND(MIN(rate), 6) FROM rates) AS least_rate, (SELECT ROUND(MAX(rate), 6) FROM rates) AS most_rate FROM rates GROUP BY context")(lambda s, d: errors.error_profile(rates(s, d)))
 query("context_summary", RATES + ", k AS (SELECT *, REPLACE(mutation, '>', '') IN ('AG', 'GA', 'CT', 'TC') AS ti FROM rates), g AS (SELECT context, SUM(rate) AS t, COUNT(*) AS n, COALESCE(SUM(rate) FILTER (ti), 0) AS ts, COALESCE(SUM(rate) FILTER (NOT ti), 0) AS tv FROM k GROUP BY context) SELECT context, ROUND(t, 6) AS total_rate, n AS n_types, ROUND(ts, 6) AS transition_rate, ROUND(tv, 6) AS transversion_rate, ROUND(CASE WHEN tv > 0 THEN ts / tv END, 6) AS ti_tv FROM g")(lambda s, d: errors.context_summary(rates(s, d)))
 query("context_enrichment", RATES + ", o AS (SELECT context, CAST(SUM(consensus_count) AS BIGINT) AS depth, CAST(SUM(CASE WHEN allele <> ref THEN consensus_count ELSE 0 END) AS BIGINT) AS observed FROM norm GROUP BY context), g AS (SELECT context, SUM(rate) AS rate FROM rates GROUP BY context) SELECT context, depth, observed, ROUND(rate, 6) AS rate, ROUND(COALESCE(rate, 1e-4) * depth, 6) AS expected, ROUND(observed / (COALESCE(rate, 1e-4) * depth), 6) AS enrichment FROM o LEFT JOIN g USING (context)")(lambda s, d: errors.context_enrichment(counts(s, d), rates(s, d)))
@@ -252,12 +310,17 @@ query("test_variants", TESTV + " SELECT sample_id, chrom, pos, ref, ROUND(p, 6)
 query("poisson_tail", TESTV + " SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value, ROUND(LN(alt_count + 1e-8) - LN(lam + 1e-8), 6) AS effect_size FROM tv")(lambda s, d: _tv(s, d).select(*VKEYS, "p_value", "effect_size"))
 query("poisson_2s", CALLS + " SELECT sample_id, n_variants, ROUND(p, 6) AS p_value FROM calls")(lambda s, d: calls(s, d).select("sample_id", "n_variants", "p_value"))
 BT = CVAR + ", x AS (SELECT v.*, total_depth AS n, COALESCE(rate, 1e-4) AS p0 FROM v LEFT JOIN g USING (context)), "
-query("binom_tail", BT + f"t AS (SELECT *, {BINOM.format(lo='alt_count')} AS p FROM x) SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value FROM t")(lambda s, d: _tv(s, d, test="binomial").select(*VKEYS, "p_value"))
+LOGIT = "CASE WHEN p0 > 1e-12 AND p0 < 1 - 1e-12 THEN LN(alt_count / n + 1e-12) - LN(1 - alt_count / n + 1e-12) - LN(p0 + 1e-12) + LN(1 - p0 + 1e-12) ELSE LEAST(GREATEST(alt_count / n / (p0 + 1e-12), 1e-12), 1e12) END"
+# the lower bound is where the tail from alt_count on is 5 %: exact for one alt read, none or all; others are tested against the tail itself
+query("binom_tail", BT + f"t AS (SELECT *, {BINOM.format(lo='alt_count')} AS p FROM x) SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value, ROUND({LOGIT}, 6) AS effect_size, CASE WHEN alt_count = 0 THEN 0.0 WHEN alt_count = n THEN ROUND(POW(0.05, 1.0 / n), 6) WHEN alt_count = 1 THEN ROUND(1 - POW(0.95, 1.0 / n), 6) END AS ci_lower, CAST(1 AS DOUBLE) AS ci_upper FROM t")(
+    lambda s, d: _tv(s, d, test="binomial").withColumn("ci_lower", F.when((F.col("alt_count") <= 1) | (F.col("alt_count") == F.col("total_depth")), F.col("ci_lower"))).select(*VKEYS, "p_value", "effect_size", "ci_lower", "ci_upper"))
 LB = "LGAMMA(n + 1) - LGAMMA({i} + 1) - LGAMMA(n - {i} + 1) + {i} * LN(p0) + (n - {i}) * LN(1 - p0)"
 query("binom_2s", BT + f"t AS (SELECT *, LEAST(1.0, (SELECT SUM(EXP({LB.format(i='i')})) FROM GENERATE_SERIES(0, n) g(i) WHERE {LB.format(i='i')} <= {LB.format(i='alt_count')} + 1e-7)) AS p FROM x) SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value FROM t")(lambda s, d: _tv(s, d, test="binomial", alternative="two-sided").select(*VKEYS, "p_value"))
-query("test_summary", TESTV + " SELECT COUNT(*) AS n_tests, COUNT(*) FILTER (q <= 0.05) AS n_significant, ROUND(MEDIAN(p), 6) AS median_p, ROUND(MIN(p), 6) AS min_p, ROUND(MAX(p), 6) AS max_p, ROUND(MEDIAN(q), 6) AS median_q FROM tv")(
-    lambda s, d: _tv(s, d).agg(F.count(F.lit(1)).alias("n_tests"), F.count(F.when(F.col("significant"), 1)).alias("n_significant"), F.expr("percentile(p_value, 0.5)").alias("median_p"), F.min("p_value").alias("min_p"), F.max("p_value").alias("max_p"), F.expr("percentile(p_adjusted, 0.5)").alias("median_q")))
-query("detection_power_col")(lambda s, d: calling.detection_power(calls(s, d), effect=0.01).select("sample_id", "n_total", "power"))
+query("test_summary", TESTV + """, e AS (SELECT *, LN(alt_count + 1e-8) - LN(lam + 1e-8) AS effect FROM tv) SELECT COUNT(*) AS n_tests, COUNT(*) FILTER (q <= 0.05) AS n_significant, COUNT(*) FILTER (p <= 0.05) AS n_uncorrected, ROUND(MEDIAN(p), 6) AS median_p, ROUND(MIN(p), 6) AS min_p, ROUND(MAX(p), 6) AS max_p, ROUND(MEDIAN(q), 6) AS median_q,
+ ROUND(MEDIAN(effect), 6) AS median_effect, ROUND(AVG(effect), 6) AS mean_effect, ROUND(MAX(effect), 6) AS max_effect, 'poisson' AS test_type, 'bh' AS fdr_method, CAST(0.05 AS DOUBLE) AS alpha FROM e""")(lambda s, d: calling.summarise_tests(_tv(s, d)))
+POWER = """CASE WHEN lam > 5 THEN {normal} ELSE 1 - (SELECT SUM(EXP(-found + i * LN(found) - LGAMMA(i + 1))) FROM GENERATE_SERIES(0, (SELECT MIN(k) FROM GENERATE_SERIES(0, 63) gk(k)
+  WHERE (SELECT SUM(EXP(-lam + j * LN(lam) - LGAMMA(j + 1))) FROM GENERATE_SERIES(0, k) gj(j)) >= 0.95)) gi(i)) END"""
+query("detection_power_col", CALLS + ", wp AS (SELECT *, lam + 0.01 * n_total AS found FROM calls), wz AS (SELECT *, -(found - lam - 1.6448536269514722 * SQRT(lam)) / SQRT(found) AS y FROM wp) SELECT sample_id, n_total, ROUND(LEAST(GREATEST(" + POWER.format(normal=_sf("y")) + ", 0), 1), 6) AS power FROM wz")(lambda s, d: calling.detection_power(calls(s, d), effect=0.01).select("sample_id", "n_total", "power"))
 
 # joins and sets
 query("join_target_sites", COUNTS + """, sites AS (SELECT DISTINCT chrom, pos, ref, SUBSTR('ACGT', (INSTR('ACGT', ref) + CAST(pos / 1000 - 1 AS INT) % 3) % 4 + 1, 1) AS target FROM reads)
@@ -302,7 +365,10 @@ query("contamination_estimate", CONT + " SELECT sample_id, n_low, n_rows, ROUND(
 _guard = lambda s, d: qc.sample_guardrails(fams(s, d), errors.contamination_estimate(counts(s, d), umi.SITE))
 GUARD = CONT + """, st AS (SELECT sample_id, chrom, pos, ref, COUNT(allele) AS depth, COUNT(*) AS families FROM fams GROUP BY ALL), sm AS (SELECT sample_id, CAST(SUM(families) AS BIGINT) AS n_families, SUM(depth) / SUM(families) AS cr, AVG(depth) AS md FROM st GROUP BY ALL),
  gd AS (SELECT sm.*, COALESCE(LEAST(n_low / n_rows, 0.1), 0) AS ct FROM sm LEFT JOIN ce USING (sample_id)), gr AS (SELECT *, CONCAT_WS(',', CASE WHEN n_families < 1000 THEN 'families' END, CASE WHEN ct > 0.05 THEN 'contamination' END, CASE WHEN cr < 0.8 THEN 'consensus' END, CASE WHEN md < 100 THEN 'depth' END) AS failed FROM gd)"""
-query("clinical_guardrails", GUARD + " SELECT sample_id, n_families, ROUND(cr, 6) AS consensus_rate, ROUND(md, 6) AS mean_depth, ROUND(ct, 6) AS contamination, failed, failed = '' AS sample_valid FROM gr")(lambda s, d: _guard(s, d).drop("quality_score"))
+WARN = """[x FOR x IN [CASE WHEN n_families < 1000 THEN PRINTF('insufficient_total_families: %d < 1000', n_families) END, CASE WHEN ct > 0.05 THEN PRINTF('high_contamination: %.4f > 0.05', ROUND(ct, 4)) END] IF x IS NOT NULL] AS failed_criteria,
+ [x FOR x IN [CASE WHEN cr < 0.8 THEN PRINTF('low_consensus_rate: %.4f < 0.8', ROUND(cr, 4)) END, CASE WHEN md < 100 THEN PRINTF('low_mean_depth: %.1f < 100', ROUND(md, 1)) END] IF x IS NOT NULL] AS warnings"""
+query("clinical_guardrails", GUARD + f", gw AS (SELECT *, {WARN} FROM gr) SELECT sample_id, n_families, ROUND(cr, 6) AS consensus_rate, ROUND(md, 6) AS mean_depth, ROUND(ct, 6) AS contamination, failed, ARRAY_TO_STRING(failed_criteria, '; ') AS failed_criteria, ARRAY_TO_STRING(warnings, '; ') AS warnings, LEN(failed_criteria) = 0 AS sample_valid FROM gw")(
+    lambda s, d: _guard(s, d).drop("quality_score").withColumns({c: F.array_join(c, "; ") for c in ("failed_criteria", "warnings")}))
 query("quality_score", GUARD + " SELECT sample_id, ROUND(1 - (CAST(n_families < 1000 AS INT) + CAST(ct > 0.05 AS INT) + CAST(cr < 0.8 AS INT) + CAST(md < 100 AS INT)) / 4.0, 6) AS quality_score FROM gr")(lambda s, d: _guard(s, d).select("sample_id", "quality_score"))
 query("qc_report", GUARD + ", sq AS (SELECT sample_id, AVG(CAST(depth >= 5 AS INT)) AS site_pass_rate FROM st GROUP BY ALL) SELECT sample_id, n_families, failed, ROUND(site_pass_rate, 6) AS site_pass_rate FROM gr JOIN sq USING (sample_id)")(
     lambda s, d: _guard(s, d).select("sample_id", "n_families", "failed").join(fams(s, d).groupBy(*umi.SITE).agg(F.count("allele").alias("depth")).groupBy("sample_id").agg(qc.rate(F.col("depth") >= 5).alias("site_pass_rate")), "sample_id"))
@@ -316,5 +382,5 @@ query("schema_contract", FAMS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT
 query("umi_output_rules", FAMS + " SELECT sample_id, chrom, pos, ref, umi FROM fams WHERE NOT (family_size >= 3 AND allele IS NOT NULL)")(lambda s, d: contracts.quarantine(fams(s, d), [("size", "family_size >= 3"), ("called", "allele is not null")])[1].select(*KEYS))
 query("variant_input_checks", VARIANTS + " SELECT sample_id, chrom, pos, ref FROM variants WHERE alt_count >= 0 AND total_depth > 0 AND alt_count <= total_depth")(lambda s, d: contracts.quarantine(variants(s, d), [("alt", "alt_count >= 0"), ("depth", "total_depth > 0"), ("share", "alt_count <= total_depth")])[0].select(*VKEYS))
 query("collapsed_invariants", FAMS + " SELECT sample_id, umi, COUNT(*) AS n FROM fams GROUP BY ALL HAVING COUNT(*) > 1")(lambda s, d: contracts.duplicates(fams(s, d), ["sample_id", "umi"]))
-query("coverage_rules", FAMS + " SELECT context, COUNT(*) AS n FROM fams GROUP BY ALL HAVING COUNT(*) >= 10")(lambda s, d: fams(s, d).groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n >= 10"))
+query("coverage_rules", FAMS + " SELECT 'context' AS kind, context AS item, COUNT(*) AS n, COUNT(*) >= 10 AS passed FROM fams GROUP BY ALL UNION ALL SELECT 'family_size', CASE WHEN family_size >= 3 THEN 'enough' ELSE 'too_small' END, COUNT(*), BOOL_AND(family_size >= 3) FROM fams GROUP BY 2")(lambda s, d: contracts.coverage(fams(s, d)))
 query("table_fingerprint")(lambda s, d: contracts.fingerprint(fams(s, d)))

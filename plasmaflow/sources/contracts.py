@@ -36,6 +36,13 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def coverage(fams: DataFrame, min_size: int = 3, min_observations: int = 10) -> DataFrame:
+    """kind, item, n, passed: every context needs `min_observations` families, every family `min_size` reads (those that have them, and those that don't)."""
+    size = F.col("family_size") >= min_size
+    contexts = fams.groupBy(F.lit("context").alias("kind"), F.col("context").alias("item")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= min_observations).alias("passed"))
+    return contexts.union(fams.groupBy(F.lit("family_size").alias("kind"), F.when(size, "enough").otherwise("too_small").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(size).alias("passed")))
+
+
 def fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:
     """Row count and order-free hash sums of all columns, doubles rounded: equal tables have equal fingerprints."""
     rounded = [F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]

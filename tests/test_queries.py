@@ -55,11 +55,11 @@ def test_basic_interval_is_around_the_average_precision(spark, sf):
 def test_values_that_pile_up_spread_over_buckets(spark):
     from pyspark.sql import functions as F
 
-    from plasmaflow.operators import multiple
+    from plasmaflow.operators import multiple, quantiles
 
     df = spark.range(4000).select((F.pow(F.lit(10.0), -F.col("id") / 20)).alias("p"), F.lit(1).alias("n"))
-    sizes = [r["count"] for r in multiple._placed(df, "p", [], False).groupBy("bucket__").count().collect()]
-    assert len(sizes) == multiple.BUCKETS and max(sizes) < 200
+    sizes = [r["count"] for r in quantiles.placed(df, "p", []).groupBy("bucket__").count().collect()]
+    assert len(sizes) == quantiles.BUCKETS and max(sizes) < 200
     ranked = {r["p"]: r["rank"] for r in multiple.running(df, "p", [], {"rank": "n"}).collect()}
     assert [ranked[p] for p in sorted(ranked)] == list(range(1, 4001))
 
