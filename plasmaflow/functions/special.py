@@ -199,6 +199,13 @@ def norm_isf(p) -> np.ndarray:
     return np.array([-quantile(v) for v in p.reshape(-1)]).reshape(p.shape)
 
 
+def t_quantile(p, df) -> np.ndarray:
+    """Quantile of Student's t for p >= 0.5, by the incomplete beta function."""
+    p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
+    x = np.maximum(beta_ppf(2 * (1 - p), df / 2, np.full(df.shape, 0.5)), TINY)
+    return np.sqrt(df * (1 - x) / x)
+
+
 def norm_sf(z) -> np.ndarray:
     return np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in np.asarray(z, float).reshape(-1)]).reshape(np.shape(z))
 

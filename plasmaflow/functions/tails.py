@@ -37,6 +37,7 @@ fisher = _udf(special.fisher_two_sided)
 beta_ppf = _udf(special.beta_ppf)
 norm_isf = _udf(special.norm_isf)
 norm_sf = _udf(special.norm_sf)
+t_quantile = _udf(special.t_quantile)
 chi2_sf = _udf(special.chi2_sf)
 kolmogorov_sf = _udf(special.kolmogorov_sf)
 

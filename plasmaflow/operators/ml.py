@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plasmaflow.operators import multiple, quantiles
+from plasmaflow.operators.lineage import cut
+from plasmaflow.operators.metrics import keyed_number
+
 BASIC = ["family_size", "mean_quality", "consensus_agreement"]
 DERIVED = ["size_per_quality", "agreement_af", "log_size", "root_quality", "size_z", "quality_per_size", "agreement_per_size", "size_quality", "large"]
 
@@ -74,24 +78,63 @@ def ensemble(models: dict[str, tuple[object, float]], df: DataFrame) -> DataFram
 
 def call(scored: DataFrame, threshold: float | None = None) -> DataFrame:
     """is_call where score > threshold (the median score by default), p_value = 1 - score."""
-    limit = scored.agg(F.percentile("score", F.lit(0.5)).alias("threshold")) if threshold is None else scored.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold"))
+    if threshold is not None:
+        return scored.withColumns({"threshold": F.lit(float(threshold)), "is_call": F.col("score") > threshold, "p_value": 1 - F.col("score")})
+    limit = quantiles.exact(scored, "score", {"threshold": 0.5})
     return scored.join(F.broadcast(limit)).withColumn("is_call", F.col("score") > F.col("threshold")).withColumn("p_value", 1 - F.col("score"))
 
 
+def feature_sql(mean: float, sd: float) -> str:
+    """The columns of `features` as one statement with the training rows' mean and deviation in it, so that a stream can be scored too."""
+    size, quality, agreement = "cast(family_size as double)", "mean_quality", "coalesce(consensus_agreement, 0.0)"
+    forms = [f"{size} / ({quality} + 1)", f"{agreement} * allele_fraction", f"log1p({size})", f"sqrt({quality})", f"({size} - {mean!r}D) / ({sd!r}D + 1e-8D)", f"{quality} / {size}", f"{agreement} / {size}", f"{size} * {quality}", f"cast({size} >= 3 as double)"]
+    return f"SELECT *, {agreement} AS agreement, " + ", ".join(f"{f} AS {n}" for f, n in zip(forms, DERIVED, strict=True)) + " FROM __THIS__"
+
+
+def fit_caller(fams: DataFrame, kind: str = "lr", seed: int = 0) -> PipelineModel:
+    """A caller from families (with label): features, vector and classifier in one model that can be saved."""
+    mean, sd = fams.agg(F.avg("family_size"), F.stddev_pop("family_size")).first()
+    columns = ["agreement" if c == "consensus_agreement" else c for c in BASIC + DERIVED]
+    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
+    return Pipeline(stages=[SQLTransformer(statement=feature_sql(float(mean or 0.0), float(sd or 0.0))), assembler, estimator(kind, seed)]).fit(fams)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def call_families(model: PipelineModel, fams: DataFrame, threshold: float) -> DataFrame:
+    """fams, a table or a stream, with score, is_call and p_value of a saved model."""
+    return call(probability(model, fams).drop("features", "agreement", *DERIVED), threshold)
+
+
 def evaluate(scored: DataFrame, threshold: float = 0.5) -> dict[str, float]:
-    """Weighted precision, recall and F1 at a threshold."""
-    df = scored.select(F.col("label").cast("double").alias("label"), (F.col("score") > threshold).cast("double").alias("prediction"))
-    return {m: MulticlassClassificationEvaluator(metricName=m).evaluate(df) for m in ("weightedPrecision", "weightedRecall", "f1")}
+    """AUC, average precision, and weighted precision, recall and F1 at a threshold."""
+    rows = cut(scored.select("label", "score"))
+    df = rows.select(F.col("label").cast("double").alias("label"), (F.col("score") > threshold).cast("double").alias("prediction"))
+    ranks = {"auc": multiple.roc_auc(rows).first()[0], "average_precision": multiple.average_precision(rows).first()[0]}
+    return ranks | {m: MulticlassClassificationEvaluator(metricName=m).evaluate(df) for m in ("weightedPrecision", "weightedRecall", "f1")}
 
 
-def importance(spark, model, names: list[str]) -> DataFrame:
-    """feature, importance; for linear models the absolute coefficients."""
+def importances(model) -> list[float]:
+    """A model's feature importances; for linear models the absolute coefficients."""
     last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double")
+    return [float(v) for v in (last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray()))]
+
+
+def importance(spark, models: dict[str, tuple[object, float]], names: list[str]) -> DataFrame:
+    """feature, the importance by each model (name to model and weight), and their weighted mean as importance."""
+    total = sum(w for _, w in models.values())
+    each = {n: importances(m) for n, (m, _) in models.items()}
+    rows = [(f, *(each[n][i] for n in models), sum(each[n][i] * w for n, (_, w) in models.items()) / total) for i, f in enumerate(names)]
+    return spark.createDataFrame(rows, "feature string, " + "".join(f"{n} double, " for n in models) + "importance double")
 
 
 def split(df: DataFrame, key: list[str], share: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows by a keyed hash, whatever the partitioning."""
-    inside = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    inside = keyed_number(*key, seed=seed) % 1000 < int(share * 1000)
     return df.where(inside), df.where(~inside)

@@ -95,6 +95,15 @@ def detection_matrix(runs: DataFrame) -> DataFrame:
     return runs.groupBy("allele_fraction", "umi_depth").agg(F.round(F.avg(d), 4).alias("rate"), F.round(F.stddev_samp(d), 4).alias("sd"), F.count(F.lit(1)).alias("n"))
 
 
+def run_summary(tested: DataFrame, by: list[str]) -> DataFrame:
+    """By setting the mean, median and sample sd of p and effect, and the mean and sd of the alt count and the depth."""
+    names = [("p_value", "p"), ("effect_size", "effect"), ("alt_count", "alt"), ("total_depth", "depth")]
+    out = tested.groupBy(*by).agg(*(f(c).alias(f"{k}_{n}") for c, n in names for f, k in ((F.avg, "mean"), (F.stddev_samp, "sd"))))
+    for c, n in names[:2]:
+        out = quantiles.attach(out, quantiles.exact(tested, c, {f"median_{n}": 0.5}, by), by)
+    return out
+
+
 def detection_heatmap(runs: DataFrame, depths: list[int]) -> DataFrame:
     return runs.groupBy("allele_fraction").pivot("umi_depth", depths).agg(rate(F.col("detected")))
 

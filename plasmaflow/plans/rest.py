@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import dna
 from plasmaflow.operators import metrics, ml
 from plasmaflow.operators.lineage import cut, shared
-from plasmaflow.plans import core
+from plasmaflow.plans import core, scores
 from plasmaflow.plans.registry import query
 from plasmaflow.sources import adapters, fastq, files
-from plasmaflow.streaming import calls
+from plasmaflow.streaming import calls, topic
 
 
 def _folder(spark) -> str:
@@ -28,7 +29,15 @@ def _records(s, d, **k):
 R = core.READS
 query("fastq_scan", R + " SELECT umi, umi AS sequence, CAST(quality AS DOUBLE) AS mean_quality, 6 AS sequence_length, COUNT(*) AS n FROM reads GROUP BY ALL")(
     lambda s, d: _records(s, d).groupBy("umi", "sequence", "mean_quality", "sequence_length").agg(F.count(F.lit(1)).alias("n")))
-query("fastq_max_reads")(lambda s, d: _records(s, d, max_reads=100).groupBy("umi").agg(F.count(F.lit(1)).alias("n")))
+def _lanes(s, d):
+    """Records in files of 5,000 orders each, in order; the first hundred records of every file."""
+    path, keys = _folder(s), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quality"]
+    rows = core.reads(s, d).withColumn("lane", F.floor(F.col("l_orderkey") / 5000)).repartition("lane").sortWithinPartitions("lane", *keys)
+    rows.select("lane", fastq.record().alias("value")).write.partitionBy("lane").text(path)
+    return fastq.read_fastq(s, path, max_reads=100)
+
+
+query("fastq_max_reads", R + " SELECT umi, COUNT(*) AS n FROM (SELECT umi, ROW_NUMBER() OVER (PARTITION BY l_orderkey // 5000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, quality) AS i FROM reads) WHERE i <= 100 GROUP BY ALL")(lambda s, d: _lanes(s, d).groupBy("umi").agg(F.count(F.lit(1)).alias("n")))
 query("fastq_profile", R + " SELECT COUNT(*) AS total_reads, COUNT(*) AS valid_reads, COUNT(umi) AS umi_reads, CAST(6 AS DOUBLE) AS mean_length, ROUND(AVG(quality), 6) AS mean_quality FROM reads")(lambda s, d: fastq.profile(_records(s, d), None))
 query("umi_format_detect", R + " SELECT 'UMI:' AS format, COUNT(*) AS n FROM reads")(lambda s, d: fastq.umi_format(_records(s, d)))
 query("consensus_best_read", R + " SELECT umi, COUNT(*) AS family_size, umi AS consensus_sequence, ROUND(AVG(quality), 6) AS mean_quality, AVG(quality) >= 20 AS passes_quality FROM reads GROUP BY ALL")(lambda s, d: fastq.best_read_families(_records(s, d)))
@@ -63,20 +72,30 @@ query("contamination_matrix_io", R + " SELECT chrom AS source, ref AS target, CA
 
 
 # streams: messages are written as files, read by a file stream, and compared with the batch result
-def _stream(s, d, broken: bool = False):
+def _stream(s, d, change=None):
     path = _folder(s)
     messages = calls.to_messages(core.reads(s, d))
-    if broken:
-        messages = messages.withColumn("value", F.when(F.col("key").cast("int") % 3 == 0, F.lit("{")).otherwise(F.col("value")))
-    messages.write.json(f"{path}/in")
+    (messages.withColumn("value", F.expr(change)) if change else messages).write.json(f"{path}/in")
     calls.run(calls.file_source(s, f"{path}/in"), 0.002, f"{path}/out", f"{path}/errors", f"{path}/state").awaitTermination()
     return path
 
 
+def _running(s, d):
+    """Messages go through a topic to a stream of counts, and these through another topic to a stream that keeps each sample's sums."""
+    path = _folder(s)
+    calls.to_messages(core.reads(s, d)).write.json(f"{path}/in")
+    calls.publish(calls.file_source(s, f"{path}/in"), "topic", f"{path}/state1", path=f"{path}/messages").awaitTermination()
+    calls.count_to_topic(calls.topic_source(s, f"{path}/messages"), 0.002, f"{path}/counts", f"{path}/state2").awaitTermination()
+    calls.upsert(calls.running_totals(calls.topic_source(s, f"{path}/counts")), f"{path}/totals", f"{path}/state3").awaitTermination()
+    return calls.latest(s, f"{path}/totals", ["sample_id", "alpha"])
+
+
+BROKEN = "if(cast(key as int) % 3 = 0, '{', value)"
+STRICT = """concat(substring(value, 1, length(value) - 1), ', "config": {"min_family_size": 5}}')"""
 STREAM = core.FAMS + ", c AS (SELECT sample_id, COUNT(*) FILTER (COALESCE(consensus_agreement >= 0.6 AND allele <> ref, FALSE)) AS n_variants, COUNT(*) AS n_total, CAST(SUM(family_size) AS BIGINT) AS n_reads FROM fams WHERE family_size >= 3 GROUP BY ALL)"
-query("stream_calls", STREAM + " SELECT sample_id, n_reads, n_variants, n_total FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).select("sample_id", "n_reads", "n_variants", "n_total"))
-query("stream_sample_metrics", STREAM + " SELECT sample_id, n_reads, n_variants, ROUND(n_variants / n_total, 6) AS variant_rate FROM c")(lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d)))[0], 0.002).select("sample_id", "n_reads", "n_variants", "variant_rate"))
-query("stream_dead_letter", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key, 'no sample_id or no JSON' AS error FROM reads WHERE sample_id % 3 = 0")(lambda s, d: s.read.parquet(f"{_stream(s, d, broken=True)}/errors").select("key", "error").distinct())
+query("stream_calls", STREAM + " SELECT sample_id, n_reads, n_variants, n_total FROM c")(lambda s, d: _running(s, d).select("sample_id", "n_reads", "n_variants", "n_total"))
+query("stream_sample_metrics", STREAM + " SELECT sample_id, n_reads, n_variants, ROUND(n_variants / n_total, 6) AS variant_rate FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).select("sample_id", "n_reads", "n_variants", "variant_rate"))
+query("stream_dead_letter", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key, 'no sample_id or no JSON' AS error FROM reads WHERE sample_id % 3 = 0")(lambda s, d: s.read.parquet(f"{_stream(s, d, BROKEN)}/errors").select("key", "error").distinct())
 
 
 def _ingest(s, d):
@@ -89,20 +108,32 @@ def _ingest(s, d):
 
 query("stream_ingest", R + " SELECT DISTINCT CAST(sample_id AS VARCHAR) AS key FROM reads")(_ingest)
 query("stream_microbatch", STREAM + " SELECT COUNT(*) AS n_samples, CAST(SUM(n_variants) AS BIGINT) AS n_variants FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d)}/out"), 0.002).agg(F.count(F.lit(1)).alias("n_samples"), F.sum("n_variants").alias("n_variants")))
-query("stream_config_override", STREAM.replace("WHERE family_size >= 3", "WHERE family_size >= 5") + " SELECT sample_id, n_variants, n_total FROM c")(
-    lambda s, d: calls.batch_calls(calls.parse(calls.to_messages(core.reads(s, d)).withColumn("value", F.concat(F.expr("substring(value, 1, length(value) - 1)"), F.lit(', "config": {"min_family_size": 5}}'))))[0], 0.002).select("sample_id", "n_variants", "n_total"))
+query("stream_config_override", STREAM.replace("WHERE family_size >= 3", "WHERE family_size >= 5") + " SELECT sample_id, n_variants, n_total FROM c")(lambda s, d: calls.totals(s.read.parquet(f"{_stream(s, d, STRICT)}/out"), 0.002).select("sample_id", "n_variants", "n_total"))
+
+
+def _topic(s, d):
+    """Messages published to a topic by key, read back as a stream from its earliest offset."""
+    path = _folder(s)
+    calls.to_messages(core.reads(s, d)).write.json(f"{path}/in")
+    calls.publish(calls.file_source(s, f"{path}/in"), "topic", f"{path}/state", path=f"{path}/topic").awaitTermination()
+    back = s.readStream.format("topic").option("path", f"{path}/topic").load()
+    back.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state2").trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.schema(topic.SCHEMA).parquet(f"{path}/out")
+    return rows.groupBy("key").agg(F.count_distinct("partition").alias("n_partitions"), F.sum(F.size(F.from_json("value", calls.MESSAGE)["sample_data"]["reads"])).alias("n_reads"))
+
+
+query("kafka_source_sink", R + " SELECT CAST(sample_id AS VARCHAR) AS key, 1 AS n_partitions, COUNT(*) AS n_reads FROM reads GROUP BY ALL")(_topic)
 
 
 def _hourly(s, d):
     path = _folder(s)
     adapters.job_log(s, d).select("created_at", "status").repartitionByRange(4, "created_at").write.parquet(f"{path}/in")
     stream = s.readStream.schema("created_at timestamp, status string").parquet(f"{path}/in")
-    out = calls.hourly_status(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return s.read.schema("hour timestamp, status string, n long").parquet(f"{path}/out")
+    calls.upsert(calls.hourly_status(stream), f"{path}/out", f"{path}/state").awaitTermination()
+    return calls.latest(s, f"{path}/out", ["hour", "status"])
 
 
-query("stream_hourly_status")(_hourly)
+query("stream_hourly_status", f"WITH jobs AS ({adapters.duck(adapters.JOB_LOG)}) SELECT DATE_TRUNC('hour', created_at) AS hour, status, COUNT(*) AS n FROM jobs GROUP BY ALL")(_hourly)
 
 
 # learned calling over family features
@@ -123,8 +154,12 @@ C = core.COLLAPSED
 query("ml_features", C + " SELECT sample_id, chrom, pos, ref, umi, ROUND(family_size / (mean_quality + 1), 6) AS size_per_quality, ROUND(LN(1 + family_size), 6) AS log_size, ROUND(SQRT(mean_quality), 6) AS root_quality, ROUND(family_size * mean_quality, 6) AS size_quality FROM collapsed")(lambda s, d: _rows(s, d).select(*core.KEYS, "size_per_quality", "log_size", "root_quality", "size_quality"))
 query("interaction_features", C + ", z AS (SELECT AVG(family_size) AS m, STDDEV_POP(family_size) AS sd FROM collapsed) SELECT sample_id, chrom, pos, ref, umi, ROUND((family_size - m) / (sd + 1e-8), 6) AS size_z, ROUND(mean_quality / family_size, 6) AS quality_per_size, ROUND(COALESCE(consensus_agreement, 0) / family_size, 6) AS agreement_per_size FROM collapsed, z")(lambda s, d: _rows(s, d).select(*core.KEYS, "size_z", "quality_per_size", "agreement_per_size"))
 query("ml_select_anova")(lambda s, d: s.createDataFrame([(int(i),) for i in ml.select_anova(ml.assembled(_rows(s, d)), 4)], "feature int"))
-query("ml_select_mi")(lambda s, d: metrics.mutual_information(_rows(s, d), ["family_size", "mean_quality", "consensus_agreement"], "label"))
-query("ml_scale")(lambda s, d: ml.scaled(ml.assembled(_rows(s, d))).agg(F.count(F.lit(1)).alias("n")))
+MI = C + ", l AS (SELECT *, CAST(af_milli >= 60 AS INT) AS y, COALESCE(consensus_agreement, 0) AS agreement FROM collapsed)" + "".join(
+    f", {f}_q AS (SELECT QUANTILE_CONT({f}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM l), {f}_c AS (SELECT LEN(LIST_FILTER(q, lambda v: {f} > v)) AS x, y, COUNT(*) AS n FROM l, {f}_q GROUP BY ALL), {f}_m AS (SELECT n, SUM(n) OVER (PARTITION BY x) AS nx, SUM(n) OVER (PARTITION BY y) AS ny, SUM(n) OVER () AS t FROM {f}_c)"
+    for f in ("family_size", "mean_quality", "agreement")) + " " + " UNION ALL ".join(f"SELECT '{'consensus_agreement' if f == 'agreement' else f}' AS feature, ROUND(SUM(n / t * LN(n * t / (nx * ny))), 6) AS mi FROM {f}_m" for f in ("family_size", "mean_quality", "agreement"))
+query("ml_select_mi", MI)(lambda s, d: metrics.mutual_information(_rows(s, d), ["family_size", "mean_quality", "consensus_agreement"], "label"))
+query("ml_scale", C + ", z AS (SELECT *, COALESCE(consensus_agreement, 0) AS a FROM collapsed), m AS (SELECT " + ", ".join(f"AVG({f}) AS m_{f}, STDDEV_SAMP({f}) AS s_{f}" for f in ("family_size", "mean_quality", "a")) + " FROM z) SELECT sample_id, chrom, pos, ref, umi, ROUND((family_size - m_family_size) / s_family_size, 6) AS family_size, ROUND((mean_quality - m_mean_quality) / s_mean_quality, 6) AS mean_quality, ROUND((a - m_a) / s_a, 6) AS consensus_agreement FROM z, m")(
+    lambda s, d: ml.scaled(ml.assembled(_rows(s, d))).withColumn("z", vector_to_array("scaled")).select(*core.KEYS, *(F.col("z")[i].alias(n) for i, n in enumerate(ml.BASIC))))
 query("ml_class_weight", C + ", r AS (SELECT AVG(CAST(is_variant AS INT)) AS share FROM collapsed) SELECT is_variant, ROUND(CASE WHEN share < 0.01 AND share > 0 AND is_variant THEN 1 / share ELSE 1 END, 6) AS weight, COUNT(*) AS n FROM collapsed, r GROUP BY ALL")(lambda s, d: ml.class_weight(core.collapsed(s, d).withColumn("label", F.col("is_variant").cast("int"))).groupBy("is_variant", "weight").agg(F.count(F.lit(1)).alias("n")))
 for _kind in ("rf", "gbt", "lr", "svm"):
     query(f"ml_{_kind}")(lambda s, d, k=_kind: _scores(s, d, k))
@@ -139,8 +174,31 @@ def _ensemble(s, d):
 
 query("ml_ensemble")(_ensemble)
 query("ml_call", adapters_sql := f"WITH scored AS ({adapters.duck(adapters.SCORED)}), m AS (SELECT MEDIAN(score) AS threshold FROM scored) SELECT id, score > threshold AS is_call, ROUND(1 - score, 6) AS p_value FROM scored, m")(lambda s, d: ml.call(adapters.scored(s, d)).select("id", "is_call", "p_value"))
-query("ml_eval", adapters_sql.split(", m AS")[0] + """, c AS (SELECT label, CAST(score > 0.5 AS INT) AS pred FROM scored), k AS (SELECT l, COUNT(*) FILTER (label = l) AS n, COUNT(*) FILTER (label = l AND pred = l) AS tp, COUNT(*) FILTER (pred = l) AS pp FROM c, (VALUES (0), (1)) v(l) GROUP BY l)
- SELECT ROUND(SUM(n * tp / pp) / SUM(n), 6) AS precision, ROUND(SUM(tp) / SUM(n), 6) AS recall, ROUND(SUM(n * (2.0 * tp / (n + pp))) / SUM(n), 6) AS f1 FROM k""")(lambda s, d: s.createDataFrame([tuple(ml.evaluate(adapters.scored(s, d)).values())], "precision double, recall double, f1 double"))
-query("ml_importance")(lambda s, d: ml.importance(s, ml.train(_split(s, d)[0], "rf"), ml.BASIC + ml.DERIVED))
-query("ml_train_val_split")(lambda s, d: (lambda ab: ab[0].agg(F.count(F.lit(1)).alias("n_train")).join(F.broadcast(ab[1].agg(F.count(F.lit(1)).alias("n_validation")))))(ml.split(core.fams(s, d), core.KEYS)))
-query("cv_scores")(lambda s, d: metrics.cv_scores(metrics.stratified_folds(ml.assembled(_rows(s, d)), "umi", "label", 3), "fold", lambda a, b: ml.probability(ml.train(a, "lr"), b), 3))
+query("ml_eval", scores.AUC + """, pr AS (SELECT label, CAST(score > 0.5 AS INT) AS pred FROM scored), k AS (SELECT l, COUNT(*) FILTER (label = l) AS n, COUNT(*) FILTER (label = l AND pred = l) AS tp, COUNT(*) FILTER (pred = l) AS pp FROM pr, (VALUES (0), (1)) v(l) GROUP BY l)
+ SELECT ANY_VALUE(auc) AS auc, ANY_VALUE(average_precision) AS average_precision, ROUND(SUM(n * tp / pp) / SUM(n), 6) AS precision, ROUND(SUM(tp) / SUM(n), 6) AS recall, ROUND(SUM(n * (2.0 * tp / (n + pp))) / SUM(n), 6) AS f1 FROM k, m""")(lambda s, d: s.createDataFrame([tuple(ml.evaluate(adapters.scored(s, d)).values())], "auc double, average_precision double, precision double, recall double, f1 double"))
+query("ml_importance")(lambda s, d: (lambda a: ml.importance(s, {"rf": (ml.train(a, "rf"), 1.0), "gbt": (ml.train(a, "gbt"), 1.0)}, ml.BASIC + ml.DERIVED))(cut(_split(s, d)[0])))
+SPLIT = "CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', sample_id, chrom, pos, ref, umi, '0')), 1, 8) AS BIGINT) % 1000 < 800"
+query("ml_train_val_split", core.FAMS + f" SELECT COUNT(*) FILTER ({SPLIT}) AS n_train, COUNT(*) FILTER (NOT ({SPLIT})) AS n_validation FROM fams")(lambda s, d: (lambda ab: ab[0].agg(F.count(F.lit(1)).alias("n_train")).join(F.broadcast(ab[1].agg(F.count(F.lit(1)).alias("n_validation")))))(ml.split(core.fams(s, d), core.KEYS)))
+
+
+def _saved_call(s, d):
+    """A caller is fitted, saved and loaded; a table and a stream of the validation rows are scored with it and compared row by row."""
+    path, threshold = _folder(s), 0.5
+    rows = core.collapsed(s, d).withColumn("label", (F.col("af_milli") >= 60).cast("int")).select(*core.KEYS, "label", "allele_fraction", *ml.BASIC)
+    train, test = ml.split(cut(rows), core.KEYS)
+    ml.save(ml.fit_caller(train, "lr"), f"{path}/model")
+    model = ml.load(f"{path}/model")
+    test.write.parquet(f"{path}/in")
+    stream = s.readStream.schema(test.schema).parquet(f"{path}/in")
+    ml.call_families(model, stream, threshold).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    table, streamed = (x.select(*core.KEYS, "is_call", F.round("score", 9).alias("score")) for x in (ml.call_families(model, test, threshold), s.read.parquet(f"{path}/out")))
+    same = table.withColumnsRenamed({"is_call": "c", "score": "p"}).join(streamed, core.KEYS, "full").where("c <=> is_call and p <=> score and p between 0 and 1 and c = (p > 0.5)")
+    return same.agg(F.count(F.lit(1)).alias("n_same"))
+
+
+query("ml_saved_call", C + f" SELECT COUNT(*) AS n_same FROM collapsed WHERE NOT ({SPLIT})")(_saved_call)
+_cv = lambda s, d: metrics.cv_scores(metrics.stratified_folds(ml.assembled(_rows(s, d)), "umi", "label", 5), "fold", lambda a, b: ml.probability(ml.train(a, "lr"), b), 5)
+query("cv_scores")(_cv)
+FOLDS = C + ", f AS (SELECT CAST(af_milli >= 60 AS INT) AS label, CAST(CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', umi, CAST(af_milli >= 60 AS INT), '0')), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM collapsed)"
+query("cv_sizes", FOLDS + " SELECT fold, (SELECT COUNT(*) FROM f) - COUNT(*) AS n_train, COUNT(*) AS n_test, COUNT(*) FILTER (label = 1) AS n_positive, COUNT(*) FILTER (label = 0) AS n_negative FROM f GROUP BY fold")(lambda s, d: _cv(s, d).select("fold", "n_train", "n_test", "n_positive", "n_negative"))
+query("cv_summary")(lambda s, d: metrics.cv_summary(_cv(s, d)))

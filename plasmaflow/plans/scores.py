@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plasmaflow.operators import errors, joins, limits, metrics, multiple, qc
+from plasmaflow.operators import calling, errors, joins, limits, metrics, multiple, qc, quantiles
+from plasmaflow.operators.lineage import cut
+from plasmaflow.plans import core
 from plasmaflow.plans.registry import query
 from plasmaflow.sources import adapters
 
@@ -21,7 +23,17 @@ def pvals(s, d):
 
 query("detection_matrix", RUNS + f" SELECT allele_fraction, umi_depth, ROUND(AVG({D}), 4) AS rate, ROUND(STDDEV_SAMP({D}), 4) AS sd, COUNT(*) AS n FROM runs GROUP BY ALL")(lambda s, d: qc.detection_matrix(runs(s, d)))
 query("sim_quality_filter", RUNS + " SELECT allele_fraction, umi_depth, ROUND(AVG(CAST(umi_depth >= 3000 AS INT)), 6) AS depth_ok, ROUND(AVG(CAST(umi_depth * allele_fraction >= 200 AS INT)), 6) AS alt_ok FROM runs GROUP BY ALL")(lambda s, d: runs(s, d).groupBy("allele_fraction", "umi_depth").agg(qc.rate(F.col("umi_depth") >= 3000).alias("depth_ok"), qc.rate(F.col("umi_depth") * F.col("allele_fraction") >= 200).alias("alt_ok")))
-query("run_stat_summary", RUNS + " SELECT umi_depth, ROUND(AVG(allele_fraction), 6) AS mean_af, ROUND(MEDIAN(allele_fraction), 6) AS median_af, ROUND(STDDEV_SAMP(allele_fraction), 6) AS sd_af FROM runs GROUP BY ALL")(lambda s, d: runs(s, d).groupBy("umi_depth").agg(F.avg("allele_fraction").alias("mean_af"), qc.percentile("allele_fraction", 0.5).alias("median_af"), F.stddev_samp("allele_fraction").alias("sd_af")))
+query("run_af_summary", RUNS + " SELECT umi_depth, ROUND(AVG(allele_fraction), 6) AS mean_af, ROUND(MEDIAN(allele_fraction), 6) AS median_af, ROUND(STDDEV_SAMP(allele_fraction), 6) AS sd_af FROM runs GROUP BY ALL")(lambda s, d: runs(s, d).groupBy("umi_depth").agg(F.avg("allele_fraction").alias("mean_af"), qc.percentile("allele_fraction", 0.5).alias("median_af"), F.stddev_samp("allele_fraction").alias("sd_af")))
+RSUM = core.TESTV + ", af AS (SELECT DISTINCT sample_id, af_milli FROM fams), e AS (SELECT af_milli, total_depth, p, alt_count, LN(alt_count + 1e-8) - LN(lam + 1e-8) AS effect FROM tv JOIN af USING (sample_id))"
+
+
+def _run_summary(s, d):
+    fams = cut(core.fams(s, d))
+    tested = calling.test_variants(*core.site_tests(fams)).join(fams.select("sample_id", "af_milli").distinct(), "sample_id")
+    return qc.run_summary(cut(tested.select("af_milli", "total_depth", "alt_count", "p_value", "effect_size")), ["af_milli", "total_depth"])
+
+
+query("run_stat_summary", RSUM + " SELECT af_milli, total_depth, ROUND(AVG(p), 6) AS mean_p, ROUND(MEDIAN(p), 6) AS median_p, ROUND(STDDEV_SAMP(p), 6) AS sd_p, ROUND(AVG(effect), 6) AS mean_effect, ROUND(MEDIAN(effect), 6) AS median_effect, ROUND(STDDEV_SAMP(effect), 6) AS sd_effect, ROUND(AVG(alt_count), 6) AS mean_alt, ROUND(STDDEV_SAMP(alt_count), 6) AS sd_alt, ROUND(AVG(total_depth), 6) AS mean_depth, ROUND(STDDEV_SAMP(total_depth), 6) AS sd_depth FROM e GROUP BY ALL")(_run_summary)
 query("run_qc_metrics", RUNS + f" SELECT allele_fraction, NULL::INT AS umi_depth, COUNT(*) AS n, ROUND(AVG({D}), 6) AS rate FROM runs GROUP BY allele_fraction UNION ALL SELECT NULL, umi_depth, COUNT(*), ROUND(AVG({D}), 6) FROM runs GROUP BY umi_depth UNION ALL SELECT NULL, NULL, COUNT(*), ROUND(AVG({D}), 6) FROM runs")(
     lambda s, d: runs(s, d).groupingSets([["allele_fraction"], ["umi_depth"], []], "allele_fraction", "umi_depth").agg(F.count(F.lit(1)).alias("n"), qc.rate(F.col("detected")).alias("rate")))
 DEPTHS = [1000 * i for i in range(1, 10)]
@@ -91,6 +103,20 @@ query("average_precision", AUC + " SELECT average_precision FROM m")(lambda s, d
 query("brier", SCORED + " SELECT ROUND(AVG((score - label) * (score - label)), 6) AS brier FROM scored")(lambda s, d: metrics.brier(scored(s, d)))
 query("detection_metrics", AUC + ", b AS (SELECT ROUND(AVG((score - label) * (score - label)), 6) AS brier, COUNT(*) AS n_cases, CAST(SUM(label) AS BIGINT) AS n_positive, COUNT(*) FILTER (score >= 0.5) AS n_detected FROM scored) SELECT auc, average_precision, brier, n_cases, n_positive, n_detected FROM m, b")(
     lambda s, d: multiple.roc_auc(scored(s, d)).join(F.broadcast(multiple.average_precision(scored(s, d)))).join(F.broadcast(metrics.brier(scored(s, d)))).join(F.broadcast(scored(s, d).agg(F.count(F.lit(1)).alias("n_cases"), F.sum("label").alias("n_positive"), F.count(F.when(F.col("score") >= 0.5, 1)).alias("n_detected")))))
+DETECT = core.CALLS + f""", dc AS (SELECT c.*, n_variants / n_total AS score, CAST(a.af > 0.001 AS INT) AS label FROM calls c JOIN (SELECT sample_id, AVG(af_milli) / 1000 AS af FROM collapsed GROUP BY ALL) a USING (sample_id)),
+ g AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM dc GROUP BY ALL), cu AS (SELECT *, SUM(neg) OVER (ORDER BY score) AS below, SUM(pos) OVER (ORDER BY score DESC) AS tp, SUM(neg) OVER (ORDER BY score DESC) AS fp FROM g),
+ m AS (SELECT CASE WHEN SUM(pos) * SUM(neg) > 0 THEN SUM(pos * (below - neg / 2)) / (SUM(pos) * SUM(neg)) ELSE 0.5 END AS auc, SUM(pos * tp / (tp + fp)) / SUM(pos) AS ap FROM cu),
+ cb AS (SELECT {{BIN}} AS bin, COUNT(*) AS n, AVG(label) AS er, AVG(score) AS cf FROM dc GROUP BY ALL)
+ SELECT ROUND(ANY_VALUE(auc), 6) AS auc, ROUND(ANY_VALUE(ap), 6) AS average_precision, ROUND(AVG((score - label) * (score - label)), 6) AS brier, COUNT(*) FILTER (q <= 0.05 AND label = 1) AS detected_cases, COUNT(*) FILTER (label = 1) AS total_cases,
+  (SELECT STRING_AGG(PRINTF('%d:%d:%.4f:%.4f', bin, n, ROUND(er, 4), ROUND(cf, 4)), ',' ORDER BY bin) FROM cb) AS calibration FROM dc, m"""
+
+
+def _sample_calls(s, d):
+    own = cut(core.collapsed(s, d))
+    called = calling.call_samples(own, errors.fit_error_model(own.where("af_milli = 0")))
+    return called.join(own.groupBy("sample_id").agg(F.avg("allele_fraction").alias("allele_fraction")), "sample_id")
+
+
 TH = SCORED + ", th AS (SELECT CAST(i AS DOUBLE) / 19 AS t FROM GENERATE_SERIES(0, 19) g(i)), k AS (SELECT t, COUNT(*) FILTER (score >= t AND label = 1) AS tp, COUNT(*) FILTER (score >= t AND label = 0) AS fp, SUM(label) AS p, SUM(1 - label) AS n FROM scored, th GROUP BY ALL)"
 query("roc_pr_curve", TH + " SELECT ROUND(t, 6) AS threshold, ROUND(tp / p, 6) AS tpr, ROUND(fp / n, 6) AS fpr, ROUND(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, ROUND(tp / p, 6) AS recall FROM k")(lambda s, d: multiple.roc_pr_curve(scored(s, d)))
 query("threshold_sweep", SCORED + ", th AS (SELECT 0.01::DOUBLE + 0.02::DOUBLE * i AS t FROM GENERATE_SERIES(0, 49) g(i)), k AS (SELECT t, COUNT(*) FILTER (score > t AND label = 1) AS tp, COUNT(*) FILTER (score > t AND label = 0) AS fp, SUM(label) AS p FROM scored, th GROUP BY ALL), f AS (SELECT t, ROUND(CASE WHEN tp > 0 THEN 2.0 * tp / (tp + fp + p) ELSE 0 END, 12) AS v FROM k) SELECT ROUND(t, 6) AS threshold, ROUND(v, 6) AS value FROM f ORDER BY v DESC, t LIMIT 1")(lambda s, d: multiple.threshold_sweep(scored(s, d)))
@@ -99,16 +125,23 @@ query("credible_interval", SCORED + " SELECT label, ROUND(AVG(score), 6) AS mean
 query("hpdi", SCORED + ", o AS (SELECT id % 50 AS grp, score, ROW_NUMBER() OVER (PARTITION BY id % 50 ORDER BY score) AS i, COUNT(*) OVER (PARTITION BY id % 50) AS n FROM scored), k AS (SELECT a.grp, a.score AS lo, b.score AS hi FROM o a JOIN o b ON a.grp = b.grp AND b.i = a.i + CAST(GREATEST(CEIL(ROUND(0.8 * a.n, 9)), 1) AS INT) - 1) SELECT grp, FIRST(lo ORDER BY hi - lo, lo) AS lower, FIRST(hi ORDER BY hi - lo, lo) AS upper FROM k GROUP BY ALL")(lambda s, d: multiple.hpdi(scored(s, d).withColumn("grp", F.col("id") % 50), ["grp"], "score", 0.8))
 query("prediction_distribution", SCORED + " SELECT label, COUNT(score) AS n, ROUND(AVG(score), 6) AS mean, ROUND(MEDIAN(score), 6) AS median, ROUND(STDDEV_POP(score), 6) AS sd, MIN(score) AS least, MAX(score) AS most, ROUND(QUANTILE_CONT(score, 0.25), 6) AS q25, ROUND(QUANTILE_CONT(score, 0.75), 6) AS q75 FROM scored GROUP BY ALL")(lambda s, d: qc.distribution(scored(s, d), "score", ["label"]))
 BIN = "(" + " + ".join(f"CAST(score >= {e!r}::DOUBLE AS INT)" for e in [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]) + ")"
+query("detection_metrics_calls", DETECT.replace("{BIN}", BIN))(lambda s, d: metrics.detection(_sample_calls(s, d)).withColumn("calibration", F.array_join(F.transform("calibration", lambda b: F.format_string("%d:%d:%.4f:%.4f", b["bin"], b["n"], F.round(b["event_rate"], 4), F.round(b["confidence"], 4))), ",")))
 CAL = SCORED + f", cb AS (SELECT {BIN} AS bin, COUNT(*) AS n, AVG(label) AS er, AVG(score) AS cf FROM scored GROUP BY ALL)"
 query("calibration_bins", CAL + " SELECT bin, n, ROUND(er, 6) AS event_rate, ROUND(cf, 6) AS confidence FROM cb")(lambda s, d: metrics.calibration_bins(scored(s, d)))
 query("calibration_ece", CAL + " SELECT ROUND(SUM(ABS(er - cf) * n) / SUM(n), 6) AS ece, ROUND(MAX(ABS(er - cf)), 6) AS max_error, COUNT(*) AS n_bins, SUM(ABS(er - cf) * n) / SUM(n) < 0.05 AS well_calibrated FROM cb")(lambda s, d: metrics.calibration_error(scored(s, d)))
-query("calibration_by_stratum", SCORED + f", cb AS (SELECT id % 3 AS stratum, {BIN} AS bin, COUNT(*) AS n, AVG(label) AS er, AVG(score) AS cf FROM scored GROUP BY ALL) SELECT stratum, bin, n, ROUND(er, 6) AS event_rate, ROUND(cf, 6) AS confidence FROM cb")(lambda s, d: metrics.calibration_bins(scored(s, d).withColumn("stratum", F.col("id") % 3), by=["stratum"]))
+query("calibration_bins_by_stratum", SCORED + f", cb AS (SELECT id % 3 AS stratum, {BIN} AS bin, COUNT(*) AS n, AVG(label) AS er, AVG(score) AS cf FROM scored GROUP BY ALL) SELECT stratum, bin, n, ROUND(er, 6) AS event_rate, ROUND(cf, 6) AS confidence FROM cb")(lambda s, d: metrics.calibration_bins(scored(s, d).withColumn("stratum", F.col("id") % 3), by=["stratum"]))
+STRATA = SCORED + f""", cb AS (SELECT id % 3 AS stratum, CASE WHEN score > 0 THEN {BIN.replace('>=', '>')} END AS bin, COUNT(*) AS n, AVG(label) AS er, AVG(score) AS cf FROM scored GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT id % 3 AS stratum FROM scored), GENERATE_SERIES(0, 9) gs(bin)),
+ a AS (SELECT g.stratum, g.bin, COALESCE(n, 0) AS n, ROUND(COALESCE(er, 0), 4) AS er, ROUND(COALESCE(cf, 0), 4) AS cf FROM g LEFT JOIN cb ON cb.stratum = g.stratum AND cb.bin = g.bin), e AS (SELECT stratum, SUM(CASE WHEN bin IS NOT NULL THEN ABS(er - cf) * n END) / SUM(n) AS ece, MAX(CASE WHEN bin IS NOT NULL THEN ABS(er - cf) END) AS mx FROM cb GROUP BY ALL)"""
+query("calibration_by_stratum", STRATA + " SELECT a.stratum, ROUND(ANY_VALUE(ece), 6) AS ece, ROUND(ANY_VALUE(mx), 6) AS max_error, STRING_AGG(PRINTF('%.4f', er), ',' ORDER BY bin) AS accuracies, STRING_AGG(PRINTF('%.4f', cf), ',' ORDER BY bin) AS confidences, STRING_AGG(n, ',' ORDER BY bin) AS counts FROM a JOIN e ON e.stratum = a.stratum GROUP BY a.stratum")(
+    lambda s, d: metrics.calibration_strata(scored(s, d).withColumn("stratum", F.col("id") % 3), ["stratum"]).withColumns(
+        {c: F.array_join(F.transform(c, lambda x: F.format_string("%.4f", F.round(x, 4))), ",") for c in ("accuracies", "confidences")} | {"counts": F.array_join(F.col("counts").cast("array<string>"), ",")}))
 query("conformal_interval", SCORED + ", q AS (SELECT QUANTILE_CONT(ABS(label - score), 0.9) AS q FROM scored WHERE id % 2 = 0) SELECT id, ROUND(GREATEST(score - q, 0), 6) AS lower, ROUND(LEAST(score + q, 1), 6) AS upper FROM scored, q WHERE id % 2 = 1")(lambda s, d: metrics.conformal(scored(s, d).where("id % 2 = 0"), scored(s, d).where("id % 2 = 1")).select("id", "lower", "upper"))
 query("bootstrap_metric_ci")(lambda s, d: metrics.interval(metrics.bootstrap_metric(scored(s, d)), "auc"))
 query("bootstrap_basic_ci")(lambda s, d: metrics.interval(metrics.bootstrap_metric(scored(s, d)), "average_precision", multiple.average_precision(scored(s, d)).first()[0]))
-query("bootstrap_robustness")(lambda s, d: metrics.bootstrap_means(scored(s, d), ["id"], {"mean_score": F.col("score"), "positive_rate": F.col("label")}))
+query("bootstrap_robustness")(lambda s, d: metrics.robustness(metrics.bootstrap(cut(core.collapsed(s, d)), core.KEYS)))
+query("bootstrap_scores")(lambda s, d: metrics.robustness(metrics.bootstrap(scored(s, d), ["id"], metrics.weighted_means(mean_score="score", positive_rate="label"))))
 query("bootstrap_proportion_ci")(lambda s, d: metrics.proportion_interval(scored(s, d), F.col("score") > 0.8))
-query("stratified_folds")(lambda s, d: metrics.stratified_folds(scored(s, d), "id", "label").groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")))
+query("stratified_folds", SCORED + " SELECT CAST(CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', id, label, '0')), 1, 8) AS BIGINT) % 5 AS INT) AS fold, label, COUNT(*) AS n FROM scored GROUP BY ALL")(lambda s, d: metrics.stratified_folds(scored(s, d), "id", "label").groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")))
 FOLD = ", fs AS (SELECT CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS model, CAST(FLOOR(id / 3) AS BIGINT) % 5 AS fold, AVG(score) AS score FROM scored GROUP BY ALL)"
 
 

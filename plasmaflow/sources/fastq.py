@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import dna
+from plasmaflow.operators.lineage import cut
 
 
 def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
@@ -18,7 +19,8 @@ def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) ->
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("file", "block", (F.col("first") - earlier).alias("origin"))
-    numbered = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("i", F.col("at") - F.col("origin"))
+    numbered = lines.join(cut(blocks), ["file", "block"])  # a row a split: broadcast if Spark finds it small enough
+    numbered = numbered.withColumn("i", F.col("at") - F.col("origin"))
     record = numbered.groupBy("file", F.floor(F.col("i") / 4).alias("record_idx"))
     line = lambda k: F.max(F.when(F.col("i") % 4 == k, F.col("value")))
     rows = record.agg(line(0).alias("header"), line(1).alias("sequence"), line(2).alias("plus"), line(3).alias("quality"))
@@ -51,8 +53,12 @@ def best_read_families(records: DataFrame, least_quality: float = 20.0) -> DataF
     return out.withColumn("passes_quality", F.col("mean_quality") >= least_quality)
 
 
+def record() -> Column:
+    """The four FASTQ lines of a read as one text."""
+    header = F.concat(F.lit("@"), F.concat_ws("_", F.lit("READ"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit(" UMI:"), "umi")
+    return F.concat_ws("\n", header, F.col("umi").alias("s"), F.lit("+"), F.repeat(F.char(F.col("quality") + 33), 6))
+
+
 def as_records(reads: DataFrame) -> DataFrame:
     """FASTQ lines (one record a row, four lines) of a reads table, for writing as text."""
-    header = F.concat(F.lit("@"), F.concat_ws("_", F.lit("READ"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), F.lit(" UMI:"), "umi")
-    quality = F.repeat(F.char(F.col("quality") + 33), 6)
-    return reads.select(F.concat_ws("\n", header, F.col("umi").alias("s"), F.lit("+"), quality).alias("value"))
+    return reads.select(record().alias("value"))

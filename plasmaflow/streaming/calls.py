@@ -1,9 +1,10 @@
-"""Structured Streaming: messages of samples in, calls, metrics and dead letters out; hourly counts with a watermark.
+"""Structured Streaming: messages of samples in, calls, running totals, metrics and dead letters out; hourly counts with a watermark.
 
 A message holds reads of one sample, all of it or whole families of it: key = sample_id, value = JSON {sample_id, timestamp,
 sample_data: {reads: [...]}, config: {...}}.
 Every micro-batch runs the batch operators on its exploded reads; the error rate is a small reference table, and the scope
-of the false-discovery rate is one message. Samples whose messages fall into several micro-batches are summed by `totals`."""
+of the false-discovery rate is one message. Samples whose messages fall into several micro-batches are summed: by `totals` in what the
+stream has written, or while it runs by `running_totals`, a second stream that keeps each sample's sums in its state."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plasmaflow.functions import tails
 from plasmaflow.operators import filters, umi
+from plasmaflow.streaming import topic
 
 READ = "chrom string, pos int, ref string, alt string, umi string, quality int, strand string, read_position int"
 MESSAGE = f"sample_id int, timestamp string, sample_data struct<reads: array<struct<{', '.join(f.replace(' ', ': ') for f in READ.split(', '))}>>>, config struct<min_quality: int, min_family_size: int, alpha: double>"
@@ -34,6 +36,13 @@ def file_source(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+def topic_source(spark: SparkSession, path: str, starting: str = "earliest", group: str | None = None) -> DataFrame:
+    """key, value of a topic in a shared folder: the same use as `kafka_source`, without a broker."""
+    topic.register(spark)
+    stream = spark.readStream.format("topic").option("path", path).option("startingOffsets", starting)
+    return (stream.option("group", group) if group else stream).load().select("key", "value")
+
+
 def to_messages(reads: DataFrame, most: int = MESSAGE_READS) -> DataFrame:
     """key, value: messages of about `most` reads of a sample or fewer, dealt by families, for any sink that takes key and value."""
     fields = [f.split(" ")[0] for f in READ.split(", ")]
@@ -44,7 +53,8 @@ def to_messages(reads: DataFrame, most: int = MESSAGE_READS) -> DataFrame:
 
 
 def publish(messages: DataFrame, sink: str, checkpoint: str, **options: str):
-    """Start a stream that writes key and value to a sink: "kafka" (kafka.bootstrap.servers, topic) or files ("json", path)."""
+    """Start a stream that writes key and value to a sink: "kafka" (kafka.bootstrap.servers, topic), "topic" (path) or files ("json", path)."""
+    topic.register(messages.sparkSession)
     out = messages.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
     return out.writeStream.format(sink).options(**options).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -92,6 +102,43 @@ def run(messages: DataFrame, error_rate: float, results: str, errors: str, check
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def count_to_topic(messages: DataFrame, error_rate: float, path: str, checkpoint: str, producer: str = "calls", trigger: dict | None = None):
+    """Start a stream that puts each micro-batch's counts on a topic, a row a sample: key, value = JSON of the columns of `batch_calls`.
+
+    A micro-batch that is repeated has the same number, so the topic takes it once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        topic.register(batch.sparkSession)
+        counts = batch_calls(parse(batch)[0], error_rate)
+        rows = counts.select(F.col("sample_id").cast("string").alias("key"), F.to_json(F.struct("sample_id", "alpha", "n_reads", "n_variants", "n_total")).alias("value"))
+        rows.write.format("topic").option("path", path).option("producer", producer).option("batchId", str(batch_id)).mode("append").save()
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def running_totals(counts: DataFrame) -> DataFrame:
+    """sample_id, alpha and the sums of a stream of counts (key, value as from `count_to_topic`): the state holds one row a sample."""
+    parsed = counts.select(F.from_json("value", "sample_id int, alpha double, n_reads long, n_variants long, n_total long").alias("c")).select("c.*")
+    return parsed.groupBy("sample_id", "alpha").agg(*(F.sum(c).alias(c) for c in ("n_reads", "n_variants", "n_total")))
+
+
+def upsert(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start a stream in update mode: the changed rows of a micro-batch as Parquet by batch_id, overwritten when it is repeated; see `latest`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last version of each key of what `upsert` wrote, open windows and running sums included."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("v")).select(*keys, "v.*")
+
+
 def hourly_status(jobs: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Counts by hour and status of a stream of jobs; rows later than the watermark are dropped."""
+    """Counts by hour and status of a stream of jobs; rows later than the watermark are dropped. In append mode an hour appears once it is
+    past the watermark; with `upsert` and `latest` the open hours are there too."""
     return jobs.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour").alias("w"), "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "status", "n")
