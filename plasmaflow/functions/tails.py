@@ -1,4 +1,4 @@
-"""Arrow UDFs over the distribution functions; null in, null out."""
+"""Arrow UDFs over the distribution functions; null in, null out. Each distinct tuple of arguments in an Arrow batch is evaluated once."""
 
 from __future__ import annotations
 
@@ -13,14 +13,21 @@ from pyspark.sql import types as T
 from plasmaflow.functions import special
 
 
+def _once(f: Callable[[list[np.ndarray]], np.ndarray], columns: tuple[pd.Series, ...], width: int) -> np.ndarray:
+    """f over the distinct argument tuples of a batch, a row of `width` results for each row; nan where an argument is null."""
+    arrays = np.stack([c.to_numpy(float, na_value=np.nan) for c in columns], axis=1)
+    out = np.full((len(arrays), width), np.nan)
+    known = ~np.isnan(arrays).any(axis=1)
+    if known.any():
+        distinct, back = np.unique(arrays[known], axis=0, return_inverse=True)
+        out[known] = f(list(distinct.T))[back.reshape(-1)]
+    return out
+
+
 def _udf(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
     @F.pandas_udf(T.DoubleType())
     def run(*columns: pd.Series) -> pd.Series:
-        arrays = [c.to_numpy(float, na_value=np.nan) for c in columns]
-        out = np.full(len(columns[0]), np.nan)
-        known = ~np.isnan(arrays).any(axis=0)
-        if known.any():
-            out[known] = f(*(a[known] for a in arrays))
+        out = _once(lambda arrays: np.asarray(f(*arrays), float).reshape(-1, 1), columns, 1)[:, 0]
         return pd.Series(out).astype("Float64").mask(np.isnan(out), pd.NA).astype(object).where(~np.isnan(out), None)
 
     return lambda *columns: run(*(F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in columns))
@@ -47,11 +54,7 @@ def _struct_udf(fields: list[str], f: Callable[..., tuple[np.ndarray, ...]]) ->
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in fields]))
     def run(*columns: pd.Series) -> pd.DataFrame:
-        arrays = [c.to_numpy(float, na_value=np.nan) for c in columns]
-        out = np.full((len(columns[0]), len(fields)), np.nan)
-        known = ~np.isnan(arrays).any(axis=0)
-        if known.any():
-            out[known] = np.stack(f(*(a[known] for a in arrays)), axis=1)
+        out = _once(lambda arrays: np.stack(f(*arrays), axis=1), columns, len(fields))
         return pd.DataFrame({n: pd.Series(out[:, i]).astype(object).where(~np.isnan(out[:, i]), None) for i, n in enumerate(fields)})
 
     return lambda *columns: run(*(F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in columns))
@@ -65,11 +68,3 @@ fisher_test = _struct_udf(["p_value", "odds_ratio"], lambda a, b, c, d: (special
 
 def poisson_power(null: str | Column, alt: str | Column, alpha: float) -> Column:
     return _udf(lambda a, b: special.poisson_power(a, b, alpha))(null, alt)
-
-
-def on_distinct(df: DataFrame, arguments: list[str], name: str, value: Column) -> DataFrame:
-    """df with `name`, evaluated once for each distinct tuple of the argument columns and joined back (null-safe)."""
-    once = df.select(*arguments).distinct().withColumn(name, value)
-    renamed = once.select(*(F.col(a).alias(f"{a}__") for a in arguments), name)
-    match = [df[a].eqNullSafe(renamed[f"{a}__"]) for a in arguments]
-    return df.join(renamed, match, "left").drop(*(f"{a}__" for a in arguments))

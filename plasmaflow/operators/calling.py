@@ -30,9 +30,9 @@ def call_samples(fams: DataFrame, rate: DataFrame, test: str = "poisson", alpha:
     counts = cut(counts).withColumn("expected_variants", F.col("n_total") * F.col("rate")).withColumn("variant_fraction", F.col("n_variants") / F.col("n_total"))
     counts = counts.withColumn("fold_change", F.when(F.col("expected_variants") > 0, F.col("n_variants") / F.col("expected_variants")))
     if test == "poisson":
-        tested = tails.on_distinct(counts, ["n_variants", "expected_variants"], "p_value", tails.poisson_two_sided("n_variants", "expected_variants"))
+        tested = counts.withColumn("p_value", tails.poisson_two_sided("n_variants", "expected_variants"))
     else:
-        tested = tails.on_distinct(counts, ["n_variants", "n_total", "rate"], "p_value", tails.binom_two_sided("n_variants", "n_total", "rate"))
+        tested = counts.withColumn("p_value", tails.binom_two_sided("n_variants", "n_total", "rate"))
     out = multiple.adjust(cut(tested), "p_value", method=method, alpha=alpha)
     return provenance(out.drop("rate"), {"test_type": test, "alpha": alpha, "fdr_method": method})
 
@@ -45,10 +45,10 @@ def test_variants(variants: DataFrame, rates: DataFrame, test: str = "poisson",
     rated = cut(errors.join_context_rate(valid, rates)).withColumn("expected", F.col("total_depth") * F.col("expected_rate"))
     if test == "poisson":
         tail = {"greater": tails.poisson_greater, "less": tails.poisson_less, "two-sided": tails.poisson_two_sided}[alternative]
-        tested = tails.on_distinct(rated, ["alt_count", "expected"], "p_value", tail("alt_count", "expected"))
+        tested = rated.withColumn("p_value", tail("alt_count", "expected"))
         effect = F.log(F.col("alt_count") + 1e-8) - F.log(F.col("expected") + 1e-8)
     else:
-        tested = tails.on_distinct(rated, ["alt_count", "total_depth", "expected_rate"], "test", tails.binomial_test[alternative]("alt_count", "total_depth", "expected_rate"))
+        tested = rated.withColumn("test", tails.binomial_test[alternative]("alt_count", "total_depth", "expected_rate"))
         tested = tested.select("*", "test.*").drop("test")
         tiny, p, q = 1e-12, F.col("alt_count") / F.col("total_depth"), F.col("expected_rate")
         logit = lambda x: F.log(x + tiny) - F.log(1 - x + tiny)
@@ -64,7 +64,7 @@ def call_beta_binomial(loci: DataFrame, params: DataFrame, alpha: float = 0.05)
     joined = loci.join(params, ["chrom", "pos"], "left").join(F.broadcast(mean))
     joined = joined.withColumn("alpha", F.coalesce("alpha", "alpha_mean")).withColumn("beta", F.coalesce("beta", "beta_mean")).drop("alpha_mean", "beta_mean")
     tested = cut(joined).withColumn("depth", F.greatest("total_count", F.lit(1)))
-    tested = tails.on_distinct(tested, ["alt_count", "depth", "alpha", "beta"], "p_value", tails.beta_binomial_sf("alt_count", "depth", "alpha", "beta"))
+    tested = tested.withColumn("p_value", tails.beta_binomial_sf("alt_count", "depth", "alpha", "beta"))
     sign = F.when(F.col("alt_count") / F.col("depth") >= F.col("alpha") / (F.col("alpha") + F.col("beta")), 1.0).otherwise(-1.0)
     tested = tested.withColumn("z", sign * F.abs(tails.norm_isf(F.col("p_value") / 2)))
     return multiple.adjust(cut(tested), "p_value", alpha=alpha)
@@ -85,7 +85,7 @@ def fisher_combine(loci: DataFrame, by: list[str]) -> DataFrame:
 def detection_power(calls: DataFrame, effect: float = 0.01, alpha: float = 0.05) -> DataFrame:
     """calls with the power to detect an allele fraction of `effect` above the background at each sample's own number of families."""
     wanted = cut(calls.withColumn("expected_found", F.col("expected_variants") + effect * F.col("n_total")))
-    return tails.on_distinct(wanted, ["expected_variants", "expected_found"], "power", tails.poisson_power("expected_variants", "expected_found", alpha))
+    return wanted.withColumn("power", tails.poisson_power("expected_variants", "expected_found", alpha))
 
 
 def signed_z(calls: DataFrame) -> DataFrame:

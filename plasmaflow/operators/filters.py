@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import tails
-from plasmaflow.operators.lineage import cut
 
 
 def depth_filter(df: DataFrame, min_alt: int = 2, min_depth: int = 10) -> DataFrame:
@@ -36,7 +35,7 @@ def quality_filter(df: DataFrame, least: float = 20.0) -> DataFrame:
 def strand_bias_filter(df: DataFrame, alpha: float = 0.01, extreme: float = 0.95, least: int = 4) -> DataFrame:
     """Fails if Fisher's p of (ref, alt) x (forward, reverse) is under alpha and the alt reads are nearly all on one strand; keeps strand_p and strand_odds."""
     counts = ["ref_forward", "ref_reverse", "alt_forward", "alt_reverse"]
-    out = tails.on_distinct(df, counts, "strand", tails.fisher_test(*counts))
+    out = df.withColumn("strand", tails.fisher_test(*counts))
     out = out.withColumn("strand_p", F.col("strand.p_value")).withColumn("strand_odds", F.col("strand.odds_ratio")).drop("strand")
     alts = F.col("alt_forward") + F.col("alt_reverse")
     total = alts + F.col("ref_forward") + F.col("ref_reverse")
@@ -53,7 +52,7 @@ def end_repair_filter(df: DataFrame, read_length: int = 150, margin: int = 10, a
     pattern = F.concat("ref", F.lit(">"), "alt").isin("G>T", "C>A") & (F.col("n_positions") > 0)
     share = 2 * margin / read_length
     out = df.withColumn("near__", F.when(pattern, F.col("near_ends"))).withColumn("of__", F.when(pattern, F.col("n_positions")))
-    out = tails.on_distinct(out, ["near__", "of__"], "end_repair_p", tails.binom_greater(F.col("near__"), F.col("of__"), F.lit(share)))
+    out = out.withColumn("end_repair_p", tails.binom_greater(F.col("near__"), F.col("of__"), F.lit(share)))
     bad = pattern & (F.col("end_repair_p") < alpha) & (F.col("near_ends") > 2 * share * F.col("n_positions"))
     reason = F.when(bad, "end_repair_artifact")
     return out.drop("near__", "of__").withColumn("end_repair_filter_reason", reason).withColumn("end_repair_filter", reason.isNull())
@@ -63,8 +62,8 @@ FILTERS = ["depth_filter", "quality_filter", "strand_bias_filter", "end_repair_f
 
 
 def all_filters(df: DataFrame) -> DataFrame:
-    """The four filters, all_filters_passed, and the numbers applied, passed and failed. df is computed once."""
-    out = end_repair_filter(strand_bias_filter(quality_filter(depth_filter(cut(from_lists(df))))))
+    """The four filters, all_filters_passed, and the numbers applied, passed and failed."""
+    out = end_repair_filter(strand_bias_filter(quality_filter(depth_filter(df))))
     passed = sum((F.col(f).cast("int") for f in FILTERS), F.lit(0))
     return out.withColumn("n_applied", F.lit(len(FILTERS))).withColumn("n_passed", passed).withColumn("n_failed", F.lit(len(FILTERS)) - passed).withColumn("all_filters_passed", passed == len(FILTERS))
 

@@ -65,7 +65,7 @@ def _ap(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
     return float((p * tp / np.maximum(tp + fp, 1)).sum() / tp[-1]) if tp[-1] else 0.0
 
 
-def bootstrap_metric(df: DataFrame, replicates: int = 200, seed: int = 0, score: str = "score", label: str = "label", digits: int = 4) -> DataFrame:
+def bootstrap_metric(df: DataFrame, replicates: int = 1000, seed: int = 0, score: str = "score", label: str = "label", digits: int = 4) -> DataFrame:
     """replicate, auc, average_precision of resampled rows. The cluster reduces rows to counts by score (rounded to `digits`, so at
     most 10 ** digits + 1 of them); a replicate is one multinomial draw over these counts."""
     counts = df.groupBy(F.round(score, digits).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")).where("s is not null").toPandas().sort_values("s")

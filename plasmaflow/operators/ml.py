@@ -47,18 +47,19 @@ def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(share)).withColumn("weight", F.when(rare, 1 / F.col("share__")).otherwise(1.0)).drop("share__")
 
 
-def estimator(kind: str, seed: int = 0):
+def estimator(kind: str, seed: int = 0, trees: int = 100, depth: int = 10, rounds: int = 100, round_depth: int = 5):
+    """rf (`trees` of `depth`), gbt (`rounds` of `round_depth`), lr or svm."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "rf": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common),
-        "gbt": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common),
+        "rf": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common),
+        "gbt": lambda: GBTClassifier(maxIter=rounds, maxDepth=round_depth, seed=seed, **common),
         "lr": lambda: LogisticRegression(regParam=0.01, **common),
         "svm": lambda: LinearSVC(regParam=0.01, maxIter=20, **common),
     }[kind]()
 
 
-def train(df: DataFrame, kind: str, seed: int = 0):
-    return Pipeline(stages=[estimator(kind, seed)]).fit(df)
+def train(df: DataFrame, kind: str, seed: int = 0, **sizes: int):
+    return Pipeline(stages=[estimator(kind, seed, **sizes)]).fit(df)
 
 
 def probability(model, df: DataFrame, name: str = "score") -> DataFrame:
@@ -91,12 +92,12 @@ def feature_sql(mean: float, sd: float) -> str:
     return f"SELECT *, {agreement} AS agreement, " + ", ".join(f"{f} AS {n}" for f, n in zip(forms, DERIVED, strict=True)) + " FROM __THIS__"
 
 
-def fit_caller(fams: DataFrame, kind: str = "lr", seed: int = 0) -> PipelineModel:
+def fit_caller(fams: DataFrame, kind: str = "lr", seed: int = 0, **sizes: int) -> PipelineModel:
     """A caller from families (with label): features, vector and classifier in one model that can be saved."""
     mean, sd = fams.agg(F.avg("family_size"), F.stddev_pop("family_size")).first()
     columns = ["agreement" if c == "consensus_agreement" else c for c in BASIC + DERIVED]
     assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[SQLTransformer(statement=feature_sql(float(mean or 0.0), float(sd or 0.0))), assembler, estimator(kind, seed)]).fit(fams)
+    return Pipeline(stages=[SQLTransformer(statement=feature_sql(float(mean or 0.0), float(sd or 0.0))), assembler, estimator(kind, seed, **sizes)]).fit(fams)
 
 
 def save(model: PipelineModel, path: str) -> None:

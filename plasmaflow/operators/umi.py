@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plasmaflow.functions import dna
-from plasmaflow.operators.lineage import cut
+from plasmaflow.operators.lineage import cut, drop
 
 SITE = ["sample_id", "chrom", "pos", "ref"]
 FAMILY = [*SITE, "umi"]
@@ -127,13 +127,22 @@ def neighbours(umis: DataFrame, distance: int = 1, keys: list[str] | None = None
     Candidates share a form with `distance` masked positions, so a site with any number of UMIs never compares more than a handful at
     a time. They meet by one hash of site and form; a pair at distance `distance` meets once."""
     keys = keys or SITE
-    keyed = mask_groups(umis, distance, keys).select(*keys, "umi", "mask", F.xxhash64(*keys, "mask").alias("h"))
+    known = umis.where(" and ".join(f"`{k}` is not null" for k in keys))
+    keyed = mask_groups(known, distance, keys).select(*keys, "umi", F.xxhash64(*keys, "mask").alias("h"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "mask"]]
-    pairs = a.join(b, [F.col("a.h") == F.col("b.h"), F.col("a.umi") < F.col("b.umi"), *same]).select(*(F.col(f"a.{k}") for k in keys), F.col("a.umi"), F.col("b.umi").alias("other"))
+    # sites are compared after the join, so that it sorts by the hash alone
+    same = [F.nullif(F.col(f"a.{k}"), F.col(f"b.{k}")).isNull() for k in keys]
+    near = dna.hamming("a.umi", "b.umi") <= distance
+    pairs = a.join(b, [F.col("a.h") == F.col("b.h"), F.col("a.umi") < F.col("b.umi"), near, *same]).select(*(F.col(f"a.{k}") for k in keys), F.col("a.umi"), F.col("b.umi").alias("other"))
     return pairs if distance == 1 else pairs.distinct()
 
 
+def both_ways(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pair (umi, other) and its mirror image."""
+    ways = F.array(F.struct("umi", "other"), F.struct(F.col("other").alias("umi"), F.col("umi").alias("other")))
+    return pairs.select(*keys, F.inline(ways))
+
+
 def cross_length_pairs(umis: DataFrame, distance: int = 1, keys: list[str] | None = None) -> DataFrame:
     """Pairs of different length within Levenshtein `distance`, by shared deletion variants."""
     keys = keys or SITE
@@ -154,7 +163,7 @@ def cross_length_pairs(umis: DataFrame, distance: int = 1, keys: list[str] | Non
 def cluster_components(umis: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, umi and cluster: the smallest UMI of its connected component, by label propagation with pointer jumping."""
     keys = keys or SITE
-    both = cut(pairs.select(*keys, "umi", "other").union(pairs.select(*keys, F.col("other").alias("umi"), F.col("umi").alias("other"))))
+    both = cut(both_ways(pairs, keys))
     labels = cut(umis.select(*keys, "umi").distinct().withColumn("cluster", F.col("umi")))
     while True:
         other = labels.select(*keys, F.col("umi").alias("other"), F.col("cluster").alias("theirs"))
@@ -162,6 +171,7 @@ def cluster_components(umis: DataFrame, pairs: DataFrame, keys: list[str] | None
         near = labels.join(heard, [*keys, "umi"], "left").select(*keys, "umi", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("theirs", "cluster")).alias("near"))
         jump = labels.select(*keys, F.col("umi").alias("near"), F.col("cluster").alias("far"))
         after = cut(near.join(jump, [*keys, "near"], "left").select(*keys, "umi", F.least("near", F.coalesce("far", "near")).alias("cluster"), "was"))
+        drop(labels)
         labels = after.select(*keys, "umi", "cluster")
         if after.where("cluster < was").isEmpty():
             return labels
@@ -174,7 +184,7 @@ def cluster_greedy(counts: DataFrame, pairs: DataFrame, keys: list[str] | None =
     seed; it then belongs to the first such seed. This decides whole fronts a round and equals the one-by-one result."""
     keys = keys or SITE
     ranked = counts.select(*keys, "umi", F.struct((-F.col("n")).alias("minus"), F.col("umi").alias("u")).alias("rank"))
-    both = pairs.select(*keys, "umi", "other").union(pairs.select(*keys, F.col("other").alias("umi"), F.col("umi").alias("other")))
+    both = both_ways(pairs, keys)
     other = ranked.select(*keys, F.col("umi").alias("other"), F.col("rank").alias("their_rank"))
     before = cut(both.join(ranked, [*keys, "umi"]).join(other, [*keys, "other"]).where("their_rank < rank").select(*keys, "umi", "other", "their_rank"))
     state = cut(ranked.select(*keys, "umi", F.lit(None).cast("string").alias("seed")))
@@ -188,7 +198,9 @@ def cluster_greedy(counts: DataFrame, pairs: DataFrame, keys: list[str] | None =
         # absorbed by the first seed once no undecided neighbour of higher priority than that seed remains
         sure = F.col("first").isNotNull() & (F.col("undecided").isNull() | (F.col("first") < F.col("undecided")))
         seed = F.coalesce("seed", F.when(sure, F.col("first.u")), F.when(F.col("first").isNull() & (F.coalesce("open", F.lit(0)) == 0), F.col("umi")))
-        state = cut(state.join(seen, [*keys, "umi"], "left").select(*keys, "umi", seed.alias("seed")))
+        after = cut(state.join(seen, [*keys, "umi"], "left").select(*keys, "umi", seed.alias("seed")))
+        drop(state)
+        state = after
         if state.where("seed is null").isEmpty():
             return state.withColumnRenamed("seed", "cluster")
 

@@ -213,7 +213,7 @@ FTEST = VARIANTS + f""", ft AS (SELECT *, {FISHER} AS p FROM (SELECT *, alt_forw
  sb AS (SELECT *, CASE WHEN total_depth < 4 THEN 'insufficient_data_for_strand_test' WHEN p < 0.01 AND (alt_forward / NULLIF(alt_count, 0) > 0.95 OR alt_forward / NULLIF(alt_count, 0) < 0.05) THEN 'strand_bias' END AS why FROM ft)"""
 ODDS = "CASE WHEN ref_forward + ref_reverse > 0 AND alt_forward + alt_reverse > 0 AND ref_forward + alt_forward > 0 AND ref_reverse + alt_reverse > 0 AND ref_reverse * alt_forward > 0 THEN ref_forward * alt_reverse / (ref_reverse * alt_forward) END"
 query("fisher_2x2", FTEST + f" SELECT sample_id, chrom, pos, ref, ROUND(p, 6) AS p_value, ROUND({ODDS}, 6) AS odds_ratio FROM ft")(  # an infinite ratio is given as null
-    lambda s, d: filters.strand_bias_filter(cut(variants(s, d))).select(*VKEYS, F.col("strand_p").alias("p_value"), F.when(F.col("strand_odds") < float("inf"), F.col("strand_odds")).alias("odds_ratio")))
+    lambda s, d: filters.strand_bias_filter(variants(s, d)).select(*VKEYS, F.col("strand_p").alias("p_value"), F.when(F.col("strand_odds") < float("inf"), F.col("strand_odds")).alias("odds_ratio")))
 query("strand_bias_filter", FTEST + " SELECT sample_id, chrom, pos, ref, COALESCE(why <> 'strand_bias', TRUE) AS strand_bias_filter, why AS strand_bias_filter_reason FROM sb")(lambda s, d: filters.strand_bias_filter(variants(s, d)).select(*VKEYS, "strand_bias_filter", "strand_bias_filter_reason"))
 BINOM = "(SELECT SUM(EXP(LGAMMA(n + 1) - LGAMMA(i + 1) - LGAMMA(n - i + 1) + i * LN(p0) + (n - i) * LN(1 - p0))) FROM GENERATE_SERIES({lo}, n) g(i))"
 ENDS = VARIANTS + f""", er AS (SELECT *, CASE WHEN ref || '>' || alt IN ('G>T', 'C>A') AND alt_count > 0 THEN {BINOM.format(lo='near')} END AS pe FROM (SELECT *, alt_count AS n, 20.0 / 150 AS p0 FROM variants)),

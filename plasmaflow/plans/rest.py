@@ -136,7 +136,14 @@ def _hourly(s, d):
 query("stream_hourly_status", f"WITH jobs AS ({adapters.duck(adapters.JOB_LOG)}) SELECT DATE_TRUNC('hour', created_at) AS hour, status, COUNT(*) AS n FROM jobs GROUP BY ALL")(_hourly)
 
 
-# learned calling over family features
+# learned calling over family features; the queries fit smaller forests and fewer rounds than the library's defaults
+SIZES = {"trees": 20, "depth": 5, "rounds": 10, "round_depth": 3}
+
+
+def _train(df, kind):
+    return ml.train(df, kind, **SIZES)
+
+
 def _rows(s, d):
     return ml.features(core.collapsed(s, d)).withColumn("label", (F.col("af_milli") >= 60).cast("int")).select(*core.KEYS, "label", "is_variant", *ml.BASIC, *ml.DERIVED)
 
@@ -147,7 +154,7 @@ def _split(s, d):
 
 def _scores(s, d, kind):
     a, b = _split(s, d)
-    return ml.probability(ml.train(a, kind), b).select(*core.KEYS, "label", "score")
+    return ml.probability(_train(a, kind), b).select(*core.KEYS, "label", "score")
 
 
 C = core.COLLAPSED
@@ -168,15 +175,15 @@ for _kind in ("rf", "gbt", "lr", "svm"):
 def _ensemble(s, d):
     a, b = _split(s, d)
     folds = cut(metrics.stratified_folds(a, "umi", "label", 3))
-    auc = lambda kind: metrics.cv_scores(folds, "fold", lambda x, y: ml.probability(ml.train(x, kind), y), 3).agg(F.avg("auc")).first()[0]
-    return ml.ensemble({k: (ml.train(a, k), auc(k)) for k in ("rf", "gbt", "lr")}, b).select(*core.KEYS, "label", "score")
+    auc = lambda kind: metrics.cv_scores(folds, "fold", lambda x, y: ml.probability(_train(x, kind), y), 3).agg(F.avg("auc")).first()[0]
+    return ml.ensemble({k: (_train(a, k), auc(k)) for k in ("rf", "gbt", "lr")}, b).select(*core.KEYS, "label", "score")
 
 
 query("ml_ensemble")(_ensemble)
 query("ml_call", adapters_sql := f"WITH scored AS ({adapters.duck(adapters.SCORED)}), m AS (SELECT MEDIAN(score) AS threshold FROM scored) SELECT id, score > threshold AS is_call, ROUND(1 - score, 6) AS p_value FROM scored, m")(lambda s, d: ml.call(adapters.scored(s, d)).select("id", "is_call", "p_value"))
 query("ml_eval", scores.AUC + """, pr AS (SELECT label, CAST(score > 0.5 AS INT) AS pred FROM scored), k AS (SELECT l, COUNT(*) FILTER (label = l) AS n, COUNT(*) FILTER (label = l AND pred = l) AS tp, COUNT(*) FILTER (pred = l) AS pp FROM pr, (VALUES (0), (1)) v(l) GROUP BY l)
  SELECT ANY_VALUE(auc) AS auc, ANY_VALUE(average_precision) AS average_precision, ROUND(SUM(n * tp / pp) / SUM(n), 6) AS precision, ROUND(SUM(tp) / SUM(n), 6) AS recall, ROUND(SUM(n * (2.0 * tp / (n + pp))) / SUM(n), 6) AS f1 FROM k, m""")(lambda s, d: s.createDataFrame([tuple(ml.evaluate(adapters.scored(s, d)).values())], "auc double, average_precision double, precision double, recall double, f1 double"))
-query("ml_importance")(lambda s, d: (lambda a: ml.importance(s, {"rf": (ml.train(a, "rf"), 1.0), "gbt": (ml.train(a, "gbt"), 1.0)}, ml.BASIC + ml.DERIVED))(cut(_split(s, d)[0])))
+query("ml_importance")(lambda s, d: (lambda a: ml.importance(s, {"rf": (_train(a, "rf"), 1.0), "gbt": (_train(a, "gbt"), 1.0)}, ml.BASIC + ml.DERIVED))(cut(_split(s, d)[0])))
 SPLIT = "CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', sample_id, chrom, pos, ref, umi, '0')), 1, 8) AS BIGINT) % 1000 < 800"
 query("ml_train_val_split", core.FAMS + f" SELECT COUNT(*) FILTER ({SPLIT}) AS n_train, COUNT(*) FILTER (NOT ({SPLIT})) AS n_validation FROM fams")(lambda s, d: (lambda ab: ab[0].agg(F.count(F.lit(1)).alias("n_train")).join(F.broadcast(ab[1].agg(F.count(F.lit(1)).alias("n_validation")))))(ml.split(core.fams(s, d), core.KEYS)))
 
@@ -197,7 +204,7 @@ def _saved_call(s, d):
 
 
 query("ml_saved_call", C + f" SELECT COUNT(*) AS n_same FROM collapsed WHERE NOT ({SPLIT})")(_saved_call)
-_cv = lambda s, d: metrics.cv_scores(metrics.stratified_folds(ml.assembled(_rows(s, d)), "umi", "label", 5), "fold", lambda a, b: ml.probability(ml.train(a, "lr"), b), 5)
+_cv = lambda s, d: metrics.cv_scores(metrics.stratified_folds(ml.assembled(_rows(s, d)), "umi", "label", 5), "fold", lambda a, b: ml.probability(_train(a, "lr"), b), 5)
 query("cv_scores")(_cv)
 FOLDS = C + ", f AS (SELECT CAST(af_milli >= 60 AS INT) AS label, CAST(CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', umi, CAST(af_milli >= 60 AS INT), '0')), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM collapsed)"
 query("cv_sizes", FOLDS + " SELECT fold, (SELECT COUNT(*) FROM f) - COUNT(*) AS n_train, COUNT(*) AS n_test, COUNT(*) FILTER (label = 1) AS n_positive, COUNT(*) FILTER (label = 0) AS n_negative FROM f GROUP BY fold")(lambda s, d: _cv(s, d).select("fold", "n_train", "n_test", "n_positive", "n_negative"))

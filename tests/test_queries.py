@@ -11,7 +11,10 @@ from plasmaflow.plans.registry import ORACLES, QUERIES
 
 SOME = ["umi_group_exact", "consensus_allele", "umi_neighbor_join", "context_error_rates", "strand_bias_filter", "site_qc", "bh_fdr", "holm", "roc_auc", "lod95_interp", "calibration_ece", "fastq_scan", "stream_calls", "hourly_status", "schema_contract", "contamination_overlap", "call_mrd",
         "test_variants", "call_betabinom", "beta_interval", "rank_models", "qq_points", "ks_uniform", "average_precision", "stream_ingest", "stream_dead_letter", "stream_microbatch", "stream_config_override", "stream_sample_metrics",
-        "umi_cluster_cc", "fisher_combine", "join_error_params", "poisson_tail", "binom_2s", "perturb_grid", "lod_summary", "manifest_diff"]
+        "umi_cluster_cc", "fisher_combine", "join_error_params", "poisson_tail", "binom_2s", "perturb_grid", "lod_summary", "manifest_diff",
+        "umi_cluster_greedy", "umi_cluster_repr", "umi_cluster_fast", "umi_hamming", "stouffer", "norm_isf_z", "call_summary", "test_summary", "detection_power_col", "stream_hourly_status", "kafka_source_sink", "fisher_2x2", "binom_tail", "variant_filter_all",
+        "ml_saved_call", "ml_select_mi", "ml_scale", "ml_eval", "ml_train_val_split", "cv_sizes", "stratified_folds", "detection_metrics_calls", "calibration_by_stratum", "clinical_guardrails", "coverage_rules", "provenance_cols", "fastq_max_reads",
+        "run_stat_summary", "hpdi", "credible_interval", "conformal_interval"]
 
 
 def plain(v):

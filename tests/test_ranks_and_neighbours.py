@@ -140,3 +140,16 @@ def test_detection_metrics_fall_back(spark):
     assert metrics.detection(calls.drop("variant_fraction")).first()["auc"] == 0.5
     assert metrics.detection(calls.drop("variant_fraction", "ml_probability")).first()["brier"] == pytest.approx((0.01 + 0.0001 + 0.0004) / 3)
     assert metrics.detection(calls.drop("allele_fraction")).first()["total_cases"] == 3
+
+
+def test_scratch_tables_go(spark):
+    from plasmaflow.operators import lineage
+
+    with lineage.freed():
+        table = lineage.cut(spark.range(10))
+        assert table.count() == 10
+        folder = table.inputFiles()[0].rpartition("/")[0]
+        other = spark.range(3)
+        lineage.drop(other)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
