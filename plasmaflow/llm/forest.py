@@ -26,23 +26,34 @@ SIGNS = 24
 
 class PrefixForest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, share: float, least: int, seed: int):
-        self.ids, self.vectors, self.small = ids, vectors, vectors.astype(np.float32)
+        self.ids, self.vectors = ids, vectors
         self.repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # rows of the commonest id
         self.budget = max(int(share * len(ids)), least)
+        self.scale = max(float(np.abs(vectors).max(initial=0)), 1e-300)  # squares of huge components would overflow
+        vectors = vectors / self.scale
         norms = np.einsum("ij,ij->i", vectors, vectors)
-        rest = np.sqrt(np.maximum(norms.max() - norms, 0))
+        rest = np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))
+        self.small = vectors.astype(np.float32)
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * SIGNS)).astype(np.float32)
         strings = self._strings(np.column_stack([vectors, rest]))
         order = np.argsort(strings, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T.astype(np.int32))
         self.strings = np.ascontiguousarray(np.take_along_axis(strings, order, axis=0).T)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "small"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.small = (self.vectors / self.scale).astype(np.float32)
+
     def _strings(self, vectors: np.ndarray) -> np.ndarray:
         signs = (vectors.astype(np.float32) @ self.planes > 0).reshape(len(vectors), -1, SIGNS)
         return (signs * (1 << np.arange(SIGNS - 1, -1, -1))).sum(axis=2)
 
     def find(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        strings = self._strings(np.column_stack([vectors, np.zeros(len(vectors))]))
+        scaled = vectors / self.scale
+        strings = self._strings(np.column_stack([scaled, np.zeros(len(vectors))]))
         level = np.zeros(len(ids), np.int64)
         low, high = np.zeros((len(ids), len(self.order)), np.int64), np.full((len(ids), len(self.order)), len(self.ids))
         rising = np.arange(len(ids))
@@ -67,7 +78,7 @@ class PrefixForest:
             near = np.flatnonzero(seen & (self.ids != own))
             most = 2 * k * self.repeats
             if len(near) > 4 * most:
-                rough = self.small[near] @ vectors[i].astype(np.float32)
+                rough = self.small[near] @ scaled[i].astype(np.float32)
                 limit = np.partition(rough, len(rough) - most)[len(rough) - most]
                 near = near[rough >= limit - 1e-4 * max(1.0, abs(float(limit)))]
             out.append(shards.top(self.ids[near], self.vectors[near] @ vectors[i], k))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plasmaflow.llm import dropout, forest, langid, line_dedup, maxscore, minhash, mixing, pretokens, queries, token_counts, url_filter, wavelet
+from plasmaflow.llm import dropout, forest, langid, line_dedup, maxscore, minhash, mixing, pretokens, queries, shards, token_counts, url_filter, wavelet
 
 P = pytest.importorskip("public_tokenizers")
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
@@ -378,6 +378,31 @@ def test_vector_searches_with_an_id_repeated(spark):
         assert [r["vec_id"] for r in found.where("query_id = 100").orderBy("rank").collect()] == want
 
 
+def test_vector_searches_shuffle_each_row_once(spark, monkeypatch):
+    """Rows that enter exchanges: those of the table, and each query's best of each task; groups of queries change no answer."""
+    monkeypatch.setattr(shards, "SHARD_ROWS", 256)
+    rng = np.random.default_rng(8)
+    seen, real = [], shards.build
+    monkeypatch.setattr(shards, "build", lambda rows, *a: (seen.append(rows.count()), real(rows, *a))[1])
+    for n in (1000, 4000):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 8)))], "vec_id long, embedding array<double>")
+        seen.clear()
+        one = {tuple(r) for r in maxscore.search(table).collect()}
+        assert seen == [n]  # the index is built from each row once
+        with monkeypatch.context() as m:
+            m.setattr(shards, "QUERY_BYTES", 800)
+            seen.clear()
+            assert {tuple(r) for r in maxscore.search(table).collect()} == one and seen == [n]
+
+
+def test_vector_searches_with_huge_components(spark):
+    table = spark.createDataFrame([(20, [1e200, 0.0]), (1, [1e90, 1e200]), (2, [2e100, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = {r["query_id"]: [] for r in forest.nearest(table).collect()}
+    for r in forest.nearest(table).orderBy("rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert found == {20: [2, 1, 3]}
+
+
 def test_vector_searches_on_empty_tables(vectors):
     assert forest.nearest(vectors.where("false")).count() == 0 and maxscore.search(vectors.where("false")).count() == 0
 
