@@ -63,7 +63,7 @@ FILTERS = ["depth_filter", "quality_filter", "strand_bias_filter", "end_repair_f
 
 def all_filters(df: DataFrame) -> DataFrame:
     """The four filters, all_filters_passed, and the numbers applied, passed and failed."""
-    out = end_repair_filter(strand_bias_filter(quality_filter(depth_filter(df))))
+    out = end_repair_filter(strand_bias_filter(quality_filter(depth_filter(from_lists(df)))))
     passed = sum((F.col(f).cast("int") for f in FILTERS), F.lit(0))
     return out.withColumn("n_applied", F.lit(len(FILTERS))).withColumn("n_passed", passed).withColumn("n_failed", F.lit(len(FILTERS)) - passed).withColumn("all_filters_passed", passed == len(FILTERS))
 
