@@ -32,9 +32,9 @@ from plasmaflow.llm.common import Scratch, mix64, row_slices, utf8
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 #: Numbered words that a worker's table holds, and candidates that a trie holds.
 MOST_WORDS = 500_000
-MOST_CANDIDATES = 1_000_000
+MOST_CANDIDATES = 500_000
 #: Keys that a task gathers before it sums and passes them on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Words of the corpus for each block in which keys meet.
 BLOCK_WORDS = 1 << 18
 #: A word's number is spelled in digits, so that a trie node has few children close together.
@@ -77,7 +77,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 own.update(tokens(text))
                 own.pop(b"", None)
                 own.pop(b"\n", None)
-                if sum(map(len, counts.values())) > FLUSH // 8:
+                if sum(map(len, counts.values())) > FLUSH // 4:
                     yield table(counts)
                     counts = {}
         yield table(counts)
