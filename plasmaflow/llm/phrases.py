@@ -299,6 +299,8 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, contained: i
         vocabulary = named if vocabulary is None else vocabulary.union(named)
     vocabulary = scratch.cut(vocabulary.select("lang", "word", "n", "id"), "vocabulary")
     encoded = scratch.cut(encode(docs, tables), "encoded")
+    while tables:  # what a stored table was made with is not read again
+        tables.pop().destroy()
 
     found = [vocabulary.select(F.col("id").alias("w1"), *_none(1), F.col("n").alias("f"))]
     # a word is a state of its own
@@ -315,6 +317,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, contained: i
             trie = DoubleArray(phrases, given)
             handle = spark.sparkContext.broadcast((trie.base, trie.check, trie.spell(given), trie.used))
             some = scratch.cut(summed(walk(encoded, k, blocks, handle, shards == 1), least).withColumn("trie", F.lit(shard)), "sums")
+            handle.destroy()
             named = scratch.cut(spark.createDataFrame(part.append_column("state", pa.array(trie.accepts))).select(F.lit(shard).alias("trie"), "state", *WORDS[:k]), "parents")
             parents, sums = (named, some) if parents is None else (parents.union(named), sums.union(some))
         hits = sums.where("kind = 0").select("trie", F.col("key").alias("state"), F.col("n").alias("f"))
