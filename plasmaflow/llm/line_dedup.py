@@ -41,9 +41,10 @@ def _bucket(word_hash: Column) -> Column:
     return word_hash.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df as the side of a join: broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: Column | None = None) -> DataFrame:
+    """df as the side of a join: broadcast if its counted rows are few; `rows` is what a row with a list counts for."""
+    counted = df.count() if rows is None else df.agg(F.sum(rows)).first()[0] or 0
+    return F.broadcast(df) if counted <= BROADCAST_ROWS else df
 
 
 def _words(line: Column) -> Column:
@@ -179,9 +180,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = scratch.cut(gone, "gone")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))
-    joined = rows.join(_small(gone), F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
+    joined = rows.join(_small(gone, F.size("gone") + 1), F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")), "left")
     text, lines = F.col("row.text"), F.split("row.text", "\n")
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")  # by hash, so that a long text's lines are not searched one by one
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(F.array(lines), lambda own: F.transform(places, lambda i: F.get(own, i)))[0], "\n"))
     n_removed = F.when(text.isNotNull(), F.coalesce(F.size("gone"), F.lit(0)))
     columns = [kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own]
     return joined.select(*columns, F.when(text.isNotNull(), F.size(lines)).alias("n_lines"), n_removed.alias("n_removed"))
