@@ -145,8 +145,11 @@ class Vocabulary:
         parts = parts.reshape(n, row)[:, :width]
         return np.where(parts == self.border, -1, parts), live
 
-    def segment(self, piece: str, skips: int) -> tuple[bytes, int]:
-        """The ids of one pre-token as packed 32-bit integers, and how many candidates came up; those whose bit is set in `skips` are skipped."""
+    def segment(self, piece: str, skips: int | bytes) -> tuple[bytes, int]:
+        """The ids of one pre-token as packed 32-bit integers, and how many candidates came up; those whose bit is set in `skips`
+        (a number, or its little-endian bytes, in which a bit is found without a shift of them all) are skipped."""
+        if isinstance(skips, int):
+            skips = skips and skips.to_bytes(max(3 * len(piece), skips.bit_length()) // 8 + 1, "little")
         parts = [pretokens.SPACE if c == " " else "\0" + c if c == pretokens.SPACE else c for c in piece]
         parts, came = self._merge_short(parts, skips) if len(parts) <= SHORT else self._merge_long(parts, skips)
         ids = self.ids
@@ -162,7 +165,7 @@ class Vocabulary:
                     out.extend(self.byte_ids[b] for b in p.replace("\0" + pretokens.SPACE, pretokens.SPACE).encode())
             return out.tobytes(), came
 
-    def _merge_short(self, parts: list[str], skips: int) -> tuple[list[str], int]:
+    def _merge_short(self, parts: list[str], skips: bytes | int) -> tuple[list[str], int]:
         """The agenda as a plain list of the neighbours' costs: for a few parts its least one is found fastest by a scan."""
         get, came = self.scores.get, 0
         costs = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
@@ -172,7 +175,7 @@ class Vocabulary:
                 break
             i = costs.index(least)
             came += 1
-            if skips >> (came - 1) & 1:
+            if skips and skips[came - 1 >> 3] >> (came - 1 & 7) & 1:
                 costs[i] = NEVER
                 continue
             merged = parts[i] + parts.pop(i + 1)
@@ -184,7 +187,7 @@ class Vocabulary:
                 costs[i] = get(merged + parts[i + 1], NEVER)
         return parts, came
 
-    def _merge_long(self, symbols: list[str], skips: int) -> tuple[list[str], int]:
+    def _merge_long(self, symbols: list[str], skips: bytes | int) -> tuple[list[str], int]:
         """The same with a heap."""
         n, scores, came = len(symbols), self.scores, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -197,7 +200,7 @@ class Vocabulary:
                 continue  # one of them has merged meanwhile
             end = after[j]
             came += 1
-            if skips >> (came - 1) & 1:
+            if skips and skips[came - 1 >> 3] >> (came - 1 & 7) & 1:
                 continue
             symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], "", end
             if end < n:
@@ -342,9 +345,9 @@ class Codec:
         yield single, np.frombuffer(b"".join(packed), np.int32), np.array([len(x) // 4 for x in packed], np.int64)
 
     def _long(self, piece: str, key: np.uint64) -> bytes:
-        """A pre-token by itself, with as many words of bits as its length may ask for."""
+        """A pre-token by itself, with as many words of bits as its length may ask for: n - 1 candidates at first, two more a merge."""
         words = self._bits(key + np.arange(3 * len(piece) // SHORT + 1, dtype=np.uint64) * np.uint64(1 << 32))
-        return self.words.segment(piece, int.from_bytes(words.astype("<u8").tobytes(), "little"))[0]
+        return self.words.segment(piece, words.astype("<u8").tobytes())[0]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.words.bytes.__getitem__, array("i", ids)))
