@@ -9,7 +9,7 @@ As the statistics are frozen, the cost of every byte sequence that any language
 one column a language; scoring a text is then a table lookup a byte, with escapes only for unknown sequences.
 
 Fitting: at most about `rows_per_language` labelled rows a language (a seeded hash threshold keeps the expected number at
-the bound); sequences of over three bytes that occur less than `least` times are dropped (1 keeps all). Every text is scored whole, in bounded slices.
+the bound); `least` over 1 drops rarer sequences of over three bytes, which changes code lengths and is off by default. Every text is scored whole, in bounded slices.
 
 Defined cases: null, empty or letterless texts give `und` with score 0; with no labelled rows every text is `und`; ties go
 to the smaller language code; a null doc_id is never held out and never learned from. Extra columns are ignored.
@@ -47,7 +47,7 @@ def _grams(padded: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return key
 
 
-def count_grams(docs: DataFrame, order: int, least: int = 2) -> DataFrame:
+def count_grams(docs: DataFrame, order: int, least: int = 1) -> DataFrame:
     """lang, length, gram, count over docs(lang, text), for all sequences of 1 to order + 1 bytes."""
 
     def run(batches):
@@ -205,7 +205,7 @@ class PPM:
         return total
 
 
-def fit(docs: DataFrame, order: int = 4, rows_per_language: int = 1000, least: int = 2, seed: int = 7) -> PPM:
+def fit(docs: DataFrame, order: int = 4, rows_per_language: int = 1000, least: int = 1, seed: int = 7) -> PPM:
     """Learn from docs(doc_id, text, lang); the model's size is bounded by the sample."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
