@@ -9,8 +9,8 @@ with its leader (the member that meets most others); components of the verified
 members that are still in different components are compared further, where 1024 finer coordinates are as close as a pair
 at the threshold would have them.
 
-Defined cases: null or wordless texts have an empty set and stay alone; rows that repeat a doc_id each follow their own
-text; a null doc_id is in nobody's way: it never becomes a component_id while a group has another id, and alone it is kept.
+Defined cases: null or wordless texts have an empty set and stay alone; rows that repeat a doc_id are one node of the links, so
+that each brings what its own text resembles into one component; a null doc_id is in nobody's way: it never becomes a component_id while a group has another id, and alone it is kept.
 Columns beyond doc_id and text are ignored. Shingles are compared by 64-bit hashes.
 """
 
@@ -143,10 +143,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, seed: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, seed: int = 1, fine: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
-    With 40 bands of 6 coordinates a pair at exactly 0.8 is missed with probability 5e-6, closer pairs less often."""
+    With 40 bands of 6 coordinates a pair at exactly 0.8 is missed with probability 5e-6, closer pairs less often. `fine` leaves out
+    open pairs by their finer coordinates, which loses a pair at 0.8 with probability 1e-5; without it all open pairs of a bucket are
+    verified on their full sets."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows_of = scratch.cut(sketch(docs, width, bands, rows, seed), "sketch")
     filled = rows_of.where("n_shingles > 0 and doc_id is not null")
@@ -172,14 +174,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labelled = met.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     open_ = scratch.cut(labelled.join(split, "band"), "open")
-    bits = fine_bits(sets.join(open_.select("node").distinct(), "node", "left_semi"), seed).dropDuplicates(["node"])
+    words = FINE_WORDS if fine else 0
     own_bands = open_.groupBy("node").agg(F.collect_set("band").alias("bands"))
-    open_ = scratch.cut(open_.join(bits, "node").join(own_bands, "node"), "fine")
-    other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("bands").alias("bands_a"), *(F.col(f"f{i}").alias(f"g{i}") for i in range(FINE_WORDS)))
+    open_ = open_.join(own_bands, "node")
+    if fine:
+        open_ = open_.join(fine_bits(sets.join(open_.select("node").distinct(), "node", "left_semi"), seed).dropDuplicates(["node"]), "node")
+    open_ = scratch.cut(open_, "fine")
+    other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("bands").alias("bands_a"), *(F.col(f"f{i}").alias(f"g{i}") for i in range(words)))
     # a pair that shares several bands counts in the least of them; bits that may differ between a pair at the threshold, with 4.2 standard deviations to spare (a loss of 1e-5)
     total, apart = 64 * FINE_WORDS, (1 - percent / 100) / 2
     limit = int(total * apart + 4.2 * (total * apart * (1 - apart)) ** 0.5)
-    differ = " + ".join(f"bit_count(f{i} ^ g{i})" for i in range(FINE_WORDS))
+    differ = " + ".join(["0", *(f"bit_count(f{i} ^ g{i})" for i in range(words))])
     rest = open_.join(other, "band").where(f"label_a < label and {fits} and {differ} <= {limit} and band = array_min(array_intersect(bands, bands_a))").select("a", F.col("node").alias("b")).distinct()
     more = scratch.cut(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, percent).distinct(), "links")
     if not more.isEmpty():
