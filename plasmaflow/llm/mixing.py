@@ -16,8 +16,6 @@ counter-free hash of their columns (equal rows share a bucket and are filled in
 
 from __future__ import annotations
 
-import heapq
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,58 +48,83 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1),
     return out
 
 
+class Network:
+    """Arcs with room, and maximum flows over what room is left."""
+
+    def __init__(self, nodes: int):
+        self.head: list[int] = []  # arc a ^ 1 is the reverse of arc a
+        self.room: list[int] = []
+        self.leaving: list[list[int]] = [[] for _ in range(nodes)]
+
+    def arc(self, tail: int, head: int, room: int) -> int:
+        self.head.extend((head, tail))
+        self.room.extend((room, 0))
+        a = len(self.head) - 2
+        self.leaving[tail].append(a)
+        self.leaving[head].append(a + 1)
+        return a
+
+    def _depths(self, start: int, end: int) -> list[int]:
+        depth, front = [-1] * len(self.leaving), [start]
+        depth[start] = 0
+        while front and depth[end] < 0:
+            after = []
+            for u in front:
+                for a in self.leaving[u]:
+                    if self.room[a] and depth[self.head[a]] < 0:
+                        depth[self.head[a]] = depth[u] + 1
+                        after.append(self.head[a])
+            front = after
+        return depth
+
+    def fill(self, start: int, end: int) -> None:
+        """Add flow until no path is left: all shortest paths of a length at once, then longer ones."""
+        head, room, leaving = self.head, self.room, self.leaving
+        while (depth := self._depths(start, end))[end] >= 0:
+            turn, path, u = [0] * len(leaving), [], start
+            while True:
+                if u == end:
+                    amount = min(room[a] for a in path)
+                    for a in path:
+                        room[a] -= amount
+                        room[a ^ 1] += amount
+                    full = next(k for k, a in enumerate(path) if not room[a])
+                    u = head[path[full] ^ 1]
+                    del path[full:]
+                while turn[u] < len(leaving[u]) and not (room[a := leaving[u][turn[u]]] and depth[head[a]] == depth[u] + 1):
+                    turn[u] += 1
+                if turn[u] < len(leaving[u]):
+                    path.append(leaving[u][turn[u]])
+                    u = head[path[-1]]
+                elif path:
+                    u = head[path.pop() ^ 1]
+                    turn[u] += 1
+                else:
+                    break
+
+
 def min_cost_flow(patterns: list[tuple[str | None, ...]], size: list[int], quota: dict[str | None, int], passes: int) -> list[dict[tuple[str | None, int], int]]:
-    """For each pattern the words routed to (source, pass): successive cheapest augmenting paths until quotas or words run out.
-
-    Pass r of a pattern costs r a word; all of a pattern's passes hold its size each."""
-    sources = list(quota)
-    n = len(patterns)
-    start, end = 0, 1
-    pattern_node = {i: 2 + i for i in range(n)}
-    source_node = {s: 2 + n + i for i, s in enumerate(sources)}
-    arcs: list[list[int]] = []  # head, room, cost; arc i ^ 1 is its reverse
-    leaving: list[list[int]] = [[] for _ in range(2 + n + len(sources))]
-
-    def arc(tail: int, head: int, room: int, cost: int) -> int:
-        arcs.extend(([head, room, cost], [tail, 0, -cost]))
-        leaving[tail].append(len(arcs) - 2)
-        leaving[head].append(len(arcs) - 1)
-        return len(arcs) - 2
-
-    supply = [[arc(start, pattern_node[i], size[i], r) for r in range(passes)] for i in range(n)]
-    routes = [{s: arc(pattern_node[i], source_node[s], passes * size[i], 0) for s in patterns[i]} for i in range(n)]
+    """For each pattern the words routed to (source, pass), as many as quotas and words allow and at the least cost.
+
+    Pass r of a pattern costs r a word; all of a pattern's passes hold its size each. As only the arcs that leave the start have a
+    cost, a cheapest path costs as much as its first arc: a maximum flow over the first passes, extended by the second ones and so on,
+    is one of least cost. The arcs are few a pattern, and all shortest paths are filled at once."""
+    n, sources = len(patterns), list(quota)
+    start, end, source_node = n, n + 1, {s: n + 2 + i for i, s in enumerate(sources)}
+    net = Network(n + 2 + len(sources))
+    supply = [net.arc(start, i, 0) for i in range(n)]
+    routes = [{s: net.arc(i, source_node[s], passes * size[i]) for s in patterns[i]} for i in range(n)]
     for s in sources:
-        arc(source_node[s], end, quota[s], 0)
-    height = [0] * len(leaving)
-    while True:
-        far, via = [None] * len(leaving), [-1] * len(leaving)
-        far[start] = 0
-        agenda = [(0, start)]
-        while agenda:
-            d, u = heapq.heappop(agenda)
-            if d > far[u]:
-                continue
-            for a in leaving[u]:
-                head, room, cost = arcs[a]
-                reach = d + cost + height[u] - height[head]
-                if room > 0 and (far[head] is None or reach < far[head]):
-                    far[head], via[head] = reach, a
-                    heapq.heappush(agenda, (reach, head))
-        if far[end] is None:
-            break
-        height = [h + (f if f is not None else far[end]) for h, f in zip(height, far, strict=True)]
-        path, u = [], end
-        while u != start:
-            path.append(via[u])
-            u = arcs[via[u] ^ 1][0]
-        amount = min(arcs[a][1] for a in path)
-        for a in path:
-            arcs[a][1] -= amount
-            arcs[a ^ 1][1] += amount
+        net.arc(source_node[s], end, quota[s])
+    for _ in range(passes):
+        for a, words in zip(supply, size, strict=True):
+            net.room[a] += words
+        net.fill(start, end)
     out = []
     for i in range(n):
-        used = [arcs[a ^ 1][1] for a in supply[i]]
-        wanted = {s: arcs[a ^ 1][1] for s, a in routes[i].items()}
+        total = net.room[supply[i] ^ 1]
+        used = [min(max(total - r * size[i], 0), size[i]) for r in range(passes)]
+        wanted = {s: net.room[a ^ 1] for s, a in routes[i].items()}
         split: dict[tuple[str | None, int], int] = {}
         for r in range(passes):
             room = used[r]
