@@ -77,6 +77,14 @@ def test_near_duplicates_in_a_mutated_family(spark):
     assert found == brute_components(dict(rows), 4, 80)
 
 
+def test_near_duplicates_of_repeated_ids_and_without_the_fine_filter(spark, docs):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    df = spark.createDataFrame([(9, a), (9, b), (3, a + " end"), (20, b + " end")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == {(9, 3), (3, 3), (20, 3)}
+    exact = minhash.near_duplicates(docs, width=4, fine=False)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, minhash.near_duplicates(docs, width=4).collect()))
+
+
 def test_near_duplicates_edges(edge, none):
     rows = minhash.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE)
@@ -129,6 +137,13 @@ def test_line_dedup_crowded_groups_and_clashing_columns(spark, monkeypatch):
     assert {r["gone"] for r in found.collect()} == {"x"}
 
 
+def test_line_dedup_of_many_lines_in_one_text(spark):
+    rows = [(1, "\n".join(["the one line that comes again", ""] * 30_000)), (2, "\n".join(f"alone{i} own{i}" for i in range(20_000)) + "\nthe one line that comes again"), (3, "\n" * 5)]
+    by = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[1]["text"] == "the one line that comes again\n" + "\n" * 29_999 and (by[1]["n_lines"], by[1]["n_removed"]) == (60_000, 29_999)
+    assert by[2]["text"] == rows[1][1].rsplit("\n", 1)[0] and by[2]["n_removed"] == 1 and by[3]["text"] == rows[2][1]
+
+
 def test_line_dedup_edges(edge, none):
     rows = line_dedup.dedup_lines(edge).collect()
     assert len(rows) == len(EDGE) and set(edge.columns) <= set(rows[0].asDict())
@@ -262,6 +277,18 @@ def test_merge_dropout_side_by_side_matches_brute_force(rate, monkeypatch):
     assert dropout.Codec(PIECES, rate, 13).encode_all(texts, doc_ids)[0].tolist() == want
 
 
+def test_merge_dropout_of_a_very_long_pre_token():
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=300_000))
+    codec = dropout.Codec(PIECES, 0.1, 13)
+    assert codec.decode(codec.encode(text, 1)) == text
+    part = text[:700]  # many words of bits: a number and its bytes choose alike, as a full rescan does
+    skips = int.from_bytes(rng.bytes(3 * len(part) // 8 + 1), "little")
+    packed = skips.to_bytes(3 * len(part) // 8 + 1, "little")
+    got = codec.words.segment(part, skips)
+    assert got == codec.words.segment(part, packed) and np.frombuffer(got[0], np.int32).tolist() == naive_dropout(codec.words, part, skips)
+
+
 def test_merge_dropout_matches_brute_force(docs):
     codec = dropout.Codec(PIECES, 0.1, 13)
     for r in docs.where("length(text) < 3000 and not contains(text, '▁')").limit(40).collect():
@@ -327,6 +354,34 @@ def test_flow_prefers_fresh_words_and_overlaps():
     assert sum(w for f in mixing.min_cost_flow([("a",)], [10], {"a": 15}, 2) for (s, r), w in f.items() if r == 1) == 5
 
 
+def test_flow_is_the_cheapest_of_all():
+    """Against every way to route the words of three patterns to two sources."""
+    rng = np.random.default_rng(4)
+    cost = lambda words, size: max(words - size, 0)  # noqa: E731  two passes, the second one at 1 a word
+    for _ in range(25):
+        size, quota = rng.integers(0, 4, 3).tolist(), {"a": int(rng.integers(0, 9)), None: int(rng.integers(0, 9))}
+        best = min(
+            (-(x + y + v + w), cost(x, size[0]) + cost(y + v, size[1]) + cost(w, size[2]))
+            for x in range(2 * size[0] + 1) for y in range(2 * size[1] + 1) for v in range(2 * size[1] - y + 1) for w in range(2 * size[2] + 1)
+            if x + y <= quota["a"] and v + w <= quota[None]
+        )
+        flows = mixing.min_cost_flow([("a",), ("a", None), (None,)], size, quota, 2)
+        assert (-sum(sum(f.values()) for f in flows), sum(r * w for f in flows for (_, r), w in f.items())) == best
+        assert all(sum(w for f in flows for (s, _), w in f.items() if s == name) <= most for name, most in quota.items())
+        assert all(sum(w for (_, r), w in f.items() if r == own) <= n for f, n in zip(flows, size, strict=True) for own in (0, 1))
+
+
+def test_flow_over_many_patterns():
+    rng = np.random.default_rng(6)
+    names = [f"s{i:02}" for i in range(60)]
+    patterns = [tuple(sorted(rng.choice(names, rng.integers(1, 5), replace=False))) for _ in range(20_000)]
+    size = rng.integers(1, 10_000, len(patterns)).tolist()
+    quota = {s: round(1.2 * sum(size) / 60) for s in names}
+    flows = mixing.min_cost_flow(patterns, size, quota, 2)
+    assert sum(sum(f.values()) for f in flows) == sum(quota.values())
+    assert sum(r * w for f in flows for (_, r), w in f.items()) == sum(quota.values()) - sum(size)
+
+
 def test_targets_share_the_excess():
     assert mixing.targets({"a": 10, "b": 100, None: 100}) == {"a": 20, "b": pytest.approx(590 / 3 if 590 / 3 <= 200 else 200), None: pytest.approx(295 / 3)}
 
