@@ -47,29 +47,40 @@ def _small(df: DataFrame, rows: Column | None = None) -> DataFrame:
     return F.broadcast(df) if counted <= BROADCAST_ROWS else df
 
 
+def _rare_blanks(line: Column) -> Column:
+    """Whether a line holds any blank but the space."""
+    found = F.lit(False)
+    for blank in BLANKS[1:]:
+        found = found | line.contains(blank)
+    return found
+
+
+def _trimmed(line: Column) -> Column:
+    """The line without blanks at its ends; the general trim lists every character's place, so only lines with rare blanks take it."""
+    return F.when(_rare_blanks(line), F.btrim(line, F.lit(BLANKS))).otherwise(F.trim(line))
+
+
 def _words(line: Column) -> Column:
     """The words of a line that is trimmed and not empty."""
-    odd = F.lit(False)
-    for blanks in ("  ", *BLANKS[1:]):
-        odd = odd | line.contains(blanks)
+    odd = line.contains("  ") | _rare_blanks(line)
     return F.when(odd, F.split(line, SPLIT)).otherwise(F.split(line, " "))  # a single space needs no regular expression
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, the line's identity as two numbers and its distinct words as hashes, for lines with words."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))  # a text is hashed once, not for each line
-    lines = texts.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
-    lines = lines.select("doc_id", "text_hash", "line_no", F.lower(F.btrim("line", F.lit(BLANKS))).alias("line"))
+    lines = texts.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).where(_trimmed(F.col("line")) != "")
+    lines = lines.select("doc_id", "text_hash", "line_no", F.lower(_trimmed(F.col("line"))).alias("line"))
     words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), words.alias("words"))
 
 
 def rarity_classes(lines: DataFrame, scratch: Scratch) -> Column:
-    """A scalar array: for each hash bucket the logarithm of its number of words in lines.words."""
+    """A scalar array: for each hash bucket the logarithm of its number of words in lines.words, in the top byte of a number."""
     counts = lines.select(F.explode("words").alias("word")).select(_bucket(F.col("word")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     every = lines.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
-    logs = scratch.cut(counts.union(every).groupBy("bucket").agg(F.length(F.bin(F.max("n"))).cast("tinyint").alias("log")), "classes")
-    rows = F.sort_array(F.collect_list(F.struct("bucket", "log")))  # 2 ** SKETCH_BITS rows of five bytes
+    logs = scratch.cut(counts.union(every).groupBy("bucket").agg(F.shiftleft(F.length(F.bin(F.max("n"))).cast("long"), 56).alias("log")), "classes")
+    rows = F.sort_array(F.collect_list(F.struct("bucket", "log")))  # 2 ** SKETCH_BITS rows of twelve bytes
     return logs.agg(rows.getField("log").alias("classes")).scalar()
 
 
@@ -77,9 +88,9 @@ def _ordered(words: Column, classes: Column) -> Column:
     """The words as sorted numbers: rarity class, then hash."""
 
     def key(h: Column) -> Column:
-        return F.shiftleft(F.coalesce(F.get(classes, _bucket(h)), F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.coalesce(F.get(classes, _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
-    return F.sort_array(F.transform(words, key))  # of numbers that are never null: a primitive sort
+    return F.sort_array(F.transform(words, key))  # the coalesce declares numbers that are never null: a primitive sort
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
