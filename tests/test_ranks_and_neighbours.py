@@ -153,3 +153,11 @@ def test_scratch_tables_go(spark):
         lineage.drop(other)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_umi_tables_are_not_broadcast(spark):
+    counts = spark.createDataFrame([(1, "chr1", 5, "A", u, n) for u, n in (("AAAAAA", 5), ("AAAAAC", 2), ("AAAAA", 3), ("GGGGGG", 1))], "sample_id int, chrom string, pos int, ref string, umi string, n long")
+    clusters = umi.cluster_fast(counts)
+    for df in (umi.neighbours(counts), umi.cross_length_pairs(counts), clusters):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["umi"], r["cluster"]) for r in clusters.collect()} == {("AAAAAA", "AAAAA"), ("AAAAAC", "AAAAA"), ("AAAAA", "AAAAA"), ("GGGGGG", "GGGGGG")}
