@@ -161,3 +161,13 @@ def test_umi_tables_are_not_broadcast(spark):
     for df in (umi.neighbours(counts), umi.cross_length_pairs(counts), clusters):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r["umi"], r["cluster"]) for r in clusters.collect()} == {("AAAAAA", "AAAAA"), ("AAAAAC", "AAAAA"), ("AAAAA", "AAAAA"), ("GGGGGG", "GGGGGG")}
+
+
+def test_distances_hold_every_pair(spark):
+    from plasmaflow.plans.registry import ORACLES
+
+    assert "<=" not in ORACLES["umi_hamming"].rpartition("FROM u a")[2]
+    umis = [(g, "".join(u)) for g in (1, 2) for u in itertools.product("ACG", repeat=3)]
+    found = umi.distances(spark.createDataFrame(umis, "sample_id int, umi string"), ["sample_id"]).collect()
+    expected = [(g, a, b, sum(x != y for x, y in zip(a, b, strict=True))) for g, a in umis for h, b in umis if g == h]
+    assert sorted(tuple(r) for r in found) == sorted(expected)
