@@ -171,3 +171,16 @@ def test_distances_hold_every_pair(spark):
     found = umi.distances(spark.createDataFrame(umis, "sample_id int, umi string"), ["sample_id"]).collect()
     expected = [(g, a, b, sum(x != y for x, y in zip(a, b, strict=True))) for g, a in umis for h, b in umis if g == h]
     assert sorted(tuple(r) for r in found) == sorted(expected)
+
+
+def test_families_are_summed_where_their_reads_are_dealt(spark, sf):
+    from plasmaflow.plans import core
+    from plasmaflow.sources import adapters
+
+    reads = adapters.reads(spark, sf)
+    dealt = umi.families(reads, parts=7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert dealt.exceptAll(umi.families(reads)).isEmpty() and dealt.count() == umi.families(reads).count()
+    plan = core.fams(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    aggregate = plan[plan.index("HashAggregate") :]
+    assert aggregate.index("partial_") < aggregate.index("Exchange hashpartitioning(sample_id")  # both halves above the one exchange
