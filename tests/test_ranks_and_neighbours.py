@@ -184,3 +184,12 @@ def test_families_are_summed_where_their_reads_are_dealt(spark, sf):
     plan = core.fams(spark, sf)._jdf.queryExecution().executedPlan().toString()
     aggregate = plan[plan.index("HashAggregate") :]
     assert aggregate.index("partial_") < aggregate.index("Exchange hashpartitioning(sample_id")  # both halves above the one exchange
+
+
+def test_model_rows_read_families_that_are_stored(spark, sf):
+    from plasmaflow.plans import core, rest
+
+    train, test = rest._split(spark, sf)
+    for df in (train, test):
+        assert not any(f.endswith("lineitem.parquet") for f in df.inputFiles())
+    assert train.count() + test.count() == core.collapsed(spark, sf).count()
