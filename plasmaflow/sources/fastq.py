@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from plasmaflow.functions import dna
 from plasmaflow.operators.lineage import cut
 
+#: Lines that one task frames.
+LINES = 1_000_000
+
 
 def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
     """file, record_idx, read_id, sequence, umi, quality_scores, mean_quality, sequence_length for each record of FASTQ files (plain
@@ -16,14 +19,17 @@ def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) ->
 
     Records with an empty line, without '@' or '+' in their places, or cut short are left out; '@' elsewhere is a quality."""
     lines = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"), F.monotonically_increasing_id().alias("at"))
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    blocks = cut(lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("file", "block", (F.col("first") - earlier).alias("origin"))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    files = cut(blocks.select("file").distinct().select("file", F.monotonically_increasing_id().alias("file_no")))
+    blocks = blocks.select("file", "block", (F.col("first") - earlier).alias("origin")).join(files, "file")
     numbered = lines.join(cut(blocks), ["file", "block"])  # a row a split: broadcast if Spark finds it small enough
-    numbered = numbered.withColumn("i", F.col("at") - F.col("origin"))
-    record = numbered.groupBy("file", F.floor(F.col("i") / 4).alias("record_idx"))
-    line = lambda k: F.max(F.when(F.col("i") % 4 == k, F.col("value")))
-    rows = record.agg(line(0).alias("header"), line(1).alias("sequence"), line(2).alias("plus"), line(3).alias("quality"))
+    numbered = numbered.withColumn("i", F.col("at") - F.col("origin")).select("file_no", F.floor(F.col("i") / 4).alias("record_idx"), (F.col("i") % 4).cast("int").alias("k"), "value")
+    # a record's lines are dealt to one of so many tasks by the number of lines: texts can't be summed in a hash table, and sorting a whole split for it takes much memory
+    record = numbered.repartition(max(spark.sparkContext.defaultParallelism, -(-total // LINES)), "file_no", "record_idx").groupBy("file_no", "record_idx")
+    line = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    rows = record.agg(line(0).alias("header"), line(1).alias("sequence"), line(2).alias("plus"), line(3).alias("quality")).join(files, "file_no")
     rows = rows.where("header like '@%' and plus like '+%' and length(header) > 1 and length(sequence) > 0 and length(quality) > 0")
     if max_reads is not None:
         rows = rows.where(F.col("record_idx") < max_reads)

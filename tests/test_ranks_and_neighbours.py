@@ -193,3 +193,15 @@ def test_model_rows_read_families_that_are_stored(spark, sf):
     for df in (train, test):
         assert not any(f.endswith("lineitem.parquet") for f in df.inputFiles())
     assert train.count() + test.count() == core.collapsed(spark, sf).count()
+
+
+def test_fastq_records_are_framed_by_so_many_lines_a_task(spark, tmp_path, monkeypatch):
+    from plasmaflow.sources import fastq
+
+    for name, n in (("a", 30), ("b", 20)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{i} UMI:ACGTAC\nAC{'G' * (i % 3)}\n+\n@@{'I' * (i % 3)}\n" for i in range(n)))
+    monkeypatch.setattr(fastq, "LINES", 8, raising=False)
+    records = fastq.read_fastq(spark, str(tmp_path))
+    assert records.rdd.getNumPartitions() == 25  # 200 lines
+    found = {(r["file"][-7], r["record_idx"], r["read_id"].split(" ")[0], len(r["sequence"])) for r in records.collect()}
+    assert found == {(name, i, f"{name}{i}", 2 + i % 3) for name, n in (("a", 30), ("b", 20)) for i in range(n)}
