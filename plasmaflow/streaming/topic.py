@@ -25,6 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "key string, value string, partition int, offset long"
 _FILE = pa.schema([("key", pa.string()), ("value", pa.string())])
+#: Characters of keys and values that a task holds of all partitions together, and the rows of one, before it writes a row group.
+HELD_CHARS = 16 << 20
+HELD_ROWS = 1024
 
 
 @dataclass
@@ -99,8 +102,13 @@ class Folder:
 
     def read(self, segment: Segment) -> Iterator[pa.RecordBatch]:
         fs, path = self._at(segment.file)
+        with fs.open_input_file(path) as f:
+            yield from self._rows(pq.ParquetFile(f), segment)
+
+    def _rows(self, file: pq.ParquetFile, segment: Segment) -> Iterator[pa.RecordBatch]:
+        """A row group at a time, as a batch would join several of them: a group is as small in bytes as `write` holds."""
         done = 0
-        for batch in pq.ParquetFile(fs.open_input_file(path)).iter_batches(4096):
+        for batch in (b for g in range(file.num_row_groups) for b in file.iter_batches(4096, row_groups=[g])):
             low, high = max(segment.skip - done, 0), min(segment.skip + segment.take - done, batch.num_rows)
             if low < high:
                 rows, first = batch.slice(low, high - low), segment.offset + done + low - segment.skip
@@ -112,9 +120,12 @@ class Folder:
         fs, _ = self._at("")
         writers: dict[int, tuple[str, object, list]] = {}
         counts: dict[int, int] = {}
+        chars = 0
 
         def flush(p: int) -> None:
             name, writer, held = writers[p]
+            if not held:
+                return
             writer.write_table(pa.table([pa.array([k for k, _ in held], pa.string()), pa.array([v for _, v in held], pa.string())], schema=_FILE))
             held.clear()
 
@@ -127,7 +138,13 @@ class Folder:
                 writers[p] = (name, pq.ParquetWriter(self._at(name)[1], _FILE, filesystem=fs), [])
             writers[p][2].append((key, value))
             counts[p] = counts.get(p, 0) + 1
-            if len(writers[p][2]) >= 1024:
+            chars += len(key or "") + len(value or "")
+            if chars >= HELD_CHARS:
+                for q in writers:
+                    flush(q)
+                chars = 0
+            elif len(writers[p][2]) >= HELD_ROWS:
+                chars -= sum(len(k or "") + len(v or "") for k, v in writers[p][2])
                 flush(p)
         for p in writers:
             flush(p)

@@ -205,3 +205,26 @@ def test_fastq_records_are_framed_by_so_many_lines_a_task(spark, tmp_path, monke
     assert records.rdd.getNumPartitions() == 25  # 200 lines
     found = {(r["file"][-7], r["record_idx"], r["read_id"].split(" ")[0], len(r["sequence"])) for r in records.collect()}
     assert found == {(name, i, f"{name}{i}", 2 + i % 3) for name, n in (("a", 30), ("b", 20)) for i in range(n)}
+
+
+def test_topic_holds_few_bytes(tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from plasmaflow.streaming import topic
+
+    monkeypatch.setattr(topic, "HELD_CHARS", 1000, raising=False)
+    rows = [{"key": str(i % 5), "value": f"{i:03d}" * 50} for i in range(60)] + [{"key": None, "value": None}]
+    folder = topic.Folder(str(tmp_path))
+    folder.commit([folder.write(iter(rows), 4)], "p", "0")
+    for f in (tmp_path / "data").iterdir():
+        meta = pq.ParquetFile(f).metadata
+        assert all(0 < meta.row_group(g).num_rows <= 7 for g in range(meta.num_row_groups))
+    back = [(r["key"], r["value"], s.partition, r["offset"]) for s in folder.segments({}, folder.ends()) for b in folder.read(s) for r in b.to_pylist()]
+    assert sorted((k or "", v or "") for k, v, _, _ in back) == sorted((r["key"] or "", r["value"] or "") for r in rows)
+    for p in range(4):
+        own = [r for r in back if r[2] == p]
+        assert [r[3] for r in own] == list(range(len(own)))
+        for key in {r[0] for r in own}:
+            assert [r[1] for r in own if r[0] == key] == [r["value"] for r in rows if r["key"] == key]
+    late = [r["offset"] for s in folder.segments({"0": 3}, folder.ends()) if s.partition == 0 for b in folder.read(s) for r in b.to_pylist()]
+    assert late == list(range(3, folder.ends()["0"]))
