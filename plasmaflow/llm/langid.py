@@ -213,11 +213,17 @@ def fit(docs: DataFrame, order: int = 4, rows_per_language: int = 1000, least: i
         return PPM(order, [], {})
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, rows_per_language / n)])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    table = count_grams(labelled.where(drawn < F.element_at(share, F.col("lang"))), order, least).toPandas()
+    langs = sorted(sizes)
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
+    table = count_grams(labelled.where(drawn < F.element_at(share, F.col("lang"))), order, least)
+    # columns of numbers through Arrow: rows of Python objects would take the driver ten times as much
+    table = table.select((F.element_at(number, F.col("lang")) * (order + 2) + F.col("length")).alias("level"), "gram", "n").toArrow()
+    levels, grams, counts = (table.column(c).to_numpy() for c in ("level", "gram", "n"))
     counted: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for (lang, length), part in table.groupby(["lang", "length"]):
-        part = part.sort_values("gram")
-        counted.setdefault(lang, {})[int(length)] = (part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.int64))
+    for level in np.unique(levels):
+        part = np.flatnonzero(levels == level)
+        part = part[np.argsort(grams[part])]
+        counted.setdefault(langs[level // (order + 2)], {})[int(level % (order + 2))] = (grams[part].astype(np.int64).view(np.uint64), counts[part].astype(np.int64))
     return PPM(order, sorted(counted), counted)
 
 

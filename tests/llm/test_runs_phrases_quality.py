@@ -213,3 +213,18 @@ def test_quality_edges(spark, edge, none):
     full = quality.rate(edge, spark.createDataFrame([(4, 1), (7, 0), (8, 0), (9, 1), (10, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")).collect()
     assert len(full) == len(EDGE) and all(0 <= r["score"] <= 1 for r in full)
     assert quality.rate(none, labels).count() == 0
+
+
+def test_language_counts_come_as_columns_of_numbers(spark, monkeypatch):
+    from plasmaflow.llm import langid
+
+    rows = [(i, "der die das" if i % 2 else "the caté", "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fetched = []
+    real = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: fetched.append(self.dtypes) or real(self))
+    model = langid.fit(docs)
+    assert [{kind for _, kind in d} <= {"int", "bigint"} for d in fetched] == [True]
+    assert model.langs == ["de", "en"]
+    found = langid.predict(docs, model).collect()
+    assert {r["lang_pred"] for r in found if r["doc_id"] % 2} == {"de"} and {r["lang_pred"] for r in found if r["doc_id"] % 2 == 0} == {"en"}
