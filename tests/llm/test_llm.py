@@ -144,6 +144,27 @@ def test_line_dedup_of_many_lines_in_one_text(spark):
     assert by[2]["text"] == rows[1][1].rsplit("\n", 1)[0] and by[2]["n_removed"] == 1 and by[3]["text"] == rows[2][1]
 
 
+def test_line_dedup_blanks_and_equal_sets(spark):
+    rows = [(1, "One two\tthree\n \t\n\none  TWO three "), (2, "three two one one\r\nfour\x0bfive"), (3, "\tfour five\x0c\nfour\u00a0five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup.hashed_lines(df)
+    found = collections.defaultdict(set)
+    for r in lines.collect():
+        found[(r["id"], r["id2"])].add((r["doc_id"], r["line_no"]))
+    assert sorted(found.values(), key=sorted) == [{(1, 0), (1, 3), (2, 0)}, {(2, 1), (3, 0)}, {(3, 1)}]  # equal sets are one line before any join
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter ((size(split(" not in plan and plan.count("transform(") == 1  # texts are split once, words hashed once
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
+
+
+def test_line_dedup_postings_keep_places_apart(spark):
+    first = spark.sql("select 5L id, 6L id2, struct(7L doc_id) at, 20 n, array(8, -9, 10, 11, 12) prefix, -1L low, 3L high")
+    post = line_dedup._postings(first, 80)
+    assert post.columns == ["id", "doc", "shape", "low", "high", "word"]
+    found = post.orderBy("shape").selectExpr(line_dedup._n("shape"), "int(shiftright(shape, 1) & 2147483647)", "shape & 1", "word").collect()
+    assert [tuple(r) for r in found] == [(20, 0, 1, 8), (20, 1, 1, -9), (20, 2, 1, 10), (20, 3, 0, 11), (20, 4, 0, 12)]
+
+
 def test_line_dedup_edges(edge, none):
     rows = line_dedup.dedup_lines(edge).collect()
     assert len(rows) == len(EDGE) and set(edge.columns) <= set(rows[0].asDict())
