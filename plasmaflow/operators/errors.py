@@ -39,7 +39,11 @@ def negative_controls(fams: DataFrame, most: float = 1e-4, af: str = "allele_fra
 
 def fit_error_model(controls: DataFrame, by: str = "context") -> DataFrame:
     """Variant rate of negative-control families by context, with a 95 % interval (exact Beta quantiles of k of n)."""
-    fitted = controls.groupBy(by).agg(F.count(F.lit(1)).alias("n_observations"), F.count(F.when(F.col("is_variant"), 1)).alias("k"))
+    return error_rates(controls.groupBy(by).agg(F.count(F.lit(1)).alias("n_observations"), F.count(F.when(F.col("is_variant"), 1)).alias("k")))
+
+
+def error_rates(fitted: DataFrame) -> DataFrame:
+    """`fit_error_model` of families that are counted already: rows with k variants of n_observations."""
     rate = F.col("k") / F.col("n_observations")
     low, high = tails.beta_ppf(F.lit(0.025), F.col("k") + 0.5, F.col("n_observations") - F.col("k") + 0.5), tails.beta_ppf(F.lit(0.975), F.col("k") + 0.5, F.col("n_observations") - F.col("k") + 0.5)
     many = F.col("n_observations") > 10

@@ -117,3 +117,63 @@ def test_a_saved_caller_has_the_features_of_the_batch(spark, sf, tmp_path):
     called = ml.call_families(model, fams, 0.3)
     assert called.where("is_call <> (score > 0.3) or abs(1 - score - p_value) > 1e-12").count() == 0 and set(fams.columns) <= set(called.columns)
     fams.unpersist()
+
+
+def test_stream_calls_runs_every_step(spark, sf):
+    from plasmaflow.plans import core, rest
+    from plasmaflow.plans.registry import QUERIES
+
+    got = {r["sample_id"]: r for r in rest._running(spark, sf).collect()}
+    want = {r["sample_id"]: r for r in QUERIES["call_mrd"](spark, sf).collect()}  # the batch fits its model from the same controls
+    n_reads = {r["sample_id"]: r["n"] for r in core.reads(spark, sf).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(got) == set(want) and len(got) == 50
+    for i, r in got.items():
+        m, w = r["metrics"], want[i]
+        assert (m["n_variants_detected"], r["n_total"], m["n_reads"]) == (w["n_variants"], w["n_total"], n_reads[i]) and r["status"] == "completed"
+        assert r["expected_variants"] == pytest.approx(w["expected_variants"], abs=1e-6) and r["p_value"] == pytest.approx(w["p_value"], abs=1e-6)
+        assert r["p_adjusted"] == r["p_value"] and r["significant"] == (r["p_value"] <= 0.05)
+        assert m["variant_detection_rate"] == pytest.approx(w["n_variants"] / w["n_total"]) and m["mean_allele_fraction"] == pytest.approx([0, 0.2, 0.06, 0.02, 0.005][i % 5])
+    assert any(r["significant"] for r in got.values()) and not all(r["significant"] for r in got.values())
+
+
+def test_results_after_a_restart_and_dead_letters(spark, sf, tmp_path):
+    from plasmaflow.plans import core
+
+    def step():
+        calls.count_to_topic(calls.file_source(spark, f"{tmp_path}/in", 1), None, f"{tmp_path}/counts", f"{tmp_path}/s1", errors=f"{tmp_path}/errors").awaitTermination()
+        calls.upsert(calls.background(calls.topic_source(spark, f"{tmp_path}/counts")), f"{tmp_path}/background", f"{tmp_path}/s2").awaitTermination()
+        totals = calls.running_totals(calls.topic_source(spark, f"{tmp_path}/counts"))
+        calls.call_to_topic(totals, lambda s: calls.error_model(s, f"{tmp_path}/background"), f"{tmp_path}/results", f"{tmp_path}/s3").awaitTermination()
+        given = {r["sample_id"]: r for r in calls.results(spark, f"{tmp_path}/results").collect()}
+        return given, {r["sample_id"]: r for r in calls.results(spark, f"{tmp_path}/results", calls.error_model(spark, f"{tmp_path}/background")).collect()}
+
+    reads = core.reads(spark, sf).where("sample_id < 10")
+    messages = calls.to_messages(reads, most=20, model=True).withColumn("half", F.pmod(F.hash("value"), F.lit(2)))
+    broken = spark.createDataFrame([("x", "{", 0), ("y", '{"sample_id": 7, "sample_data": {"reads": []}}', 0)], "key string, value string, half int")
+    for half in (0, 1):  # the streams stop after the first half and go on from their checkpoints
+        messages.union(broken).where(F.col("half") == half).drop("half").coalesce(2).write.mode("append").json(f"{tmp_path}/in")
+        given, got = step()
+    assert len(read(spark, f"{tmp_path}/results")) > len(got) == 10  # results of both halves, the latest of a sample counts
+    whole = calls.batch_counts(calls.parse(messages)[0]).groupBy("sample_id").agg(*(F.sum(c).alias(c) for c in calls.SUMS)).collect()
+    assert {(r["sample_id"], r["n_reads"], r["n_variants"], r["n_total"], r["n_passed"], r["n_received"]) for r in whole} == {(i, r["n_reads"], r["n_variants"], r["n_total"], r["metrics"]["n_variants_detected"], r["metrics"]["n_reads"]) for i, r in got.items()}
+    rate = core.collapsed(spark, sf).where("sample_id in (0, 5)").groupBy("context").agg(F.avg(F.col("is_variant").cast("int")).alias("r")).agg(F.avg("r")).first()[0]
+    assert given[8]["error_model"]["rate"] != pytest.approx(rate)  # it has reads in the first half only, when the model was another
+    assert all(r["error_model"]["rate"] == pytest.approx(rate) and r["expected_variants"] == pytest.approx(rate * r["n_total"]) for r in got.values())
+    assert all(r == given[i] for i, r in got.items() if given[i]["run_id"] == "results_1")
+    letters = spark.createDataFrame([(r[1],) for r in read(spark, f"{tmp_path}/errors")], "value string").select(F.from_json("value", "status string, error string, timestamp timestamp, input_key string").alias("e")).select("e.*").collect()
+    assert sorted((r["status"], r["error"], r["input_key"]) for r in letters) == [("error", "no reads", "y"), ("error", "no sample_id or no JSON", "x")] and all(r["timestamp"] for r in letters)
+
+
+def test_calls_without_controls(spark):
+    sums = "sample_id int, alpha double, n_received long, n_reads long, n_variants long, n_passed long, n_total long, af_weight long"
+    model = spark.createDataFrame([], "context string, n_observations long, error_rate double")
+    rows = {r["sample_id"]: r for r in calls.sample_calls(spark.createDataFrame([(1, 0.05, 99, 90, 4, 4, 10, None), (2, 0.05, 4, 0, 0, 0, 0, None)], sums), model).collect()}
+    assert rows[1]["error_model"]["rate"] == 1e-4 and rows[1]["expected_variants"] == pytest.approx(1e-3) and rows[1]["significant"]
+    assert rows[2]["p_value"] == 1 and not rows[2]["significant"] and rows[2]["metrics"]["variant_detection_rate"] == 0  # no family is large enough
+
+
+def test_the_model_is_fitted_from_the_smallest_fraction_without_controls(spark, tmp_path):
+    spark.createDataFrame([(20, "ACG", 1, 10), (20, "TCG", 3, 10), (200, "ACG", 9, 10), (5, "ACG", 0, 0)], "af_milli int, context string, n_passed long, n_total long").write.parquet(f"{tmp_path}/b/batch_id=0")
+    spark.createDataFrame([(20, "ACG", 2, 20)], "af_milli int, context string, n_passed long, n_total long").write.parquet(f"{tmp_path}/b/batch_id=1")
+    rates = {r["context"]: (r["n_observations"], r["error_rate"]) for r in calls.error_model(spark, f"{tmp_path}/b").collect()}
+    assert rates == {"ACG": (20, 0.1), "TCG": (10, 0.3)}
